@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import decontam, simhash
+from ripplegraph.llm import decontam, quality, simhash, toxicity
 from ripplegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_decontamination, op9_simhash)}
+    return {f.__name__: f for f in (op4_decontamination, op5_quality, op8_toxicity, op9_simhash)}
 
 
 SQL: dict[str, str] = {}
