@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import decontam, quality, simhash, toxicity
+from ripplegraph.llm import decontam, langid, mixing, quality, simhash, toxicity
 from ripplegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op1(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,6 +24,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op6(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,7 +37,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_decontamination, op5_quality, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op4_decontamination, op5_quality, op6_mixing, op8_toxicity, op9_simhash)}
 
 
 SQL: dict[str, str] = {}
@@ -53,5 +61,26 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 
+SQL["op6_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n, sum(source_size) OVER () AS full_size FROM s),
+w AS (SELECT *, CASE n % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM n),
+k AS (SELECT *, 2.0::DOUBLE * source_size / weight AS r FROM w),
+p AS (SELECT *, row_number() OVER o AS k, coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+    sum(weight) OVER (ORDER BY r DESC, n DESC ROWS UNBOUNDED PRECEDING) AS rest FROM k WINDOW o AS (ORDER BY r, n)),
+l AS (SELECT CAST(3 * full_size - 2 * caps AS DOUBLE) / CAST(2 * rest AS DOUBLE) AS level FROM p WHERE r >= CAST(3 * full_size - 2 * caps AS DOUBLE) / CAST(2 * rest AS DOUBLE) ORDER BY k LIMIT 1),
+t AS (SELECT source, n, source_size, least(level * weight, CAST(2 * source_size AS DOUBLE)) AS target FROM k, l),
+q AS (SELECT doc_id, size, source_size, target, n, CAST(round(target) AS BIGINT) AS words,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes, CASE n % 3 WHEN 0 THEN -0.6::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS slope FROM q),
+y AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - first)) AS BIGINT) AS taken, CAST(first AS DOUBLE) / words AS share FROM x)
+SELECT doc_id, size, source_size, target, taken,
+    CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE least(greatest((sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope), 0), 1) END, 9) END AS position
+FROM y
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return SQL
