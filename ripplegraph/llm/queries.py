@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import decontam, langid, mixing, quality, simhash, toxicity
+from ripplegraph.llm import decontam, hmm, langid, mixing, quality, simhash, toxicity
 from ripplegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language, op4_decontamination, op5_quality, op6_mixing, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op4_decontamination, op5_quality, op6_mixing, op7_language_model, op8_toxicity, op9_simhash)}
 
 
 SQL: dict[str, str] = {}
@@ -77,7 +81,7 @@ q AS (SELECT doc_id, size, source_size, target, n, CAST(round(target) AS BIGINT)
 x AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes, CASE n % 3 WHEN 0 THEN -0.6::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS slope FROM q),
 y AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - first)) AS BIGINT) AS taken, CAST(first AS DOUBLE) / words AS share FROM x)
 SELECT doc_id, size, source_size, target, taken,
-    CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE least(greatest((sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope), 0), 1) END, 9) END AS position
+    CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE least(greatest((sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope), 0), 1) END, 9) + 0.0 END AS position
 FROM y
 """
 
