@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import decontam, hmm, langid, mixing, quality, simhash, topk, toxicity
+from ripplegraph.llm import decontam, hmm, langid, mixing, pii, quality, simhash, topk, toxicity
 from ripplegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op3(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +49,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language, op3_top_k, op4_decontamination, op5_quality, op6_mixing, op7_language_model, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_personal_data, op3_top_k, op4_decontamination, op5_quality, op6_mixing, op7_language_model, op8_toxicity, op9_simhash)}
 
 
 SQL: dict[str, str] = {}
