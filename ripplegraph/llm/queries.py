@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import decontam, hmm, langid, mixing, pii, quality, simhash, topk, toxicity
+from ripplegraph.llm import decontam, hmm, langid, mixing, pii, quality, quotes, simhash, topk, toxicity
 from ripplegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.op10(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language, op2_personal_data, op3_top_k, op4_decontamination, op5_quality, op6_mixing, op7_language_model, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_personal_data, op3_top_k, op4_decontamination, op5_quality, op6_mixing, op7_language_model, op8_toxicity, op9_simhash, op10_quotation)}
 
 
 SQL: dict[str, str] = {}
