@@ -73,7 +73,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, root: for each node of the edges (a, b) the least node of its component, in few rounds.
+    """node, root: for each node of the edges (a, b), but the roots, the least node of its component, in few rounds.
 
     A large-star step joins each node's greater neighbours to its least one; a small-star step does so with the
     lesser ones. Stars are what is left when nothing changes. All edges of a node are never brought together:
