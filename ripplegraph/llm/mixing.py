@@ -71,17 +71,19 @@ def curriculum(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     keep: further columns to carry.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = settle(docs.select("doc_id", "source", *(keep or []), size_of(F.col(text)).alias("size"), digest.alias("_digest")))
-    sliced = sizes.withColumn("_slice", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int") % SLICES)
-    of_slice = sliced.groupBy("source", "_slice").agg(F.sum("size").alias("_in"))
-    before = F.coalesce(F.sum("_in").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most SLICES rows a source
-    goal = targets(sizes)
+    sized = docs.select("doc_id", "source", *(keep or []), size_of(F.col(text)).alias("size"), digest.alias("_digest"))
+    sizes = settle(sized.drop(*(keep or [])))
+    # Carried columns, texts among them, aren't written along: their rows come from docs again and are shuffled once.
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))  # a null equals a null
+    sliced = lambda df: df.withColumn("_key", key).withColumn("_slice", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int") % SLICES)
+    of_slice = sliced(sizes).groupBy("_key", "_slice").agg(F.sum("size").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most SLICES rows a source
+    goal = targets(sizes).withColumn("_key", key).drop("source")
     starts = of_slice.withColumn("_before", before).drop("_in")
-    starts = starts.join(F.broadcast(goal) if _few(goal) else goal, starts.source.eqNullSafe(goal.source)).drop(goal.source)
-    queue = Window.partitionBy("source", "_slice").orderBy("_digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.withColumn("_own", F.coalesce(F.sum("size").over(queue), F.lit(0)))
-    s = starts.withColumnRenamed("source", "_source").withColumnRenamed("_slice", "_of")
-    placed = placed.join(s, placed.source.eqNullSafe(F.col("_source")) & (placed._slice == F.col("_of")))
+    starts = starts.join(F.broadcast(goal) if _few(goal) else goal, "_key")
+    queue = Window.partitionBy("_key", "_slice").orderBy("_digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sliced(sized if keep else sizes).withColumn("_own", F.coalesce(F.sum("size").over(queue), F.lit(0)))
+    placed = placed.join(starts, ["_key", "_slice"])
     words = F.round("target").cast("long")  # whole words that the source gives
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     first = F.col("_before") + F.col("_own")
