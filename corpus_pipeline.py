@@ -28,7 +28,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document of least id of each group of linked fingerprints; of rows that repeat this id, one stays."""
     groups = simhash.near_duplicates(docs)
     first = settle(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")))
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    # One plan at every size: texts are shuffled by id once, whether or not the ids would fit a broadcast today.
+    kept = docs.join(first.hint("merge"), docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
     if first.where("_n > 1").isEmpty():
         return kept
     repeated = first.where("_n > 1")
