@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -63,11 +68,11 @@ def derive_prefix(full: Column, local: Column) -> Column:
 
 
 def endpoint_method(c: Column) -> Column:
-    return F.upper(F.trim(c))
+    return F.upper(strip(c))
 
 
 def endpoint_path(c: Column) -> Column:
-    return F.trim(c)
+    return strip(c)
 
 
 def parse_endpoint(c: Column) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from ripplegraph.functions import scalar as S
 
 def parse_annotation(raw: Column) -> tuple[Column, Column]:
     """Method and path of a comment line `@Get /path`; nulls unless it names an HTTP method and has a path."""
-    fields = F.split(F.trim(F.regexp_replace(raw, r"^\s*(//+|\*)?\s*", "")), r"\s+")
+    fields = F.split(S.strip(F.regexp_replace(raw, r"^\s*(//+|\*)?\s*", "")), r"\s+")
     name = F.get(fields, F.lit(0))
     method = F.upper(F.regexp_replace(name, "^@", ""))
     ok = name.startswith("@") & (F.size(fields) >= 2) & method.isin(*S.HTTP_METHODS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
@@ -11,7 +11,7 @@ from ripplegraph.functions import scalar as S
 def module_lines(files: DataFrame) -> DataFrame:
     """path, line_no, directive and text of the require and replace lines of module files(path, content)."""
     lines = files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "text"))
-    bare = lines.withColumn("bare", F.trim(F.regexp_replace("text", r"(?<!:)//(?!\s*indirect).*$", "")))
+    bare = lines.withColumn("bare", S.strip(F.regexp_replace("text", r"(?<!:)//(?!\s*indirect).*$", "")))
     opens = F.regexp_extract("bare", r"^(\w+)\s*\($", 1)
     mark = F.when(opens != "", opens).when(F.col("bare") == ")", "")
     w = Window.partitionBy("path").orderBy("line_no")
@@ -23,14 +23,14 @@ def module_lines(files: DataFrame) -> DataFrame:
 
 
 def parsed_requires(lines: DataFrame) -> DataFrame:
-    fields = F.split(F.trim(F.regexp_replace("text", r"//.*$", "")), r"\s+")
+    fields = F.split(S.strip(F.regexp_replace("text", r"//.*$", "")), r"\s+")
     own = lines.where("directive = 'require'").select("path", "line_no", fields.alias("f"), F.col("text").rlike(r"//\s*indirect").alias("indirect")).where("size(f) >= 2")
     return own.select("path", "line_no", F.get("f", F.lit(0)).alias("module"), F.get("f", F.lit(1)).alias("version"), "indirect")
 
 
 def parsed_replaces(lines: DataFrame) -> DataFrame:
     """path, module, old_version, replace_path and replace_version; a local path has no version."""
-    sides = F.split(F.trim(F.regexp_replace("text", r"\s//.*$", "")), r"\s*=>\s*")
+    sides = F.split(S.strip(F.regexp_replace("text", r"\s//.*$", "")), r"\s*=>\s*")
     own = lines.where("directive = 'replace'").select("path", "line_no", sides.alias("s")).where("size(s) = 2")
     left, right = F.split(F.get("s", F.lit(0)), r"\s+"), F.split(F.get("s", F.lit(1)), r"\s+")
     return own.select("path", "line_no", F.get(left, F.lit(0)).alias("module"), F.get(left, F.lit(1)).alias("old_version"), F.get(right, F.lit(0)).alias("replace_path"), F.get(right, F.lit(1)).alias("replace_version"))
@@ -72,7 +72,7 @@ def not_ignored(found: DataFrame, globs: list[str]) -> DataFrame:
     return found.where(~S.matches_glob(F.col("path"), globs))
 
 
-def prefixes(path: str) -> F.Column:
+def prefixes(path: str) -> Column:
     """All leading parts of a slashed path, itself included."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, name: str = "ripplegraph") -> SparkSession:
-    """A local session with AQE, UTC and few shuffle partitions."""
+    """A local session with AQE, UTC and few shuffle partitions, whose workers find this package."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = ":".join(dict.fromkeys([here, *filter(None, os.environ.get("PYTHONPATH", "").split(":"))]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
