@@ -229,7 +229,7 @@ def load(spark: SparkSession, root: str, goos: str = "linux", goarch: str = "amd
     guarded = raw["middleware"].join(guards.withColumnRenamed("owner", "id"), "id", "left")
     in_order = Window.partitionBy("handler_symbol").orderBy("ordinal")
     annotations = links.annotations(raw["comments"]).withColumn("ordinal", F.row_number().over(in_order) - 1)
-    annotations = annotations.withColumn("id", F.concat_ws(":", F.lit("annotation"), "handler_symbol", "method", "path", F.col("ordinal").cast("string")))
+    annotations = annotations.withColumn("raw", S.strip(F.regexp_replace("raw", r"^\s*//+", ""))).withColumn("id", F.concat_ws(":", F.lit("annotation"), "handler_symbol", "method", "path", F.col("ordinal").cast("string")))
     relations = {
         **raw, "files": files, "symbols": symbols, "references": references, "route_groups": settle(groups), "flows": settle(flows), "routes": found, "middleware": settle(guarded), "annotations": settle(annotations),
         "modules": modules.dependencies(top), "resolved": resolved,
