@@ -46,19 +46,19 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch, over batches of BATCH_ROWS rows."""
+def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow of a function of one batch, over batches of so many rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
                 yield out
 
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df, rows).mapInArrow(run, schema)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 

@@ -38,7 +38,9 @@ SHAPES = 61
 #: Distinct tokens counted in a worker before they are handed on.
 HELD = 300_000
 #: Tokens of the documents that step through time together.
-TOGETHER = 400_000
+TOGETHER = 250_000
+#: Rows of an Arrow batch here; their tokens are encoded document by document.
+ROWS = 4000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -74,52 +76,74 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return small_batches(docs.select(text)).mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-@dataclass
+class Ids(dict):
+    """Numbers of tokens; -1 for any other."""
+
+    def __missing__(self, token: bytes) -> int:
+        return -1
+
+
 class Lexicon:
     """The most frequent tokens: their counts and classes, and the totals of classes of shapes."""
 
-    counts: dict[bytes, int]
-    own: int
-    total: int
-    kinds: int
-    shape_total: np.ndarray
-    shape_kinds: np.ndarray
-
-    def __post_init__(self) -> None:
-        top = [t for t in self.counts if t != END][: self.own]
-        self.classes = {END: 0} | {t: i + 1 for i, t in enumerate(top)}
+    def __init__(self, counts: dict[bytes, int], own: int, total: int, kinds: int, shape_total: np.ndarray, shape_kinds: np.ndarray):
+        """counts: by falling count. shape_total, shape_kinds: of all tokens of each shape."""
+        counts = counts if END in counts else counts | {END: 0}
+        self.ids, self.total, self.kinds = Ids((t, i) for i, t in enumerate(counts)), total, kinds
+        #: Tokens that are a class of their own.
+        self.classes = {END: 0} | {t: i + 1 for i, t in enumerate([t for t in counts if t != END][:own])}
         self.first_shape = len(self.classes)
         self.n_classes = self.first_shape + SHAPES
-        #: log10 of a shape class's whole weight.
+        shapes = np.fromiter(map(shape, counts), np.int32, len(counts))
+        self.count = np.fromiter(counts.values(), np.int64, len(counts))
+        self.class_of = np.fromiter((self.classes.get(t, -1) for t in counts), np.int32, len(counts))
+        alone = self.class_of >= 0
+        self.shape_total = shape_total - np.bincount(shapes[alone], self.count[alone], SHAPES)
+        self.shape_kinds = shape_kinds - np.bincount(shapes[alone & (self.count > 0)], minlength=SHAPES)
+        #: log10 of a shape class's whole weight, of a token's smoothed count, and of its share of its class.
         self.shape_log = np.log10(self.shape_total + 0.5 * (self.shape_kinds + 1))
+        self.log_count = np.log10(self.count + 0.5)
+        self.log_share = np.where(alone, 0.0, self.log_count - self.shape_log[shapes])
+        self.class_of = np.where(alone, self.class_of, self.first_shape + shapes).astype(np.int32)
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
 
-    def encode(self, tokens: list[bytes]) -> np.ndarray:
-        known, first = self.classes.get, self.first_shape
-        return np.fromiter((c if (c := known(t)) is not None else first + shape(t) for t in tokens), np.int32, len(tokens))
+    def encode(self, tokens: list[bytes], numbers: np.ndarray | None = None) -> np.ndarray:
+        """The tokens' classes."""
+        numbers = self.numbers(tokens) if numbers is None else numbers
+        out = self.class_of[numbers]
+        for i in np.flatnonzero(numbers < 0).tolist():
+            out[i] = self.first_shape + shape(tokens[i])
+        return out
 
     def prior(self) -> np.ndarray:
         """Smoothed shares of the classes."""
         weight = np.full(self.n_classes, 0.5)
         for t, i in self.classes.items():
-            weight[i] += self.counts.get(t, 0)
+            weight[i] += self.count[self.ids[t]]
         weight[self.first_shape :] += self.shape_total
         return weight / weight.sum()
 
 
 def lexicon(counts: DataFrame, near: int, own: int) -> Lexicon:
+    """The at most `near` most frequent short tokens are found by a bound on the count, from a table of its logarithms."""
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     short = counts.where(F.octet_length("token") <= 64)
-    top = {bytes(r.token): r.c for r in short.orderBy(F.desc("c"), "token").limit(near).collect()}  # at most `near` short tokens
-    out = Lexicon(top, own, total, kinds, np.zeros(SHAPES), np.zeros(SHAPES))
+    step = F.floor(F.log2("c") * 32).cast("int")
+    least, held = None, 0
+    for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():  # 32 rows for each doubling of the count
+        held += r.n
+        if held > near:
+            break
+        least = r.least
+    rows = short.where(F.col("c") >= least).collect() if least is not None else []
+    top = {bytes(r.token): r.c for r in sorted(rows, key=lambda r: (-r.c, bytes(r.token)))}
+    shape_total, shape_kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     of = F.conv(F.hex(F.substring("token", -2, 2)), 16, 10).cast("long") % SHAPES
     for s, c, n in counts.groupBy(of.alias("s")).agg(F.sum("c"), F.count("*")).collect():
-        out.shape_total[s], out.shape_kinds[s] = c, n
-    for t in out.classes:
-        if t in top:
-            out.shape_total[shape(t)] -= top[t]
-            out.shape_kinds[shape(t)] -= 1
-    out.__post_init__()
-    return out
+        shape_total[s], shape_kinds[s] = c, n
+    return Lexicon(top, own, total, kinds, shape_total, shape_kinds)
 
 
 @dataclass
@@ -199,13 +223,14 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 def groups(sequences: list[np.ndarray]) -> Iterator[list[int]]:
+    """Sequences of like length together, so that few steps run for the long ones alone."""
     group, n = [], 0
-    for i, s in enumerate(sequences):
-        if group and n + len(s) > TOGETHER:
+    for i in sorted(range(len(sequences)), key=lambda i: -len(sequences[i])):
+        if group and n + len(sequences[i]) > TOGETHER:
             yield group
             group, n = [], 0
         group.append(i)
-        n += len(s)
+        n += len(sequences[i])
     if group:
         yield group
 
@@ -232,7 +257,7 @@ def train(docs: DataFrame, lex: Lexicon, states: int = 8, most: int = 1200, warm
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(rows[used, s]) for s in range(states))], ["k", *(f"s{s}" for s in range(states))])
 
         columns = [f"s{s}" for s in range(states)]
-        sums = small_batches(docs.select(text)).mapInArrow(run, "k int, " + ", ".join(f"{c} double" for c in columns)).groupBy("k").agg(*[F.sum(c).alias(c) for c in columns]).collect()  # a row for each class and state
+        sums = small_batches(docs.select(text), ROWS).mapInArrow(run, "k int, " + ", ".join(f"{c} double" for c in columns)).groupBy("k").agg(*[F.sum(c).alias(c) for c in columns]).collect()  # a row for each class and state
         rows = np.zeros((1 + states + lex.n_classes, states))
         for r in sums:
             rows[r[0]] = r[1:]
@@ -247,27 +272,18 @@ def scored(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, text:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, now = shared.value
-        known, classes, first, shape_log, log = own.counts.get, own.classes, own.first_shape, own.shape_log, math.log10
         sequences, n, n_known, base, within, rare = [], [], [], [], [], []
         for t in batch.column(text).to_pylist():
             tokens = tokens_of(t)
-            sequences.append(own.encode(tokens))
-            seen, b, w, rest = 0, 0.0, 0.0, []
-            for token, k in Counter(tokens).items():
-                c = known(token)
-                if token in classes:
-                    b += k * log((c or 0) + 0.5)
-                    seen += k * bool(c)
-                    continue
-                w -= k * shape_log[shape(token)]
-                if c is None:
-                    rest.append({"token": token, "k": k})
-                else:
-                    v = k * log(c + 0.5)
-                    b += v
-                    w += v
-                    seen += k
-            n.append(len(tokens)), n_known.append(seen), base.append(b), within.append(float(w)), rare.append(rest)
+            numbers = own.numbers(tokens)
+            sequences.append(own.encode(tokens, numbers))
+            held = numbers[numbers >= 0]
+            others = Counter(tokens[i] for i in np.flatnonzero(numbers < 0).tolist())
+            n.append(len(tokens))
+            n_known.append(int((own.count[held] > 0).sum()))
+            base.append(float(own.log_count[held].sum()))
+            within.append(float(own.log_share[held].sum() - sum(k * own.shape_log[shape(token)] for token, k in others.items())))
+            rare.append([{"token": token, "k": k} for token, k in others.items()])
         likely = np.empty(len(sequences))
         for group in groups(sequences):
             flat, at, order = packed([sequences[i] for i in group])
@@ -276,7 +292,7 @@ def scored(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, text:
         return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *arrays], [*(f.name for f in kept), "n_tokens", "_known", "_base", "_score", "_rare"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = settle(by_batch(docs, work, f"{columns}, n_tokens bigint, _known bigint, _base double, _score double, _rare array<struct<token: binary, k: bigint>>").withColumn("_row", F.monotonically_increasing_id()))
+    rows = settle(by_batch(docs, work, f"{columns}, n_tokens bigint, _known bigint, _base double, _score double, _rare array<struct<token: binary, k: bigint>>", ROWS).withColumn("_row", F.monotonically_increasing_id()))
     rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.token", "r.k").join(counts, "token", "left")
     c = F.coalesce("c", F.lit(0))
     found = rare.groupBy("_row").agg(F.sum(F.col("k") * F.log10(c + 0.5)).alias("_more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("_seen"))
