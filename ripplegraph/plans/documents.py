@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import closure, dependency, diffs, endpoints, impact, modules, routes
-from ripplegraph.operators.budgets import BudgetExceeded, ConfigInvalid, DiffInvalid, InvalidInput, Limits, check, check_diff, within
+from ripplegraph.operators import closure, contracts, dependency, diffs, endpoints, impact, modules, routes
+from ripplegraph.operators.budgets import BudgetExceeded, ConfigInvalid, DiffInvalid, InvalidInput, Limits, OperationNotFound, check, check_diff, within
 from ripplegraph.operators.lineage import settle
-from ripplegraph.sources import project, recover
+from ripplegraph.sources import project, recover, services
 from ripplegraph.sources.project import FactBase
 
 
@@ -204,8 +204,21 @@ def changed_modules(lines: DataFrame, files: DataFrame) -> DataFrame:
     return settle(modules.changes(both.where("kind = 'del'").drop("kind"), both.where("kind = 'add'").drop("kind")))
 
 
-def impact_document(spark: SparkSession, root: str, diff: str, config: Config | None = None, limits: Limits | None = None, operations: list[str] | None = None, verify: bool = True) -> dict:
-    """The impact of a unified diff, applied to the project below root, on its endpoints."""
+@dataclass
+class Changed:
+    """A project, and what a diff changes in it."""
+
+    fb: FactBase
+    files: DataFrame
+    roots: DataFrame
+    modules: DataFrame
+    usage: DataFrame
+    module_diff: bool
+    limits: Limits
+
+
+def changed(spark: SparkSession, root: str, diff: str, config: Config | None, limits: Limits | None, verify: bool = True, recovering: bool = True) -> Changed:
+    """The roots of a unified diff: facts and symbols its lines hit, deleted routes, and users of changed modules."""
     limits, config = (limits or Limits()).normalised(), config or Config()
     check_diff(diff, limits)
     lines = settle(diffs.diff_lines(spark.createDataFrame([(0, diff)], "diff_id int, content string")))
@@ -232,7 +245,7 @@ def impact_document(spark: SparkSession, root: str, diff: str, config: Config |
     usage = settle(modules.usages(found_modules, fb.imports.select("file", "alias", "import_path"), uses, fb.symbols.select("id", "file")))
     roots = mapped.select(F.coalesce("target_id", "file").alias("root_id"), F.col("kind"), "file", F.lit(None).cast("string").alias("module_path"), F.lit("diff").alias("source"))
     roots = roots.unionByName(modules.roots(usage).select(F.col("target_id").alias("root_id"), F.when(F.col("kind") == "file_changed", "file").otherwise("symbol").alias("kind"), "file", "module_path", "source"))
-    recovered = recover.deleted_routes(spark, fb, diffs.deleted_blocks(lines), named)
+    recovered = recover.deleted_routes(spark, fb, diffs.deleted_blocks(lines), named) if recovering else None
     if recovered is not None:
         # A file root that only stands for recovered lines goes.
         own = recovered.select(F.col("id").alias("root_id"), F.lit("route").alias("kind"), "file", F.lit(None).cast("string").alias("module_path"), F.lit("diff").alias("source"))
@@ -241,6 +254,13 @@ def impact_document(spark: SparkSession, root: str, diff: str, config: Config |
         fb.relations["routes"] = fb.routes.withColumn("recovered", F.lit(False)).unionByName(recovered, allowMissingColumns=True)
     roots = settle(roots.distinct())
     check("roots", roots.count(), limits.roots)
+    return Changed(fb, named, roots, found_modules, usage, module_diff, limits)
+
+
+def impact_document(spark: SparkSession, root: str, diff: str, config: Config | None = None, limits: Limits | None = None, operations: list[str] | None = None, verify: bool = True) -> dict:
+    """The impact of a unified diff, applied to the project below root, on its endpoints; of operations as well."""
+    c = changed(spark, root, diff, config, limits, verify)
+    fb, roots, limits = c.fb, c.roots, c.limits
     resolved, subtree = settle(endpoint_resolutions(fb)), group_subtree(fb, limits)
     edges = settle(steps(fb, resolved, subtree))
     # A root annotation leads to the routes of its handler.
@@ -253,7 +273,69 @@ def impact_document(spark: SparkSession, root: str, diff: str, config: Config |
     evidence = defaultdict(set)
     for r in resolved.join(fb.routes.select(F.col("id").alias("route_id"), F.col("method").alias("_m"), F.coalesce("resolved_path", "local_path").alias("_p")), "route_id").select("method", "path", "_m", "_p").collect():
         evidence[r.method, r.path].add((r["_m"], r["_p"]))
-    return _assemble(roots.collect(), named.collect(), found_modules.collect(), usage.collect(), Walk(near, nodes, limits), evidence, module_diff) | {"grpcSources": []}
+    out = _assemble(roots.collect(), c.files.collect(), c.modules.collect(), c.usage.collect(), Walk(near, nodes, limits), evidence, c.module_diff)
+    return out | {"grpcSources": operation_sources(spark, fb, operations, limits) if operations else []}
+
+
+def operation_sources(spark: SparkSession, fb: FactBase, asked: list[str], limits: Limits | None = None) -> list[dict]:
+    """The endpoints that lead to each asked operation (`<import path>.<Service>/<Method>`)."""
+    package, service, method = S.parse_operation(F.col("raw"))
+    parsed = spark.createDataFrame([(a,) for a in asked], "raw string").withColumn("operation_id", F.concat(F.lit("grpc:"), S.operation_identity(package, service, method)))
+    bad = parsed.where("operation_id is null").first()
+    if bad:
+        raise InvalidInput(f"not an operation: {bad.raw!r}")
+    remote = services.client_calls(fb, strict=True)
+    unknown = parsed.join(remote, "operation_id", "left_anti").first()
+    if unknown:
+        raise OperationNotFound(unknown.raw)
+    pairs = dependency.endpoint_operations(endpoint_resolutions(fb), impact.calls(fb.references), remote, limits)
+    found = dependency.endpoints_of(pairs, parsed).join(parsed, "operation_id", "right")
+    return [{"grpc": {"identity": r.raw, "goMethod": r.raw.rsplit("/", 1)[-1]}, "impactedEndpoints": [dict(zip(("method", "path"), e.split(" ", 1))) for e in r.endpoints or []]} for r in found.orderBy("raw").collect()]
+
+
+def service_document(spark: SparkSession, root: str, diff: str, config: Config | None = None, limits: Limits | None = None, verify: bool = True) -> dict:
+    """The impact of a diff on the contracts of four protocols. Generated glue is not walked through; deleted routes
+    and annotations play no part, so HTTP contracts are named by their routes.
+    """
+    c = changed(spark, root, diff, config, limits, verify, recovering=False)
+    fb, limits = c.fb, c.limits
+    found = settle(services.all_contracts(fb))
+    # What a root that is no symbol stands for: the handlers of its routes, the function that registers it.
+    subtree = group_subtree(fb, limits)
+    handler = fb.routes.where("handler_symbol is not null").select(F.col("id").alias("route_id"), "handler_symbol")
+    stands = subtree.join(handler, "route_id").select(F.col("ancestor").alias("root_id"), F.col("handler_symbol").alias("node"))
+    stands = stands.unionByName(routes.middleware_routes(fb.middleware, subtree, fb.routes).join(handler, "route_id").select(F.col("middleware_id").alias("root_id"), F.col("handler_symbol").alias("node")))
+    stands = stands.unionByName(handler.select(F.col("route_id").alias("root_id"), F.col("handler_symbol").alias("node"))).unionByName(fb.annotations.select(F.col("id").alias("root_id"), F.col("handler_symbol").alias("node")))
+    roots = c.roots.where("kind <> 'file'").select("root_id").distinct()
+    # Changed facts other than symbols lead to their own contracts and no further.
+    symbols = roots.join(fb.symbols.select(F.col("id").alias("root_id")), "root_id").select("root_id", F.col("root_id").alias("node"))
+    walked = contracts.impact(fb.references, symbols, found, limits)
+    direct = roots.join(stands, "root_id").join(found.where("kind = 'http'").withColumnRenamed("entry_symbol", "node"), "node").select("root_id", "id", "kind", "identity", F.lit(0).alias("level"))
+    hit = settle(walked.unionByName(direct).groupBy("root_id", "id", "kind", "identity").agg(F.min("level").alias("level")))
+    where = c.roots.select("root_id", "file", "module_path").distinct()
+    rows = hit.join(where, "root_id").join(found.groupBy("id").agg(F.min("resolution").alias("resolution")), "id").collect()
+    contract = lambda r: {"id": r.id, "kind": r.kind, "identity": r.identity, "identityResolution": r.resolution}
+
+    def buckets(own: list) -> dict:
+        unique = {r.id: contract(r) for r in own}
+        return {k: [unique[i] for i in sorted(unique, key=lambda i: (unique[i]["identity"], i)) if unique[i]["kind"] == k] for k in contracts.PROTOCOLS}
+
+    files = []
+    for f in sorted({f.file for f in c.files.collect()} | {r.file for r in rows if not r.module_path}):
+        own = [r for r in rows if r.file == f and not r.module_path]
+        files.append({"sourceFile": f, "roots": sorted({r.root_id for r in own}), "impactedContracts": buckets(own)})
+    reverse = {k: [] for k in contracts.PROTOCOLS}
+    for i in sorted({r.id for r in rows}, key=lambda i: (next(r.identity for r in rows if r.id == i), i)):
+        own = [r for r in rows if r.id == i]
+        sources = sorted({(r.module_path or "", r.file) for r in own})
+        entry = contract(own[0]) | {"sources": [{"sourceType": "module" if m else "file", **({"modulePath": m} if m else {}), "sourceFile": f, "roots": sorted({(r.root_id, r.level) for r in own if (r.module_path or "", r.file) == (m, f)})} for m, f in sources]}
+        for source in entry["sources"]:
+            source["roots"] = [{"id": root_id, "level": level} for root_id, level in source["roots"]]
+        reverse[own[0].kind].append(entry)
+    out = {"summary": buckets(rows), "fileSources": files}
+    if not c.modules.isEmpty():
+        out["moduleSources"] = [{"modulePath": m.path, "changeType": m.kind, "impactedContracts": buckets([r for r in rows if r.module_path == m.path])} for m in c.modules.orderBy("path").collect()]
+    return out | {"entrySourcesSummary": reverse}
 
 
 def _assemble(roots: list, files: list, found_modules: list, usage: list, walk: Walk, evidence: dict, module_diff: bool) -> dict:

@@ -8,6 +8,7 @@ that its scope gives the first one.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 from ripplegraph.sources import golang
@@ -19,6 +20,9 @@ HANDLER_WRAPPERS = ("controllerwithreqresp", "appcontrollerwithreqresp", "contro
 GROUP_WRAPPER_PREFIXES, GROUP_WRAPPER_PARTS = ("add",), ("guard", "validator")
 GROUP_FACTORY_PREFIXES, GROUP_FACTORY_PART = ("create", "new", "build"), "group"
 ROOT_TYPE, ROOT_SUFFIX = "Engine", "Group"
+SERVER_REGISTRATION = re.compile(r"^Register(\w+)Server$")
+CONFIG_SUFFIX, SETTER, MAPPER = "ServiceConfig", "SetProviderService", "MethodMapper"
+TASK_TYPES, TASK_PACKAGES = ("JobListener", "TaskFunc"), ("jobx", "xxljob")
 MOST_WRAPPERS = 16
 
 
@@ -82,6 +86,7 @@ class FileFacts:
             if d.results:
                 self.type_row("returns", d.results[0].type, id=d.symbol)
             self.comments_of(d)
+            self.shape_of(d)
         elif d.kind == "type":
             d.f["symbol"] = self.symbol("type", "", d.name, d)
             if d.type.kind == "struct":
@@ -138,6 +143,25 @@ class FileFacts:
                 return [{"type_package": self.imports[fun.x.name], "type_name_of": text_of(fun.name), "maker": f"func:{self.imports[fun.x.name]}::{text_of(fun.name)}"}]
         return []
 
+    def shape_of(self, d: Node) -> None:
+        """Whether a method has the shape of a unary remote handler, and what a function's returns make."""
+        params = [f.type for f in d.params for _ in (f.names or [""])]
+        results = [f.type for f in d.results for _ in (f.names or [""])]
+        first = params[0] if params else None
+        context = first is not None and first.kind == "selector" and first.name == "Context"
+        unary = len(params) == 2 and context and len(results) == 2 and results[1].kind == "ident" and results[1].name == "error"
+        if d.recv and d.name[:1].isupper():
+            self.row("shapes", id=d.symbol, package_path=self.package, receiver=text_of(type_name(d.recv.type) or ""), name=text_of(d.name), unary=unary)
+        if d.recv and d.name == MAPPER and d.body:
+            for x in d.body.walk():
+                if x.kind == "keyvalue" and x.key.kind == "lit" and x.value.kind == "lit":
+                    self.row("method_names", package_path=self.package, receiver=text_of(type_name(d.recv.type) or ""), go_method=text_of(x.key.text[1:-1]), name=text_of(x.value.text[1:-1]))
+        if d.body and d.results:
+            for x in own_nodes(d.body):
+                if x.kind == "return" and x.values:
+                    types = self.value_types(None, x.values[0])
+                    self.row("made", id=d.symbol, **(types[0] if types else {"type_package": None, "type_name_of": None, "maker": None}))
+
     def comments_of(self, d: Node) -> None:
         """The comment lines right above a function, as possible annotations."""
         line = self.parser.place(d.start)[0]
@@ -211,6 +235,7 @@ class FileFacts:
             if d.body:
                 self.statements(d.symbol, d.body.body, scope.inner())
                 self.route_events(d)
+                self.services(d, scope)
 
     def expression(self, source: str, x: Node | None, scope: Scope) -> None:
         if x is None:
@@ -318,6 +343,67 @@ class FileFacts:
             for c in s.children():
                 self.expression(source, c, scope)
 
+    # Services
+
+    def services(self, d: Node, scope: Scope) -> None:
+        """Registrations of remote services, provider configurations and jobs in a function."""
+        local = {}
+        for s in own_nodes(d.body):
+            if s.kind == "assign":
+                for left, right in zip(s.left, s.right):
+                    if left.kind == "ident":
+                        local[left.name] = self.value_types(None, right)
+        tasks = {name for f in d.params for name in f.names if task_map(f.type)}
+        for x in own_nodes(d.body):
+            fun = x.fun.x if x.kind == "call" and x.fun.kind == "index" else x.f.get("fun")
+            name = last_name(fun) if fun is not None else None
+            if x.kind == "call" and name and (m := SERVER_REGISTRATION.match(name)) and len(x.args) == 2:
+                imported = self.imports.get(fun.x.name) if fun.kind == "selector" and fun.x.kind == "ident" else self.package
+                if imported:
+                    own = f"{self.path}:{x.start}"
+                    self.row("server_registrations", id=own, service_package=imported, service=text_of(m[1]), register_function=text_of(name), registration_symbol=d.symbol, file=self.path, **self.span(x))
+                    for t in self.made_in(x.args[1], local, scope):
+                        self.row("server_candidates", id=own, **t)
+            elif x.kind == "call" and name == SETTER and x.args:
+                own = f"{self.path}:{x.start}"
+                self.row("provider_setters", function=d.symbol, id=own, position=x.start)
+                for t in self.made_in(x.args[0], local, scope):
+                    self.row("setter_candidates", id=own, **t)
+            elif x.kind == "composite" and x.type is not None and (type_name(x.type) or "").endswith(CONFIG_SUFFIX):
+                self.provider_config(d, x)
+            elif x.kind == "assign" and x.left[0].kind == "index" and x.left[0].x.kind == "ident" and x.left[0].x.name in tasks and x.left[0].args[0].kind == "lit":
+                job = text_of(x.left[0].args[0].text[1:-1])
+                own = f"job:{d.symbol}:{job}"
+                self.row("job_registrations", id=own, name=job, registration_symbol=d.symbol, file=self.path, **self.span(x))
+                self.mention(d.symbol, "handler", x.right[0], scope, owner=own)
+
+    def made_in(self, x: Node, local: dict, scope: Scope) -> Iterable[dict]:
+        """Types and makers that an argument may hold: literals, constructors (called or named), variables."""
+        if x.kind == "ident":
+            yield from local.get(x.name) or scope.find(x.name) or [{"type_package": self.package, "type_name_of": text_of(x.name), "maker": f"value:{self.package}::{text_of(x.name)}"}]
+        elif x.kind == "selector" and x.x.kind == "ident" and x.x.name in self.imports:
+            yield {"type_package": self.imports[x.x.name], "type_name_of": text_of(x.name), "maker": f"value:{self.imports[x.x.name]}::{text_of(x.name)}"}
+        elif x.kind in ("paren", "unary"):
+            yield from self.made_in(x.x, local, scope)
+        elif x.kind == "composite":
+            yield from self.value_types(None, x)
+        elif x.kind == "call":
+            yield from self.value_types(None, x)
+            for a in x.args:
+                yield from self.made_in(a, local, scope)
+
+    def provider_config(self, d: Node, x: Node) -> None:
+        given = {e.key.name: e.value for e in x.elements if e.kind == "keyvalue" and e.key.kind == "ident"}
+        interface, version = given.get("Interface"), given.get("Version")
+        if interface is None or interface.kind != "lit":
+            return
+        literal = version is not None and version.kind == "lit"
+        methods = [e.value for m in [given.get("Methods")] if m is not None for e in m.walk() if e.kind == "keyvalue" and e.key.kind == "ident" and e.key.name == "Name" and e.value.kind == "lit"]
+        self.row(
+            "provider_configs", function=d.symbol, id=f"{self.path}:{x.start}", position=x.end, interface=text_of(interface.text[1:-1]), version=text_of(version.text[1:-1]) if literal else None,
+            version_expression=self.raw(version) if version is not None and not literal else None, methods=[text_of(m.text[1:-1]) for m in methods], file=self.path, **self.span(x),
+        )
+
     # Routes
 
     def path_parts(self, x: Node) -> list[dict] | None:
@@ -365,6 +451,19 @@ class Scope:
         return self.names[name] if name in self.names else self.outer.find(name) if self.outer else None
 
 
+def own_nodes(x: Node) -> Iterable[Node]:
+    """All nodes below, but for those of functions inside."""
+    for c in x.children():
+        if c.kind != "funclit":
+            yield c
+            yield from own_nodes(c)
+
+
+def task_map(t: Node) -> bool:
+    """Whether a type is a map from names to task functions."""
+    return t.kind == "map" and t.x.kind == "selector" and t.x.name in TASK_TYPES and t.x.x.kind == "ident" and t.x.x.name in TASK_PACKAGES
+
+
 def type_name(t: Node) -> str | None:
     while t.kind in ("star", "paren", "index", "ellipsis"):
         t = t.x
@@ -410,6 +509,8 @@ class Routes:
             return
         if s.kind == "assign":
             for left, right in zip(s.left, s.right):
+                if left.kind == "ident" and s.op == ":=":
+                    self.scope.add(left.name, self.facts.value_types(None, right))
                 if left.kind == "ident" and (made := self.made_group(right, groups)):
                     self.add_group(s, left.name, right, made, groups)
                 else:

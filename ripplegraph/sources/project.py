@@ -40,6 +40,16 @@ SCHEMAS = {
     "route_arguments": "callee string, position int, group_id string, caller string",
     "route_returns": "callee string, group_id string",
     "route_receivers": "callee string, group_id string",
+    "shapes": "id string, package_path string, receiver string, name string, unary boolean",
+    "method_names": "package_path string, receiver string, go_method string, name string",
+    "made": f"id string, {_TYPE}",
+    "server_registrations": f"id string, service_package string, service string, register_function string, registration_symbol string, file string, {_SPAN}",
+    "server_candidates": f"id string, {_TYPE}",
+    "provider_setters": "function string, id string, position int",
+    "setter_candidates": f"id string, {_TYPE}",
+    "provider_configs": f"function string, id string, position int, interface string, version string, version_expression string, methods array<string>, file string, {_SPAN}",
+    "job_registrations": f"id string, name string, registration_symbol string, file string, {_SPAN}",
+    "interfaces": "id string",
     "diagnostics": "code string, severity string, message string, file string",
 }
 SKIPPED_FOLDERS = ("vendor", "node_modules", "testdata")
@@ -95,23 +105,41 @@ def parse(sources: DataFrame) -> dict[str, DataFrame]:
     return {name: rows.where(F.col("relation") == name).select(F.from_json("payload", schema).alias("r")).select("r.*") for name, schema in SCHEMAS.items()}
 
 
+def narrowed(returns: DataFrame, made: DataFrame, interfaces: DataFrame, symbols: DataFrame) -> DataFrame:
+    """returns, an interface replaced by the one project type that all return statements make."""
+    kinds = symbols.where("kind = 'type'").select(F.col("package_path").alias("type_package"), F.col("name").alias("type_name_of"), F.col("id").alias("_type"))
+    own = made.where("maker is null").join(kinds, ["type_package", "type_name_of"], "left").unionByName(made.where("maker is not null").withColumn("_type", F.lit(None).cast("string")))
+    single = links.unique_bindings(own.select(F.col("id").alias("variable"), F.col("_type").alias("concrete_type")))
+    concrete_of = single.join(kinds, F.col("concrete_type") == F.col("_type")).select(F.col("variable").alias("id"), F.col("type_package").alias("_p"), F.col("type_name_of").alias("_n"))
+    abstract = returns.join(kinds, ["type_package", "type_name_of"]).join(interfaces.select(F.col("id").alias("_type")), "_type").select("id", F.lit(True).alias("_abstract"))
+    out = returns.join(abstract, "id", "left").join(concrete_of, "id", "left")
+    use = F.col("_abstract") & F.col("_n").isNotNull()
+    return out.select("id", F.when(use, F.col("_p")).otherwise(F.col("type_package")).alias("type_package"), F.when(use, F.col("_n")).otherwise(F.col("type_name_of")).alias("type_name_of"), "maker")
+
+
 def concrete(rows: DataFrame, returns: DataFrame, symbols: DataFrame) -> DataFrame:
-    """rows with tpkg and tname for their type: named, made by a project function, or converted to."""
+    """rows with tpkg and tname for their type: named, made by a project function, or converted to.
+
+    A constructor of another project (`NewX`) is taken to make its package's X.
+    """
     made = returns.where("maker is null").select(F.col("id").alias("maker"), F.col("type_package").alias("_rp"), F.col("type_name_of").alias("_rn"))
     types = symbols.where("kind = 'type'").select(F.col("package_path").alias("type_package"), F.col("name").alias("type_name_of"), F.lit(True).alias("_is_type"))
     out = rows.join(made, "maker", "left").join(types, ["type_package", "type_name_of"], "left")
     own = F.col("maker").isNull() | F.col("_is_type")
-    tpkg, tname = F.coalesce("_rp", F.when(own, F.col("type_package"))), F.coalesce("_rn", F.when(own, F.col("type_name_of")))
-    return out.withColumn("tpkg", tpkg).withColumn("tname", tname).drop("_rp", "_rn", "_is_type", "maker", "type_package", "type_name_of").where("tname is not null")
+    inside = symbols.select(F.col("package_path").alias("type_package"), F.lit(True).alias("_inside")).distinct()
+    out = out.join(inside, "type_package", "left")
+    foreign = F.col("_inside").isNull() & F.col("type_name_of").rlike("^New[A-Z]")
+    tpkg = F.coalesce("_rp", F.when(own | foreign, F.col("type_package")))
+    tname = F.coalesce("_rn", F.when(own, F.col("type_name_of")).when(foreign, F.substring("type_name_of", 4, 1000)))
+    return out.withColumn("tpkg", tpkg).withColumn("tname", tname).drop("_rp", "_rn", "_is_type", "_inside", "maker", "type_package", "type_name_of").where("tname is not null")
 
 
-def methods_of(chains: DataFrame, fields: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
-    """key and symbol: chains(key, tpkg, tname, rest) followed field by field to a method of the last type."""
+def ends_of(chains: DataFrame, fields: DataFrame, most: int = 8) -> DataFrame:
+    """key, tpkg, tname and method: chains(key, tpkg, tname, rest) followed field by field to the last name."""
     hops = settle(fields.select(F.col("package_path").alias("tpkg"), F.col("type_name").alias("tname"), F.col("field"), F.col("tpkg").alias("_p"), F.col("tname").alias("_t")))
-    own = symbols.where("kind = 'method'").select(F.col("id").alias("symbol"), F.col("package_path").alias("tpkg"), F.col("receiver").alias("tname"), F.col("name").alias("method"))
     found, now = None, chains
     for _ in range(most):
-        last = now.where(F.size("rest") == 1).withColumn("method", F.get("rest", F.lit(0))).join(own, ["tpkg", "tname", "method"]).select("key", "symbol")
+        last = now.where(F.size("rest") == 1).select("key", "tpkg", "tname", F.get("rest", F.lit(0)).alias("method"))
         found = last if found is None else found.unionByName(last)
         longer = now.where(F.size("rest") > 1).withColumn("field", F.get("rest", F.lit(0)))
         now = settle(longer.join(hops, ["tpkg", "tname", "field"]).select("key", F.col("_p").alias("tpkg"), F.col("_t").alias("tname"), F.slice("rest", 2, 1000).alias("rest")))
@@ -120,11 +148,35 @@ def methods_of(chains: DataFrame, fields: DataFrame, symbols: DataFrame, most: i
     return found.distinct()
 
 
-def resolve(mentions: DataFrame, symbols: DataFrame, values: DataFrame, fields: DataFrame, returns: DataFrame) -> DataFrame:
-    """Mentions with the symbols they mean: a row for each, with `prio` of how it was found (0 type, 1 function,
-    2 variable or constant, 3 method). Of calls and handlers only what comes first stays.
+def methods_of(ends: DataFrame, symbols: DataFrame) -> DataFrame:
+    """key and symbol of the ends that are methods of project types."""
+    own = symbols.where("kind = 'method'").select(F.col("id").alias("symbol"), F.col("package_path").alias("tpkg"), F.col("receiver").alias("tname"), F.col("name").alias("method"))
+    return ends.join(own, ["tpkg", "tname", "method"]).select("key", "symbol").distinct()
+
+
+def keyed(mentions: DataFrame) -> DataFrame:
+    return mentions.withColumn("key", F.concat_ws("#", "file", F.col("n").cast("string")))
+
+
+def chain_ends(m: DataFrame, symbols: DataFrame, values: DataFrame, fields: DataFrame, returns: DataFrame) -> DataFrame:
+    """Of mentions that start at a value of a known type, the type and the method at the end."""
+    part = lambda i: F.get("parts", F.lit(i))
+    size, local, imported, own, role = F.size("parts"), F.col("is_local"), F.col("imported"), F.col("package_path"), F.col("role")
+    scoped = m.where(role.isin("call", "handler", "middleware") & local & imported.isNull() & (size >= 2)).select("key", F.slice("parts", 2, 1000).alias("rest"), F.explode("types").alias("t")).select("key", "rest", "t.*")
+    chains = concrete(scoped, returns, symbols).select("key", "tpkg", "tname", "rest")
+    v = concrete(values, returns, symbols).select(F.col("package_path").alias("vpkg"), F.col("var_name").alias("vname"), "tpkg", "tname")
+    through = m.where(role.isin("call", "value", "handler", "middleware") & (size >= 2))
+    near = through.where(imported.isNull() & ~local & ((role != "value") | (size == 2))).select("key", own.alias("vpkg"), part(0).alias("vname"), F.slice("parts", 2, 1000).alias("rest"))
+    away = through.where(imported.isNotNull() & (size >= 3)).select("key", imported.alias("vpkg"), part(1).alias("vname"), F.slice("parts", 3, 1000).alias("rest"))
+    chains = chains.unionByName(near.unionByName(away).join(v, ["vpkg", "vname"]).select("key", "tpkg", "tname", "rest"))
+    return settle(ends_of(chains, concrete(fields, returns, symbols)))
+
+
+def resolve(mentions: DataFrame, symbols: DataFrame, ends: DataFrame) -> DataFrame:
+    """Mentions (with keys) and the symbols they mean: a row for each, with `prio` of how it was found (0 type,
+    1 function, 2 variable or constant, 3 method). Of calls and handlers only what comes first stays.
     """
-    m = settle(mentions.withColumn("key", F.concat_ws("#", "file", F.col("n").cast("string"))))
+    m = mentions
     part = lambda i: F.get("parts", F.lit(i))
     size, local, imported = F.size("parts"), F.col("is_local"), F.col("imported")
     plain = lambda kind, package, name: F.concat(F.lit(f"{kind}:"), package, F.lit("::"), name)
@@ -142,15 +194,7 @@ def resolve(mentions: DataFrame, symbols: DataFrame, values: DataFrame, fields:
     ways += [guess((role == "value") & (size == 2) & imported.isNull() & ~local, plain("var", own, part(0)), 2), guess((role == "receiver") & (size == 2), plain("var", own, part(0)), 2)]
     named = m.select("key", F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("w")).select("key", "w.symbol", "w.prio")
     named = named.join(symbols.select(F.col("id").alias("symbol")), "symbol").select("key", "symbol", "prio")
-    # Chains that start at a value of a known type.
-    scoped = m.where(F.col("role").isin("call", "handler", "middleware") & local & imported.isNull() & (size >= 2)).select("key", F.slice("parts", 2, 1000).alias("rest"), F.explode("types").alias("t")).select("key", "rest", "t.*")
-    chains = concrete(scoped, returns, symbols).select("key", "tpkg", "tname", "rest")
-    v = concrete(values, returns, symbols).select(F.col("package_path").alias("vpkg"), F.col("var_name").alias("vname"), "tpkg", "tname")
-    through = m.where(F.col("role").isin("call", "value", "handler", "middleware") & (size >= 2))
-    near = through.where(imported.isNull() & ~local & ((role != "value") | (size == 2))).select("key", own.alias("vpkg"), part(0).alias("vname"), F.slice("parts", 2, 1000).alias("rest"))
-    away = through.where(imported.isNotNull() & (size >= 3)).select("key", far.alias("vpkg"), part(1).alias("vname"), F.slice("parts", 3, 1000).alias("rest"))
-    chains = chains.unionByName(near.unionByName(away).join(v, ["vpkg", "vname"]).select("key", "tpkg", "tname", "rest"))
-    methods = methods_of(chains, concrete(fields, returns, symbols), symbols).withColumn("prio", F.lit(3))
+    methods = methods_of(ends, symbols).withColumn("prio", F.lit(3))
     found = settle(named.unionByName(methods).distinct())
     best = found.groupBy("key").agg(F.min("prio").alias("_best"))
     rows = m.join(found, "key").join(best, "key")
@@ -215,7 +259,10 @@ def load(spark: SparkSession, root: str, goos: str = "linux", goarch: str = "amd
     sources = sources.where(in_build(F.col("content").cast("string"), F.col("path"), goos, goarch))
     raw = parse(sources)
     symbols = settle(raw["symbols"].dropDuplicates(["id"]))
-    resolved = settle(resolve(raw["mentions"], symbols, raw["values"], raw["fields"], raw["returns"]))
+    mentions = settle(keyed(raw["mentions"]))
+    returns = settle(narrowed(raw["returns"], raw["made"], raw["interfaces"], symbols))
+    ends = chain_ends(mentions, symbols, raw["values"], raw["fields"], returns)
+    resolved = settle(resolve(mentions, symbols, ends))
     references = settle(reference_rows(resolved))
     own = resolved.where("owner is not null").select("owner", "role", "symbol", "n")
     handlers = own.where("role = 'handler'").groupBy("owner").agg(F.min("symbol").alias("handler_symbol"))
@@ -231,7 +278,7 @@ def load(spark: SparkSession, root: str, goos: str = "linux", goarch: str = "amd
     annotations = links.annotations(raw["comments"]).withColumn("ordinal", F.row_number().over(in_order) - 1)
     annotations = annotations.withColumn("raw", S.strip(F.regexp_replace("raw", r"^\s*//+", ""))).withColumn("id", F.concat_ws(":", F.lit("annotation"), "handler_symbol", "method", "path", F.col("ordinal").cast("string")))
     relations = {
-        **raw, "files": files, "symbols": symbols, "references": references, "route_groups": settle(groups), "flows": settle(flows), "routes": found, "middleware": settle(guarded), "annotations": settle(annotations),
+        **raw, "mentions": mentions, "returns": returns, "ends": ends, "handlers": handlers, "files": files, "symbols": symbols, "references": references, "route_groups": settle(groups), "flows": settle(flows), "routes": found, "middleware": settle(guarded), "annotations": settle(annotations),
         "modules": modules.dependencies(top), "resolved": resolved,
     }
     return FactBase(relations, module.module_path)
