@@ -7,7 +7,8 @@ are its distance. A text is described by how many of its windows reach each thre
 and as a share of all, and by its best windows; a logistic curve over these is calibrated on the same labels.
 
 A short block that does not shrink is stored as it is, so each window is led by a run that both dictionaries
-hold; then its own marginal length counts. Windows cover the whole text. All rows are scored in one pass
+hold; then its own marginal length counts. A saving may also come from where a match happens to start, so windows
+with one are compressed again, more thoroughly, behind another lead, and shifted by a word. Windows cover the whole text. All rows are scored in one pass
 without a shuffle; dictionaries are some KB at any input size. Words are lower-cased (A-Z).
 
 Defined results: null and blank texts have one empty window. Labels other than 0 and 1 are left out. Without
@@ -86,30 +87,61 @@ class Distance:
         self.ordinary, self.runs, self.width = ordinary, runs, width
 
     def open(self) -> None:
-        parameters = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY, min_match=4, search_log=6, target_length=64, hash_log=14, chain_log=14, window_log=17, write_checksum=0, write_content_size=0, write_dict_id=0)
-        self.lead, self.known = self.ordinary[-64:], {}
-        self.compress = []
+        self.known, self.sure = {}, {}
+        self.quick = self._pair(zs.STRATEGY_LAZY, 4)
+        self.thorough = self._pair(zs.STRATEGY_BTULTRA, 3)
+        self.leads = self.ordinary[-64:], self.ordinary[-160:-32]
+
+    def _pair(self, strategy: int, match: int) -> list:
+        """Compressors with the ordinary and the toxic dictionary."""
+        parameters = zs.ZstdCompressionParameters(strategy=strategy, min_match=match, search_log=6, target_length=64, hash_log=14, chain_log=14, window_log=17, write_checksum=0, write_content_size=0, write_dict_id=0)
+        out = []
         for content in (self.ordinary, self.runs + self.ordinary):
-            if len(content) < 8:
-                content = b" " * 8 + content
-            d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            d = zs.ZstdCompressionDict(content if len(content) >= 8 else b" " * 8 + content, dict_type=zs.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=parameters)
-            self.compress.append(zs.ZstdCompressor(dict_data=d, compression_params=parameters).compress)
+            out.append(zs.ZstdCompressor(dict_data=d, compression_params=parameters).compress)
+        return out
 
     def saved(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves on a window, by a quick search for matches."""
         if (v := self.known.get(window)) is None:
-            padded = self.lead + b" " + window + b" "
-            v = len(self.compress[0](padded)) - len(self.compress[1](padded))
+            padded = self.leads[0] + b" " + window + b" "
+            v = len(self.quick[0](padded)) - len(self.quick[1](padded))
             if len(self.known) < MEMORY:
                 self.known[window] = v
         return v
 
+    def confirmed(self, window: bytes) -> int:
+        """The lesser of the quick and a thorough search, behind another lead."""
+        if (v := self.sure.get(window)) is None:
+            v = self.saved(window)
+            if v >= STEPS[0]:
+                padded = self.leads[1] + b" " + window + b" "
+                v = min(v, len(self.thorough[0](padded)) - len(self.thorough[1](padded)))
+            if len(self.sure) < MEMORY:
+                self.sure[window] = v
+        return v
+
     def features(self, text: str | None) -> list[float]:
-        ws, saved = words_of(text), self.saved
-        d = np.fromiter((saved(b" ".join(ws[i : i + self.width])) for i in range(0, len(ws) or 1, self.width)), np.int64)
-        best = np.sort(d)[::-1][:3]
-        n = [int((d >= s).sum()) for s in STEPS]
-        return [float(best[0]), float(best.sum()), *(math.log1p(k) for k in n), *(100 * k / (len(d) + 10) for k in n)]
+        """Of windows' savings as found, as confirmed, and as confirmed in a window shifted by one word as well."""
+        ws, width = words_of(text), self.width
+        found, sure, shifted = [], [], []
+        for i in range(0, len(ws) or 1, width):
+            window = b" ".join(ws[i : i + width])
+            v = s = both = self.saved(window)
+            if v >= STEPS[0]:
+                s = both = self.confirmed(window)
+                if s >= STEPS[0]:
+                    before, after = ws[max(0, i - 1) : i - 1 + width], ws[i + 1 : i + 1 + width]
+                    both = min(s, max(self.confirmed(b" ".join(before)), self.confirmed(b" ".join(after))))
+            found.append(v), sure.append(s), shifted.append(both)
+        return [f for d in (found, sure, shifted) for f in described(np.array(d))]
+
+
+def described(d: np.ndarray) -> list[float]:
+    best = np.sort(d)[::-1][:3]
+    n = [int((d >= s).sum()) for s in STEPS]
+    return [float(best[0]), float(best.sum()), *(math.log1p(k) for k in n), *(100 * k / (len(d) + 10) for k in n)]
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -142,7 +174,7 @@ class Calibration:
         return _logistic(self._with_one(x) @ self.w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 3000, width: int = 2, ordinary_size: int = 2048, toxic_size: int = 2000) -> tuple[Distance, Calibration]:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 4000, width: int = 2, ordinary_size: int = 4096, toxic_size: int = 2000) -> tuple[Distance, Calibration]:
     """Dictionaries from half of the sample and calibration from the other, so that it sees unlearned texts."""
     sample = labelled(docs, labels, "toxic", allowed, most).withColumn("half", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/half"))) % 3 == 0)
     rows = sorted(((r.half, r.y, r.text or "", str(r.doc_id)) for r in sample.select("half", "y", "text", "doc_id").toLocalIterator()), key=lambda r: r[3])
@@ -152,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 3000, w
     rest = [r for r in rows if r[0]]
     if len({r[1] for r in rest}) < 2:
         rest = rows
-    x = np.array([distance.features(t) for _, _, t, _ in rest], float).reshape(len(rest), 2 + 2 * len(STEPS))
+    x = np.array([distance.features(t) for _, _, t, _ in rest], float).reshape(len(rest), 3 * (2 + 2 * len(STEPS)))
     calibration = Calibration(x, np.array([y for _, y, _, _ in rest], float))
     return Distance(distance.ordinary, distance.runs, width), calibration
 
