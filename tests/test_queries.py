@@ -1,9 +1,9 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ripplegraph.plans import registry
@@ -23,7 +23,7 @@ def db():
 
 
 def rows(frame):
-    show = lambda v: "null" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.9g}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, r)) for r in frame[sorted(frame.columns)].astype(object).values.tolist())
 
 
