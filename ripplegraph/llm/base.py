@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripplegraph.operators.lineage import settle, shared_folder  # noqa: F401
+
 #: Rows of one Arrow batch. A batch of ordinary texts is a few MB; one of very long texts still fits a worker.
 BATCH_ROWS = 1000
 
@@ -23,29 +23,6 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(mod)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="ripplegraph-")
-        spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/ripplegraph-{spark.sparkContext.applicationId}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that lost executors cost no recomputation.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    top = shared_folder(spark)
-    path = f"{top}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow of a function of one batch, over batches of so many rows at most."""
 

@@ -108,5 +108,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+SQL["op10_quotation"] = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM conversations),
+l AS (SELECT r, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM m),
+v AS (SELECT r, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^([ \t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^([ \t]*>)+[ \t]?', '') AS words FROM l),
+w AS (SELECT *, lead(level, 1, 0) OVER o AS after, CASE WHEN level IS DISTINCT FROM lag(level) OVER o THEN 1 ELSE 0 END AS new FROM v WINDOW o AS (PARTITION BY r ORDER BY i)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS passage FROM w),
+b AS (SELECT r, trim(regexp_replace(string_agg(words, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g')) AS body FROM p WHERE level = 0 AND NOT (after > 0 AND regexp_matches(words, 'wrote:\s*$')) GROUP BY r),
+q AS (SELECT r, conv_id, turn, passage, level, string_agg(words, ' ' ORDER BY i) AS whole FROM p WHERE level > 0 GROUP BY r, conv_id, turn, passage, level),
+au AS (SELECT r, conv_id, turn, passage, level, whole AS unit FROM q UNION SELECT r, conv_id, turn, passage, level, words FROM p WHERE level > 0),
+asked AS (SELECT DISTINCT r, conv_id, turn, passage, level, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM au),
+ou AS (SELECT conv_id, turn, unnest([body] || string_split_regex(body, '\n[ \t]*\n') || string_split(body, chr(10))) AS unit FROM b JOIN m USING (r)),
+orig AS (SELECT conv_id, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit, min(turn) AS origin FROM ou WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+f AS (SELECT a.r, a.passage, a.level, length(a.unit) AS n, o.origin FROM asked a JOIN orig o ON a.conv_id = o.conv_id AND a.unit = o.unit WHERE a.unit <> '' AND o.origin < a.turn),
+par AS (SELECT r, origin AS parent_turn FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level, n DESC, origin DESC) AS k FROM f) x WHERE k = 1),
+cnt AS (SELECT r, count(DISTINCT passage) AS n_linked FROM f GROUP BY r),
+up AS (SELECT conv_id, turn, min(parent_turn) AS parent FROM par JOIN m USING (r) GROUP BY conv_id, turn),
+walk(conv_id, turn, root, hops) AS (SELECT conv_id, turn, parent, 1 FROM up UNION ALL SELECT k.conv_id, k.turn, u.parent, k.hops + 1 FROM walk k JOIN up u ON u.conv_id = k.conv_id AND u.turn = k.root),
+rt AS (SELECT conv_id, turn, arg_max(root, hops) AS root, max(hops) AS hops FROM walk GROUP BY conv_id, turn),
+x AS (SELECT m.r, m.conv_id, m.turn, m.role, coalesce(rt.root, m.turn) AS root_turn, par.parent_turn, coalesce(rt.hops, 0) AS depth, coalesce((SELECT count(*) FROM q WHERE q.r = m.r), 0) AS n_quoted, coalesce(cnt.n_linked, 0) AS n_linked, coalesce(b.body, '') AS body
+    FROM m LEFT JOIN b USING (r) LEFT JOIN par USING (r) LEFT JOIN cnt USING (r) LEFT JOIN rt ON rt.conv_id = m.conv_id AND rt.turn = m.turn)
+SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, turn NULLS FIRST, r) - 1 AS BIGINT) AS position, root_turn, parent_turn, CAST(depth AS INTEGER) AS depth,
+    CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked, body, '<|' || coalesce(role, '') || '|>' || chr(10) || body AS chat
+FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return SQL
