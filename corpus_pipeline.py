@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontam, mixing, pii, quality, simhash
+from ripplegraph.llm import decontam, mixing, near, pii, quality
 from ripplegraph.llm.base import remainder, settle, shared_folder, table
 
-#: Not expressible as a whole: the classifier and SimHash are no SQL. tests/llm holds stages against brute force.
+#: Not expressible as a whole: the classifier and MinHash are no SQL. tests/llm holds stages against brute force.
 ORACLE_SQL = None
 
 
@@ -25,16 +25,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of linked fingerprints; of rows that repeat this id, one stays."""
-    groups = simhash.near_duplicates(docs)
-    first = settle(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")))
-    # One plan at every size: texts are shuffled by id once, whether or not the ids would fit a broadcast today.
-    kept = docs.join(first.hint("merge"), docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    if first.where("_n > 1").isEmpty():
-        return kept
-    repeated = first.where("_n > 1")
-    once = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_anti").unionByName(once)
+    """The document of least id of each group of near copies, by five-word shingles; of rows that repeat this id, one stays."""
+    rows = near.grouped(docs)
+    ids = rows.select("doc_id", "_root")
+    first = settle(ids.groupBy("_root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    kept = rows.join(first.hint("merge"), rows.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

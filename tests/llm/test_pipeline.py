@@ -55,3 +55,50 @@ def test_run_and_empty_documents(spark, folder, tmp_path):
     empty = spark.createDataFrame([], COLUMNS)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def similarity(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited(text, at):
+    words = text.split()
+    return " ".join("edited" if i in at else w for i, w in enumerate(words))
+
+
+def test_near_copies_leave_one_text(spark, folder):
+    base = {i: prose(100_000 + i) for i in range(30)}
+    texts = {10 * i: t for i, t in base.items()}
+    texts |= {10 * i + 1: edited(t, {40}) for i, t in base.items()}  # one word amid 80: 71 of 81 shingles stay
+    texts |= {10 * i + 2: edited(t, {0, 79}) for i, t in base.items()}
+    texts |= {10 * i + 3: edited(t, {20, 40, 60}) for i, t in base.items()}  # below 0.8 of any other: stays
+    assert all(similarity(t, texts[10 * i + k]) >= 0.8 for i, t in base.items() for k in (1, 2))
+    assert all(similarity(texts[10 * i + k], texts[10 * i + 3]) < 0.8 for i in base for k in range(3))
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in texts.items()], COLUMNS)
+    kept = sorted(r.doc_id for r in cp.one_of_each_group(spark, docs, folder).collect())
+    assert kept == sorted(10 * i + k for i in base for k in (0, 3))
+
+
+def test_a_band_of_chains_is_linked_as_by_brute_force():
+    import numpy as np
+
+    from ripplegraph.llm import near
+
+    rng = random.Random(5)
+    for _ in range(40):
+        pool = list(range(60))
+        sets = [np.array(sorted(rng.sample(pool[k : k + 24], 20)), np.uint64) for k in (rng.choice((0, 3, 30)) for _ in range(30))]
+        own = lambda pairs: {frozenset(g) for g in groups(len(sets), pairs)}
+        pairs = [(i, j) for i in range(30) for j in range(i) if len(set(sets[i]) & set(sets[j])) * 5 >= 4 * len(set(sets[i]) | set(sets[j]))]
+        assert own(near.linked(sets)) == own(pairs)
+
+
+def groups(n, pairs):
+    of = [{i} for i in range(n)]
+    for i, j in pairs:
+        if of[i] is not of[j]:
+            of[i] |= of[j]
+            for k in of[j]:
+                of[k] = of[i]
+    return of
