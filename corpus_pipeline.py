@@ -25,12 +25,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies, by five-word shingles; of rows that repeat this id, one stays."""
+    """One row of each group of near copies, by five-word shingles: that of least id (null last), then of least text hash.
+
+    Rows are chosen by group and never by id, so null or repeated ids in different groups all stay.
+    """
     rows = near.grouped(docs)
-    ids = rows.select("doc_id", "_root")
-    first = settle(ids.groupBy("_root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    kept = rows.join(first.hint("merge"), rows.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    first = settle(rows.groupBy("_root").agg(F.min_by("_row", order).alias("_first")).select("_first"))
+    return rows.join(first.hint("merge"), rows._row == first._first, "left_semi").select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,3 +102,12 @@ def groups(n, pairs):
             for k in of[j]:
                 of[k] = of[i]
     return of
+
+
+def test_null_and_repeated_ids_keep_a_row_of_each_group(spark, folder):
+    rows = [(None, prose(300 + i)) for i in range(20)] + [(5, prose(400 + i)) for i in range(20)]
+    rows += [(9, prose(500)), (8, prose(500)), (None, prose(500)), (8, prose(500)), (None, prose(300))]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], COLUMNS)
+    kept = [(r.doc_id, r.text) for r in cp.one_of_each_group(spark, docs, folder).collect()]
+    assert len(kept) == 41 and {t for _, t in kept} == {t for _, t in rows}
+    assert [i for i, t in kept if t == prose(500)] == [8] and sum(i is None for i, _ in kept) == 20
