@@ -55,9 +55,12 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes of each and their training positions."""
+    """All documents with the words that the mix takes of each and their training positions, range-sorted by these.
+
+    The stage annotates: documents of which the mix takes nothing stay, at the end, with taken 0.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    return mixing.curriculum(docs, keep=["text", *others])
+    return mixing.curriculum(docs, keep=["text", *others]).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 STAGES = [

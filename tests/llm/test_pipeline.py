@@ -111,3 +111,9 @@ def test_null_and_repeated_ids_keep_a_row_of_each_group(spark, folder):
     kept = [(r.doc_id, r.text) for r in cp.one_of_each_group(spark, docs, folder).collect()]
     assert len(kept) == 41 and {t for _, t in kept} == {t for _, t in rows}
     assert [i for i, t in kept if t == prose(500)] == [8] and sum(i is None for i, _ in kept) == 20
+
+
+def test_mixing_is_range_sorted_by_position(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r.position is None, r.position or 0.0) for r in cp.mixed(spark, docs, folder).collect()]
+    assert rows == sorted(rows) and len(rows) == docs.count()
