@@ -139,6 +139,8 @@ def lexicon(counts: DataFrame, near: int, own: int) -> Lexicon:
         least = r.least
     rows = short.where(F.col("c") >= least).collect() if least is not None else []
     top = {bytes(r.token): r.c for r in sorted(rows, key=lambda r: (-r.c, bytes(r.token)))}
+    if END not in top and (end := counts.where(F.col("token") == F.lit(END)).first()):  # its real count, however many tokens are above it
+        top[END] = end.c
     shape_total, shape_kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     of = F.conv(F.hex(F.substring("token", -2, 2)), 16, 10).cast("long") % SHAPES
     for s, c, n in counts.groupBy(of.alias("s")).agg(F.sum("c"), F.count("*")).collect():

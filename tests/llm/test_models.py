@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import hmm, langid, quality, toxicity
@@ -198,3 +199,11 @@ def test_language_model_of_nothing(spark):
     assert hmm.op7(table(spark, [])).count() == 0
     r = hmm.op7(table(spark, [(i, "x", "en", "s") for i in range(40) if out(i, 5, 1)])).first()
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score < 0
+
+
+@pytest.mark.parametrize("near, most", [(2, 40), (2, 5)])
+def test_the_end_keeps_its_count_below_the_bound(spark, near, most):
+    rows = [(f"w{i}".encode(), most) for i in range(6)] + [(hmm.END, 5)]
+    lex = hmm.lexicon(spark.createDataFrame(rows, "token binary, c bigint"), near=near, own=4)
+    assert lex.count[lex.ids[hmm.END]] == 5 and lex.total == 6 * most + 5
+    assert (lex.shape_kinds >= 0).all() and lex.shape_total.sum() == lex.total - lex.count[lex.class_of < lex.first_shape].sum()
