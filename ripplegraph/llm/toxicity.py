@@ -19,6 +19,7 @@ Columns besides the id and the text are ignored.
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -41,7 +42,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ordinary_dictionary(texts: list[list[bytes]], size: int) -> bytes:
-    samples = [b" ".join(ws[i : i + 8]) for ws in texts for i in range(0, len(ws), 8)][:60_000]
+    samples = [b" ".join(ws[i : i + 8]) for ws in texts for i in range(0, len(ws), 8)]
+    random.Random(0).shuffle(samples)  # the trainer holds the last of them out, which must not be whole texts
     try:
         return zs.train_dictionary(size, samples).as_bytes()
     except zs.ZstdError:  # too little text to train on
@@ -56,7 +58,7 @@ def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int,
             counter.update(set(ws))
 
     def runs(word: bytes) -> set[bytes]:
-        padded = b" " + word[:64] + b" "
+        padded = b" " + word + b" "
         return {padded[a : a + n] for n in range(4, 9) for a in range(len(padded) - n + 1)}
 
     mass, other = Counter(), Counter()

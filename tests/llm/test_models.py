@@ -207,3 +207,13 @@ def test_the_end_keeps_its_count_below_the_bound(spark, near, most):
     lex = hmm.lexicon(spark.createDataFrame(rows, "token binary, c bigint"), near=near, own=4)
     assert lex.count[lex.ids[hmm.END]] == 5 and lex.total == 6 * most + 5
     assert (lex.shape_kinds >= 0).all() and lex.shape_total.sum() == lex.total - lex.count[lex.class_of < lex.first_shape].sum()
+
+
+def test_dictionaries_learn_of_all_texts_and_of_whole_words():
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"abcdefgh") for _ in range(7)) for _ in range(3000)]
+    first = [[rng.choice(words) for _ in range(8 * 60_000)]]
+    later = [b"zyxwvuts rqponmlk".split() * 500]
+    assert b"zyxwvuts" in toxicity.ordinary_dictionary(first + later, 4096)
+    far = [b"a" * 80 + b"vilemark"]
+    assert b"vilemark" in toxicity.toxic_runs([far] * 60, [[b"a" * 80 + b"kindly"]] * 60, 2000)
