@@ -4,25 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder for a local master and an error for a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         named = tempfile.mkdtemp(prefix="ripplegraph-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/ripplegraph-{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df once and read it back; the files go when the application ends."""
+    """Write df once and read it back; the files go with the enclosing scratch(), or when the application ends."""
     spark = df.sparkSession
     top = shared_folder(spark)
-    path = f"{top}/{uuid.uuid4().hex}"
+    path = f"{_SCOPE.get() or top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is settled inside goes at the end; a result must have been written elsewhere by then."""
+    path = f"{_SCOPE.get() or shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    token = _SCOPE.set(path)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        remove(spark, path)
