@@ -60,16 +60,17 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def sampled(df: DataFrame, key: Column, n: int, by: list[str] | None = None) -> DataFrame:
     """At most n rows (of each group in `by`), those with the least hash of `key`.
 
-    One cheap pass counts the groups, and a hash bound keeps about 1.1 n rows of each before ranking, so that
-    no task sees a whole group. Used only to fit models on a bounded set of labelled rows.
+    One cheap pass counts the rows (of each group), and a hash bound keeps about 1.1 n of them before they are
+    ranked. The ranking is a top-n (by group: a window with a limit), of which each task hands on its own n at
+    most. Used only to fit models on a bounded set of labelled rows.
     """
-    by = by or []
     space = 1 << 30
-    spot = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(space))
+    near = df.withColumn("_spot", F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(space)))
+    most = space * (n * 1.1 + 50)
+    if not by:
+        found = df.count()
+        return near.where(F.col("_spot") < most / max(found, 1)).orderBy("_spot", key).limit(n).drop("_spot")
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    bound = F.least(F.lit(float(space)), F.lit(space * (n * 1.1 + 50)) / F.col("_n"))
-    near = df.withColumn("_spot", spot)
-    near = near.join(F.broadcast(sizes), by) if by else near.crossJoin(F.broadcast(sizes))  # a row for each class, or one
-    near = near.where(F.col("_spot") < bound).drop("_n")
+    near = near.join(F.broadcast(sizes), by).where(F.col("_spot") < F.lit(most) / F.col("_n")).drop("_n")  # a row for each group
     order = Window.partitionBy(*[F.col(c) for c in by]).orderBy("_spot", key)
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank", "_spot")

@@ -3,7 +3,7 @@
 First the language family is predicted, then one-versus-one linear support vector machines separate the
 languages within it; a family with one language needs none. Families are told apart by one-versus-one
 machines as well. Votes decide, then the sum of margins, then the name. A text is described by the shares of
-its hashed letter trigrams (of UTF-8 bytes, lower-cased, anything but letters taken as a blank), so a linear
+its hashed letter trigrams (of UTF-8 bytes, lower-cased, ASCII other than letters taken as a blank), so a linear
 margin is a sum over the text: whole texts are scored in one vectorised pass, without a shuffle.
 
 Fitted on at most `most` texts a language (those with the least id hash). Languages and families are those of
@@ -186,7 +186,8 @@ def fit(docs: DataFrame, allowed: Column, lang: str = "lang", text: str = "text"
 
 
 def identified(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. Their columns must not include these two."""
+    """docs with lang_pred and score, in place of columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -8,8 +8,9 @@ Fitted on at most `most` labelled rows (those with the least id hash); scored on
 in one pass without a shuffle. Tables and bins are some thousands of numbers at any input size.
 
 Defined results: null and empty texts have features of zero and are scored like others. Labels other than 0
-and 1 are left out. Without labels every score is 0.5, with one class alone its smoothed share. Repeated
-documents get a row each. Columns besides the id and the text are ignored.
+and 1 are left out; a document labelled both is learned as both. Of several rows that share a labelled id one
+is learned. Without labels every score is 0.5, with one class alone its smoothed share. Repeated documents get
+a row each. Columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -183,10 +184,13 @@ def cross_tree(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
-    """text and y of at most `most` labelled documents (of each class) that may be learned from."""
+    """doc_id, text and y of at most `most` labelled ids of each class that may be learned from.
+
+    A document labelled both 0 and 1 is in both classes. An id that several rows of docs share comes as often.
+    """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & allowed).select("doc_id", F.col(label).alias("y")).distinct()
-    chosen = sampled(usable, F.col("doc_id"), most, ["y"])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # at most `most` rows a class
+    none, some = (sampled(usable.where(F.col("y") == y), F.col("doc_id"), most) for y in (0, 1))
+    return docs.select("doc_id", "text").join(F.broadcast(none.unionByName(some)), "doc_id").select("doc_id", "text", "y")  # at most `most` rows a class
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 15_000) -> Additive:
@@ -195,13 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 15_000)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(rows), pa.list_(pa.float32())), batch.column("y").cast(pa.int32())], ["doc_id", "x", "y"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = by_batch(labelled(docs, labels, "quality", allowed, most), work, f"doc_id {kind}, x array<float>, y int").collect()
+    each = by_batch(labelled(docs, labels, "quality", allowed, most), work, f"doc_id {kind}, x array<float>, y int")
+    rows = each.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()  # one row for an id and class, however many rows share it
     rows.sort(key=lambda r: (str(r.doc_id), r.y, r.x))
     return Additive(np.array([r.x for r in rows], np.float32).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]))
 
 
 def scored(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
-    """docs with quality, a double from 0 to 1. Their columns must not include `quality`."""
+    """docs with quality, a double from 0 to 1, in place of a column of that name."""
+    docs = docs.drop("quality")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = np.round(model.score(features(batch.column(text))), 6)

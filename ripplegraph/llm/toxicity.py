@@ -1,19 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text of at most `most` labelled documents a
-class. The toxic one gets the byte runs that toxic texts hold far oftener than ordinary ones, behind what the
-ordinary one has; a window of words is compressed with both, and the bytes that the toxic dictionary saves
-are its distance. A text is described by how many of its windows reach each threshold of savings, absolutely
-and as a share of all, and by its best windows; a logistic curve over these is calibrated on the same labels.
-
-A short block that does not shrink is stored as it is, so each window is led by a run that both dictionaries
-hold; then its own marginal length counts. A saving may also come from where a match happens to start, so windows
-with one are compressed again, more thoroughly, behind another lead, and shifted by a word. Windows cover the whole text. All rows are scored in one pass
-without a shuffle; dictionaries are some KB at any input size. Words are lower-cased (A-Z).
-
-Defined results: null and blank texts have one empty window. Labels other than 0 and 1 are left out. Without
-labels every score is 0.5, with one class alone its smoothed share. Repeated documents get a row each.
-Columns besides the id and the text are ignored.
+Two zstandard dictionaries are trained by the library's trainer on at most `most` labelled documents a class and
+`most_bytes` of text in all:
+one on pieces of ordinary texts, one on what toxic texts say beyond these, i.e. their words that recur among
+toxic texts and are far rarer in ordinary ones. Both are loaded as full dictionaries with their entropy tables;
+the toxic side holds the ordinary dictionary too, so that a window's two compressed lengths differ by what
+toxic text adds and by nothing else. The share of the length that the toxic dictionary saves is its distance.
+A text is described by how many of its windows reach each threshold of savings, absolutely and as a share of
+all, and by its best windows; a logistic curve over these is calibrated on labelled texts that no dictionary saw.
+
+Windows are short (`width` words): marks of toxicity are single words, and in windows of dozens of words the
+noise of zstandard's parse, which shifts with each match, outweighs them (the README has figures). A short block
+that does not shrink is stored as it is, so each window is led by a run that both dictionaries hold; then its
+own marginal length counts. A saving may also come from where a match happens to start, so windows with one are
+compressed again, more thoroughly, behind another lead, and shifted by a word. Windows cover the whole text.
+All rows are scored in one pass without a shuffle; dictionaries are some KB at any input size. Words are
+lower-cased (A-Z).
+
+Defined results: null and blank texts have one empty window. Labels other than 0 and 1 are left out; a document
+labelled both is learned as both, and of several rows that share a labelled id one is. Without labels every score is 0.5, with one class alone its smoothed share.
+Repeated documents get a row each. Columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +34,13 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.base import by_batch, remainder
+from ripplegraph.llm.base import by_batch, remainder, settle
 from ripplegraph.llm.quality import labelled
 
 #: Savings in bytes from which a window counts, each a feature.
 STEPS = (1, 2, 3, 4, 6)
+#: The first bytes of a trained dictionary (a fixed value of the format).
+MAGIC = b"\x37\xa4\x30\xec"
 #: Windows whose savings a worker remembers.
 MEMORY = 400_000
 
@@ -41,52 +49,38 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "ignore").lower().split()
 
 
-def ordinary_dictionary(texts: list[list[bytes]], size: int) -> bytes:
-    samples = [b" ".join(ws[i : i + 8]) for ws in texts for i in range(0, len(ws), 8)]
-    random.Random(0).shuffle(samples)  # the trainer holds the last of them out, which must not be whole texts
+def trained(pieces: list[bytes], size: int, **cover: int) -> bytes:
+    """A full zstandard dictionary of the pieces, or their last bytes where they are too few to train on.
+
+    cover: lengths k of the segments and d of the runs that the trainer counts; it tries some itself if not given.
+    """
+    pieces = sorted(pieces)
+    random.Random(0).shuffle(pieces)  # the trainer holds the last of them out, which must not be whole texts
     try:
-        return zs.train_dictionary(size, samples).as_bytes()
-    except zs.ZstdError:  # too little text to train on
-        return b" ".join(samples)[-size:]
-
-
-def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int, least: int = 20, odds: float = 2.5) -> bytes:
-    """The byte runs of 4 to 8 bytes, word ends included, that mark toxic texts; the strongest last."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for counter, texts in ((in_toxic, toxic), (in_ordinary, ordinary)):
-        for ws in texts:
-            counter.update(set(ws))
-
-    def runs(word: bytes) -> set[bytes]:
-        padded = b" " + word + b" "
-        return {padded[a : a + n] for n in range(4, 9) for a in range(len(padded) - n + 1)}
-
-    mass, other = Counter(), Counter()
-    for w, n in in_toxic.items():
-        if n > 1:
-            for g in runs(w):
-                mass[g] += n
-    least = max(2, min(least, len(toxic) // 20))
-    mass = {g: n for g, n in mass.items() if n >= least}
-    for w, n in in_ordinary.items():
-        for g in runs(w):
-            if g in mass:
-                other[g] += n
-    total, rest = sum(in_toxic.values()) + 1, sum(in_ordinary.values()) + 1
-    weight = {g: math.log((n + 0.5) / total) - math.log((other[g] + 0.5) / rest) for g, n in mass.items()}
-    chosen, used = [], 0
-    for g in sorted((g for g, v in weight.items() if v > odds), key=lambda g: (-mass[g] * weight[g], g)):
-        if used < size and not any(g in c for c in chosen):
-            chosen.append(g)
-            used += len(g)
-    return b"".join(reversed(chosen))
+        return zs.train_dictionary(size, pieces, **cover).as_bytes()
+    except zs.ZstdError:
+        return b" ".join(pieces)[-size:]
+
+
+def ordinary_dictionary(texts: list[list[bytes]], size: int) -> bytes:
+    return trained([b" ".join(ws[i : i + 16]) for ws in texts for i in range(0, len(ws), 16)], size, k=64, d=8)
+
+
+def toxic_dictionary(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int, odds: float = 2.5) -> bytes:
+    """Trained on pieces of the words by which toxic texts differ: recurring ones, `odds` (a logarithm) likelier there."""
+    in_toxic, in_ordinary = (Counter(w for ws in texts for w in set(ws)) for texts in (toxic, ordinary))
+    least = max(2, min(20, len(toxic) // 50))
+    rarely = lambda w, n: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[w] + 0.5) / (len(ordinary) + 1)) > odds
+    own = {w for w, n in in_toxic.items() if n >= least and rarely(w, n)}
+    told = [[w for w in ws if w in own] for ws in toxic]
+    return trained([b" " + b" ".join(ws[i : i + 4]) + b" " for ws in told for i in range(0, len(ws), 4)], size, k=24, d=6)
 
 
 class Distance:
     """Two dictionaries and what a window saves with the toxic one."""
 
-    def __init__(self, ordinary: bytes, runs: bytes, width: int):
-        self.ordinary, self.runs, self.width = ordinary, runs, width
+    def __init__(self, ordinary: bytes, toxic: bytes, width: int):
+        self.ordinary, self.toxic, self.width = ordinary, toxic, width
 
     def open(self) -> None:
         self.known, self.sure = {}, {}
@@ -98,8 +92,9 @@ class Distance:
         """Compressors with the ordinary and the toxic dictionary."""
         parameters = zs.ZstdCompressionParameters(strategy=strategy, min_match=match, search_log=6, target_length=64, hash_log=14, chain_log=14, window_log=17, write_checksum=0, write_content_size=0, write_dict_id=0)
         out = []
-        for content in (self.ordinary, self.runs + self.ordinary):
-            d = zs.ZstdCompressionDict(content if len(content) >= 8 else b" " * 8 + content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        for content in (self.ordinary, self.ordinary + self.toxic):  # a dictionary's content is its end
+            full = self.ordinary.startswith(MAGIC)
+            d = zs.ZstdCompressionDict(content if len(content) >= 8 else b" " * 8 + content, dict_type=zs.DICT_TYPE_FULLDICT if full else zs.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=parameters)
             out.append(zs.ZstdCompressor(dict_data=d, compression_params=parameters).compress)
         return out
@@ -176,23 +171,43 @@ class Calibration:
         return _logistic(self._with_one(x) @ self.w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 4000, width: int = 2, ordinary_size: int = 4096, toxic_size: int = 2000) -> tuple[Distance, Calibration]:
-    """Dictionaries from half of the sample and calibration from the other, so that it sees unlearned texts."""
-    sample = labelled(docs, labels, "toxic", allowed, most).withColumn("half", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/half"))) % 3 == 0)
-    rows = sorted(((r.half, r.y, r.text or "", str(r.doc_id)) for r in sample.select("half", "y", "text", "doc_id").toLocalIterator()), key=lambda r: r[3])
+def learned(docs: DataFrame, labels: DataFrame, allowed: Column, most: int, most_bytes: int) -> list[tuple[bool, int, str, str]]:
+    """half, y, text and id of the labelled sample, by id: at most `most` documents a class and `most_bytes` of text.
+
+    Documents come in by the hash of their ids; one longer than what is left of the bytes is passed over.
+    """
+    each = labelled(docs, labels, "toxic", allowed, most).groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    half = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/half"))) % 3 == 0
+    sample = settle(each.select(F.col("doc_id").cast("string").alias("id"), "y", F.coalesce("text", F.lit("")).alias("text"), half.alias("half")))
+    left, long = most_bytes, []
+    for r in sorted(sample.select("id", "y", F.octet_length("text").alias("n"), F.xxhash64("id", F.lit("sample")).alias("spot")).collect(), key=lambda r: (r.spot, r.id, r.y)):
+        if r.n <= left:
+            left -= r.n
+        else:
+            long.append((r.id, r.y))
+    if long:
+        passed = docs.sparkSession.createDataFrame(long, "id string, y int")
+        sample = sample.join(F.broadcast(passed), ["id", "y"], "left_anti")  # at most `most` rows a class
+    return sorted(((r.half, r.y, r.text, r.id) for r in sample.toLocalIterator()), key=lambda r: (r[3], r[1]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 4000, most_bytes: int = 64 << 20, width: int = 2, ordinary_size: int = 8192, toxic_size: int = 768) -> tuple[Distance, Calibration]:
+    """Dictionaries from two thirds of the sample and calibration from the rest, so that it sees unlearned texts."""
+    rows = learned(docs, labels, allowed, most, most_bytes)
     texts = [[words_of(t) for half, y, t, _ in rows if not half and y == k] for k in (0, 1)]
-    distance = Distance(ordinary_dictionary(texts[0] or texts[1], ordinary_size), toxic_runs(texts[1], texts[0], toxic_size), width)
+    distance = Distance(ordinary_dictionary(texts[0] or texts[1], ordinary_size), toxic_dictionary(texts[1], texts[0], toxic_size), width)
     distance.open()
     rest = [r for r in rows if r[0]]
     if len({r[1] for r in rest}) < 2:
         rest = rows
     x = np.array([distance.features(t) for _, _, t, _ in rest], float).reshape(len(rest), 3 * (2 + 2 * len(STEPS)))
     calibration = Calibration(x, np.array([y for _, y, _, _ in rest], float))
-    return Distance(distance.ordinary, distance.runs, width), calibration
+    return Distance(distance.ordinary, distance.toxic, width), calibration
 
 
 def scored(docs: DataFrame, model: tuple[Distance, Calibration], text: str = "text") -> DataFrame:
-    """docs with toxicity, a double from 0 to 1. Their columns must not include `toxicity`."""
+    """docs with toxicity, a double from 0 to 1, in place of a column of that name."""
+    docs = docs.drop("toxicity")
     distance, calibration = model
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,7 +223,7 @@ _OPEN: dict[tuple, Distance] = {}
 
 def _opened(distance: Distance) -> Distance:
     """The worker's own compressors for these dictionaries; the last ones are kept."""
-    key = distance.ordinary, distance.runs, distance.width
+    key = distance.ordinary, distance.toxic, distance.width
     if key not in _OPEN:
         _OPEN.clear()
         _OPEN[key] = Distance(*key)

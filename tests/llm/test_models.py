@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard as zs
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import hmm, langid, quality, toxicity
@@ -212,8 +213,57 @@ def test_the_end_keeps_its_count_below_the_bound(spark, near, most):
 def test_dictionaries_learn_of_all_texts_and_of_whole_words():
     rng = random.Random(3)
     words = [bytes(rng.choice(b"abcdefgh") for _ in range(7)) for _ in range(3000)]
-    first = [[rng.choice(words) for _ in range(8 * 60_000)]]
-    later = [b"zyxwvuts rqponmlk".split() * 500]
+    first = [[rng.choice(words) for _ in range(16 * 60_000)]]
+    later = [[rng.choice(b"zyxwvuts rqponmlk".split() + words[:40]) for _ in range(40_000)]]  # behind 60,000 pieces of the first
     assert b"zyxwvuts" in toxicity.ordinary_dictionary(first + later, 4096)
     far = [b"a" * 80 + b"vilemark"]
-    assert b"vilemark" in toxicity.toxic_runs([far] * 60, [[b"a" * 80 + b"kindly"]] * 60, 2000)
+    toxic = [far + [rng.choice(words) for _ in range(8)] for _ in range(600)]
+    assert b"vilemark" in toxicity.toxic_dictionary(toxic, [[b"a" * 80 + b"kindly", rng.choice(words)] for _ in range(600)], 2000)
+
+
+def test_windows_are_compressed_as_by_plain_calls():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    bad = b"wretched scoundrel".split()
+    ordinary = [[rng.choice(words) for _ in range(60)] for _ in range(300)]
+    toxic = [[rng.choice(words + bad * 20) for _ in range(60)] for _ in range(300)]
+    own = toxicity.Distance(toxicity.ordinary_dictionary(ordinary, 4096), toxicity.toxic_dictionary(toxic, ordinary, 512), 2)
+    own.open()
+    assert own.ordinary.startswith(toxicity.MAGIC) and own.toxic.startswith(toxicity.MAGIC)
+    parameters = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY, min_match=4, search_log=6, target_length=64, hash_log=14, chain_log=14, window_log=17, write_checksum=0, write_content_size=0, write_dict_id=0)
+    both = [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_FULLDICT), compression_params=parameters) for d in (own.ordinary, own.ordinary + own.toxic)]
+    saved = []
+    for ws in toxic[:5] + ordinary[:5]:
+        plain = []
+        for i in range(0, len(ws), 2):
+            data = own.ordinary[-64:] + b" " + b" ".join(ws[i : i + 2]) + b" "
+            plain.append(len(both[0].compress(data)) - len(both[1].compress(data)))
+        assert plain == [own.saved(b" ".join(ws[i : i + 2])) for i in range(0, len(ws), 2)]
+        f = own.features(b" ".join(ws).decode())
+        assert f[0] == max(plain) and np.isclose(f[2], math.log1p(sum(v >= toxicity.STEPS[0] for v in plain)))
+        saved.append(sum(plain))
+    assert min(saved[:5]) > max(saved[5:])
+
+
+def test_labelled_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 60)] + [(2, 1, 1), (2, 1, 1), (None, 1, 1), (3, 7, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.learned(docs, labels, F.lit(True), 10, 1 << 20)
+    assert sorted(r[1] for r in rows) == [0] * 10 + [1] * 10 and len({(r[3], r[1]) for r in rows}) == 20
+    few = toxicity.learned(docs, labels, F.lit(True), 1000, 100)
+    assert 0 < sum(len(r[2]) for r in few) <= 100 and {r[1] for r in toxicity.learned(docs, labels, F.col("doc_id") == 2, 9, 100)} == {0, 1}
+    assert len(quality.labelled(docs, labels, "quality", F.lit(True), 1000).groupBy("doc_id", "y").count().collect()) == 60
+
+
+def test_scores_are_sums_of_the_tables():
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-1, 1, (800, 4))
+    model = quality.Additive(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float), rounds=20, pair_rounds=20, pairs=2)
+    assert model.pairs
+    for row, got in zip(x[:50], model.score(x[:50])):
+        f = model.base
+        for j, (cuts, values) in enumerate(model.singles):
+            f += values[sum(row[j] >= c for c in cuts)]
+        for i, j, a, b, values in model.pairs:
+            f += values[sum(row[i] >= c for c in a)][sum(row[j] >= c for c in b)]
+        assert abs(got - 1 / (1 + math.exp(-f))) < 1e-12
