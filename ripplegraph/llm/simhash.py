@@ -1,12 +1,13 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments. Table j holds every member of the Hamming ball of radius 1 around
-segment j, together with the other segments as they are. Two fingerprints within two bits meet in a table:
-where both differing bits lie in one segment, each reaches the value between them inside that segment's
-table; where they lie in two segments, one flips its bit in one table and the other its bit in the other,
-and both arrive at the same whole key. So tables share one key space, and a key is reached only from within
-one bit: a group holds at most 65 different fingerprints however many copies there are, and no group's pairs
-are spelled out. Neighbours within a key are verified by their complete distance and linked in a chain.
+A fingerprint is cut into segments, and there is a table for each segment but one that it leaves free: its key
+is a segment together with the others but the free one, which keep the rows of a common segment value apart. Of
+two fingerprints within two bits at most two segments differ. Where both bits lie in one segment, the pair
+shares the key of the table that leaves it free. Where they lie in two, the table that leaves the later one free
+is asked for each member of the Hamming ball of radius 1 around the earlier one. Every match of a table is then
+verified by its complete distance. So each fingerprint stands in a table once, asks for little more than the
+bits of its segments (64 rows in all for segments of 19, 20 and 25 bits), and a key's fingerprints differ in its
+free segment alone, however many copies or near copies there are.
 
 Exact copies are one fingerprint before the search. Groups of linked fingerprints come from alternating
 large-star and small-star steps over the links, written to the shared folder after each round.
@@ -17,15 +18,19 @@ get a row each. A null doc_id is no component id unless no other is there. Other
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.base import by_batch, settle
 
 BITS = 64
+#: Widths of the segments, from the lowest bit; the last, whose bits are never asked for one by one, is the widest.
+SEGMENTS = (19, 20, 25)
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -56,28 +61,49 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
     return by_batch(docs, work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp bigint"]))
 
 
-def ball(fp: Column, segments: int = 2) -> Column:
-    """The keys under which a fingerprint stands in the segments' tables."""
-    width = BITS // segments
-    flips = [[1 << (j * width + i) for i in range(width)] for j in range(segments)]
-    signed = [x - (1 << 64) if x >= 1 << 63 else x for own in flips for x in own]
-    return F.concat(F.array(fp), F.transform(F.array(*[F.lit(x).cast("long") for x in signed]), lambda m: fp.bitwiseXOR(m)))
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def masks(segments: tuple[int, ...]) -> list[int]:
+    """The bits of each segment."""
+    if sum(segments) != BITS or len(segments) < 2:
+        raise ValueError(f"segments must be two or more and have {BITS} bits in all")
+    return [((1 << n) - 1) << sum(segments[:j]) for j, n in enumerate(segments)]
+
+
+def entries(fp: Column, segments: tuple[int, ...] = SEGMENTS) -> Column:
+    """t and key: where a fingerprint stands, once in each table."""
+    all_bits = (1 << BITS) - 1
+    return F.array(*[F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(_signed(all_bits ^ own))).alias("key")) for t, own in enumerate(masks(segments))])
+
+
+def probes(fp: Column, segments: tuple[int, ...] = SEGMENTS) -> Column:
+    """t and key: what a fingerprint asks of each table, its own key and the balls around the segments before the free one."""
+    own = masks(segments)
+    at = lambda t, value: F.struct(F.lit(t).alias("t"), value.bitwiseAND(F.lit(_signed(((1 << BITS) - 1) ^ own[t]))).alias("key"))
+    balls = []
+    for t in range(1, len(own)):
+        bits = F.array(*[F.lit(_signed(1 << i)).cast("long") for i in range(sum(segments[:t]))])
+        balls.append(F.transform(bits, partial(lambda t, bit: at(t, fp.bitwiseXOR(bit)), t)))
+    return F.concat(entries(fp, segments), *balls)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs a < b of different fingerprints within two bits, such that all within two bits are connected."""
-    keyed = prints.select("fp", F.explode(ball(F.col("fp"))).alias("key"))
-    near = keyed.withColumn("last", F.lag("fp").over(Window.partitionBy("key").orderBy("fp")))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("last")))
-    return near.where(F.col("last").isNotNull() & (distance <= 2)).select(F.col("last").alias("a"), F.col("fp").alias("b")).distinct()
+def links(prints: DataFrame, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:
+    """Pairs a < b of different fingerprints within two bits, all of them."""
+    held = prints.select(F.col("fp").alias("b"), F.explode(entries(F.col("fp"), segments)).alias("e")).select("b", "e.t", "e.key")
+    asked = prints.select(F.col("fp").alias("a"), F.explode(probes(F.col("fp"), segments)).alias("p")).select("a", "p.t", "p.key")
+    # Each pair is found from both sides; one is enough.
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    return asked.join(held, ["t", "key"]).where(near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, root: for each node of the edges (a, b), but the roots, the least node of its component, in few rounds.
 
     A large-star step joins each node's greater neighbours to its least one; a small-star step does so with the
-    lesser ones. Stars are what is left when nothing changes. All edges of a node are never brought together:
-    only its least neighbour is, which is aggregated before the shuffle.
+    lesser ones. Stars are what is left when nothing changes. A node's least neighbour is aggregated before the
+    shuffle and joined to its edges; the edges of a hub are rows of one key there, which AQE splits.
     """
     edges = settle(edges)
     last = None

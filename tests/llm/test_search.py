@@ -133,6 +133,26 @@ def test_fingerprint_chain_is_one_component(spark):
     assert all(p[0] not in roots for p in signed[33:])
 
 
+@pytest.mark.parametrize("segments", [(19, 20, 25), (32, 32), (16, 16, 16, 16), (8,) * 8])
+def test_every_pair_within_two_bits_is_linked(spark, segments):
+    rng = random.Random(8)
+    centres = [rng.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1]
+    prints = {c ^ sum(1 << b for b in rng.sample(range(64), k)) for c in centres for k in (0, 1, 1, 2, 2, 3, 3, 4)} | {rng.getrandbits(64) for _ in range(60)}
+    prints |= {centres[0] ^ (1 << a) ^ (1 << b) for a, b in ((0, 1), (0, 18), (18, 19), (38, 39), (0, 63), (39, 63), (20, 60))}
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    df = spark.createDataFrame(signed, "fp long")
+    want = {(a[0], b[0]) for a in signed for b in signed if a < b and bin((a[0] ^ b[0]) % (1 << 64)).count("1") <= 2}
+    assert {tuple(r) for r in simhash.links(df, segments).collect()} == want and len(want) > 50
+    asked = df.select(simhash.probes(F.col("fp"), segments).alias("p"), simhash.entries(F.col("fp"), segments).alias("e")).first()
+    assert len(asked.e) == len(segments) and (segments != simhash.SEGMENTS or len(asked.p) + len(asked.e) < 65)
+
+
+def test_one_fingerprint_of_most_rows(spark):
+    rows = [(i, text(1, 50)) for i in range(400)] + [(1000 + i, text(20 + i, 50)) for i in range(20)] + [(None, text(1, 50))]
+    found = simhash.op9(docs(spark, rows)).collect()
+    assert len(found) == len(rows) and {r.component_id for r in found if r.doc_id is None or r.doc_id < 1000} == {0}
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.op9(docs(spark, [])).count() == 0
 
