@@ -4,16 +4,18 @@ Sources in code point order (null last) weigh 3, 1, 2, repeating, and share `rat
 stops at `cap` times its source's size, the excess being shared by weight among the others until none is
 above. Over training time t from 0 to 1 a source's weight follows a straight line of its own slope around its
 target; the integral of that line is its cumulative demand. A source's documents queue in the order of an id
-digest, pass after pass; the curriculum takes words from the queue's head until the demand at t = 1, its
-target, is met, so the last document may be taken in part. A document's training position is the time at
-which the demand reaches its first taken word: the inverse of the integral, a quadratic root.
+and text digest, pass after pass; the curriculum takes words from the queue's head until the demand at t = 1,
+its target, is met, so the last document may be taken in part. A document has a training position for each
+pass that takes of it: the time at which the demand reaches its first word there, the inverse of the integral,
+a quadratic root.
 
 Cumulative sizes are sums over digest slices of a source, so a source with a third of all rows is cut into
 `slices` parts and never meets in one task. Sizes are written once; texts are read once. Sources are ranked
 and capped as tables, not on the driver.
 
 Defined results: a null text has size 0 and takes nothing; it stands at its queue's place. Rows that repeat an
-id queue one after the other. A source whose texts are all empty has target 0. Other columns are ignored.
+id queue by their texts' digests; rows that repeat both are alike and queue one after the other. A source whose
+texts are all empty has target 0. Other columns are ignored, unless `keep` names them.
 """
 
 from __future__ import annotations
@@ -66,11 +68,12 @@ def demand_time(share: Column, slope: Column) -> Column:
 
 
 def curriculum(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and position (null where nothing is taken), a row each.
+    """doc_id, source, size, source_size, target, taken, passes and position, a row each.
 
-    keep: further columns to carry.
+    passes: position and words of each pass that takes words of the document. position: of the first of these, or
+    null. keep: further columns to carry, whose names must differ from these.
     """
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
     sized = docs.select("doc_id", "source", *(keep or []), size_of(F.col(text)).alias("size"), digest.alias("_digest"))
     sizes = settle(sized.drop(*(keep or [])))
     # Carried columns, texts among them, aren't written along: their rows come from docs again and are shuffled once.
@@ -85,13 +88,26 @@ def curriculum(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     placed = sliced(sized if keep else sizes).withColumn("_own", F.coalesce(F.sum("size").over(queue), F.lit(0)))
     placed = placed.join(starts, ["_key", "_slice"])
     words = F.round("target").cast("long")  # whole words that the source gives
-    passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    first = F.col("_before") + F.col("_own")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), words - passes * F.col("source_size") - first))
-    taken = (passes * F.col("size") + part).cast("long")
     slope = F.element_at(F.array(*[F.lit(x) for x in SLOPES]), (F.col("n") % len(SLOPES) + 1).cast("int"))
-    position = F.when(taken > 0, demand_time(first / words, slope))
-    return placed.select("doc_id", "source", *(keep or []), "size", "source_size", "target", taken.alias("taken"), F.round(position, 9).alias("position"))
+    first = F.col("_before") + F.col("_own")
+
+    def taken_in(n: Column) -> Column:
+        begins = first + n * F.col("source_size")
+        part = F.greatest(F.lit(0), F.least(F.col("size"), words - begins)).cast("long")
+        return F.struct(F.round(demand_time(begins / words, slope), 9).alias("position"), part.alias("words"))
+
+    laps = F.when((words > 0) & (F.col("size") > 0), F.sequence(F.lit(0).cast("long"), F.floor((words - 1) / F.col("source_size")).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    placed = placed.withColumn("_passes", F.filter(F.transform(laps, taken_in), lambda p: p["words"] > 0))
+    taken = F.aggregate("_passes", F.lit(0).cast("long"), lambda total, p: total + p["words"])
+    return placed.select(
+        "doc_id", "source", *(keep or []), "size", "source_size", "target", taken.alias("taken"), F.col("_passes").alias("passes"), F.get("_passes", F.lit(0))["position"].alias("position")
+    )
+
+
+def schedule(mixed: DataFrame) -> DataFrame:
+    """The rows of curriculum() once for each pass, with its own position and words, in training order."""
+    kept = [c for c in mixed.columns if c not in ("passes", "position")]
+    return mixed.select(*kept, F.explode("passes").alias("_pass")).select(*kept, "_pass.position", "_pass.words").orderBy("position", "doc_id")
 
 
 def _few(df: DataFrame, most: int = 10_000) -> bool:
@@ -99,6 +115,8 @@ def _few(df: DataFrame, most: int = 10_000) -> bool:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """The mix of all documents, range-sorted by training position."""
-    mixed = curriculum(docs).drop("source")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    """The mix of all documents, range-sorted by training position; a second pass stands in columns of its own."""
+    mixed = curriculum(docs)
+    again = F.get("passes", F.lit(1))
+    words = F.coalesce(again["words"], F.lit(0).cast("long"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", again["position"].alias("again_position"), words.alias("again_words")).orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -77,8 +77,12 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 
-SQL["op6_mixing"] = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+def _time(share: str) -> str:
+    return f"CASE WHEN slope = 0 THEN {share} ELSE least(greatest((sqrt((1 - slope) * (1 - slope) + 4 * slope * ({share})) - (1 - slope)) / (2 * slope), 0), 1) END"
+
+
+SQL["op6_mixing"] = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS digest FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n, sum(source_size) OVER () AS full_size FROM s),
 w AS (SELECT *, CASE n % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM n),
@@ -90,11 +94,12 @@ t AS (SELECT source, n, source_size, least(level * weight, CAST(2 * source_size
 q AS (SELECT doc_id, size, source_size, target, n, CAST(round(target) AS BIGINT) AS words,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes, CASE n % 3 WHEN 0 THEN -0.6::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS slope FROM q),
-y AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - first)) AS BIGINT) AS taken, CAST(first AS DOUBLE) / words AS share FROM x)
-SELECT doc_id, size, source_size, target, taken,
-    CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE least(greatest((sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope), 0), 1) END, 9) + 0.0 END AS position
-FROM y
+x AS (SELECT *, CAST(greatest(0, least(size, words - first)) AS BIGINT) AS once, CAST(greatest(0, least(size, words - source_size - first)) AS BIGINT) AS again,
+    CASE n % 3 WHEN 0 THEN -0.6::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS slope FROM q)
+SELECT doc_id, size, source_size, target, once + again AS taken,
+    CASE WHEN once > 0 THEN round({_time('CAST(first AS DOUBLE) / words')}, 9) + 0.0 END AS position,
+    CASE WHEN again > 0 THEN round({_time('CAST(source_size + first AS DOUBLE) / words')}, 9) + 0.0 END AS again_position, again AS again_words
+FROM x
 """
 
 
