@@ -124,8 +124,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """docs with _row, different for each row, and _root, the same for all rows of a group of near copies."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _row, different for each row, and the table of _row and _root, the same for a group of near copies.
+
+    The names of docs' columns must not begin with an underscore.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [shingles(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -141,10 +144,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     # A band of the same members as another has the same links.
     searched = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     members = keyed.join(searched, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    # One plan at every size: texts are shuffled once here, whether or not the members would fit a broadcast today.
-    texts = rows.select("_row", "text").join(members.hint("merge"), F.col("_row") == F.col("id"))
+    texts = rows.select("_row", "text").join(members, F.col("_row") == F.col("id"))
     dealt = texts.select(F.explode("keys").alias("key"), "id", "text").repartition("key").sortWithinPartitions("key", "id")
     links = small_batches(dealt).mapInArrow(_links, "a bigint, b bigint").distinct()
     roots = settle(components(links))
     of_set = sets.join(roots, sets._id == roots.node, "left").select("_set", F.coalesce("root", "_id").alias("_root"))
-    return rows.join(settle(rows.select("_row", "_set").join(of_set, "_set").select("_row", "_root")).hint("merge"), "_row").drop("_set", "_bands")
+    return rows.drop("_set", "_bands"), rows.select("_row", "_set").join(of_set, "_set").select("_row", "_root")

@@ -60,7 +60,7 @@ CUES = {
 }
 AGAINST = r"version|isbn|order|invoice|page|section|chapter|build|revision|serial"
 VOTES, FEATURES = 5, 4
-_SPAN = "array<struct<s:int,e:int,v:string>>"
+_SPAN = "array<struct<s:int,e:int,v:string,before:string,after:string>>"
 _CHUNK = 200
 
 
@@ -70,22 +70,33 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def placed(matches: Column, pieces: Column) -> Column:
-    """s, e and v of the matches, from the pieces of text before them; long lists by chunks, so that time stays near-linear."""
-    parts = F.transform(matches, lambda v, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(v).alias("n"), v.alias("v")))
+    """Places, text and neighbourhood of the matches, from the pieces of text around them; long lists by chunks, so that time stays near-linear.
+
+    before: at most 24 code points back to the last match. after: the code point behind, unless a match begins there.
+    """
+    parts = F.transform(
+        matches,
+        lambda v, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(v).alias("n"), v.alias("v"), F.right(F.get(pieces, i), F.lit(24)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after")),
+    )
 
     def of_chunk(chunk: Column, at: Column) -> Column:
-        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["n"]).alias("e"), x["v"].alias("v")))).alias("out"))
+        span = lambda acc, x: F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["n"]).alias("e"), x["v"].alias("v"), x["before"].alias("before"), x["after"].alias("after"))
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(span(acc, x))).alias("out"))
         return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
 
     def chunked(parts: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(_CHUNK)), lambda k: F.slice(parts, k, _CHUNK))
         length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
         starts = lambda chunks: F.aggregate(chunks, F.array(F.lit(0)), lambda acc, chunk: F.concat(acc, F.array(F.element_at(acc, -1) + length(chunk))))
-        return bound(chunks, lambda c: bound(starts(c), lambda at: F.flatten(F.transform(c, lambda chunk, i: of_chunk(chunk, F.get(at, i))))))
+        return bound(in_chunks(parts), lambda c: bound(starts(c), lambda at: F.flatten(F.transform(c, lambda chunk, i: of_chunk(chunk, F.get(at, i))))))
 
     return bound(parts, lambda p: F.when(F.size(p) <= _CHUNK, of_chunk(p, F.lit(0))).otherwise(chunked(p)))
 
 
+def in_chunks(values: Column) -> Column:
+    """The values of an array that isn't empty, cut into arrays of _CHUNK."""
+    return F.transform(F.sequence(F.lit(1), F.size(values), F.lit(_CHUNK)), lambda k: F.slice(values, k, _CHUNK))
+
+
 def matches(text: Column, pattern: str, needs: str | None) -> Column:
     """All leftmost matches with their places."""
     none = F.array().cast(_SPAN)
@@ -139,12 +150,11 @@ def around(c: Column) -> Column:
     return F.when(c == "", "edge").when(c.rlike(r"^\s$"), "blank").when(c.rlike("^[0-9]$"), "digit").when(c.rlike(r"^[.,;:!?]$"), "stop").when(c.rlike(r"^[\x21-\x7E]$") & ~c.rlike("^[A-Za-z]$"), "mark").otherwise("letter")
 
 
-def described(kind: str, text: Column, spans: Column, base: bool) -> Column:
+def described(kind: str, spans: Column, base: bool) -> Column:
     """Proposals with their votes and features."""
 
     def one(x: Column) -> Column:
-        v, s, e = x["v"], x["s"], x["e"]
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), s - 23), F.least(s, F.lit(24))))
+        v, before = x["v"], F.lower(x["before"])
         good = passes(kind, v) if base else F.lit(False)
         different = F.size(F.array_distinct(F.split(digits(v), "")))
         votes = [
@@ -156,11 +166,11 @@ def described(kind: str, text: Column, spans: Column, base: bool) -> Column:
         ]
         features = [
             F.concat(F.lit(f"{kind}{'' if base else '~'}:"), F.least(F.length(v) / 6, F.lit(8)).cast("int").cast("string")),
-            F.concat(F.lit("before:"), around(F.when(s > 0, F.substring(text, s, F.lit(1))).otherwise(""))),
-            F.concat(F.lit("after:"), around(F.substring(text, e + 1, F.lit(1)))),
+            F.concat(F.lit("before:"), around(F.right(x["before"], F.lit(1)))),
+            F.concat(F.lit("after:"), around(x["after"])),
             F.concat(F.lit("digits:"), F.least(different, F.lit(8)).cast("string")),
         ]
-        return F.struct(F.lit(KINDS.index(kind)).alias("k"), s.alias("s"), e.alias("e"), good.alias("base"), F.array(*votes).alias("votes"), F.array(*features).alias("features"))
+        return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), good.alias("base"), F.array(*votes).alias("votes"), F.array(*features).alias("features"))
 
     return F.transform(spans, one)
 
@@ -168,9 +178,22 @@ def described(kind: str, text: Column, spans: Column, base: bool) -> Column:
 def proposals(text: Column) -> Column:
     """All proposed spans of a text. A match that fails its base test is a proposal still, but no base span."""
     text = F.coalesce(text, F.lit(""))
-    parts = [described(kind, text, matches(text, *PATTERNS[kind]), True) for kind in PATTERNS]
-    parts += [described(kind, text, matches(text, *LOOSE[kind]), False) for kind in LOOSE]
-    return bound(F.concat(*parts), lambda all_of: F.filter(all_of, lambda x: x["base"] | ~F.exists(all_of, lambda y: y["base"] & (y["s"] < x["e"]) & (x["s"] < y["e"]))))
+    parts = [described(kind, matches(text, *PATTERNS[kind]), True) for kind in PATTERNS]
+    parts += [described(kind, matches(text, *LOOSE[kind]), False) for kind in LOOSE]
+    return bound(F.concat(*parts), without_overlaps)
+
+
+def without_overlaps(proposed: Column) -> Column:
+    """The base spans, and the proposals that overlap none of them; many are compared by chunks of neighbours."""
+    meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
+
+    def among(base: Column) -> Column:
+        chunks = F.transform(in_chunks(base), lambda c: F.struct(F.get(c, F.lit(0))["s"].alias("s"), F.array_max(F.transform(c, lambda y: y["e"])).alias("e"), c.alias("own")))
+        near = lambda c: F.filter(proposed, lambda x: x["base"] | ~F.exists(c, lambda chunk: meets(x, chunk) & F.exists(chunk["own"], lambda y: meets(x, y))))
+        one_by_one = F.filter(proposed, lambda x: x["base"] | ~F.exists(base, lambda y: meets(x, y)))
+        return F.when(F.size(base) == 0, proposed).when(F.size(base) <= _CHUNK, one_by_one).otherwise(bound(chunks, near))
+
+    return bound(F.array_sort(F.transform(F.filter(proposed, lambda x: x["base"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), among)
 
 
 class SpanModel:
@@ -239,18 +262,32 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping ones, replaced by its kind in angle brackets."""
+    """The text with each span, or run of overlapping ones, replaced by its kind in angle brackets.
+
+    Spans are taken by chunks, each of which cuts its own stretch of the text once.
+    """
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    by_place = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["k"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
+    def walked(stretch: Column, chunk: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            out = F.concat(acc["out"], F.substring(stretch, acc["at"] - begin + 1, x["s"] - acc["at"]), F.get(names, x["k"]))
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(chunk, F.struct(begin.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def whole(chunks: Column) -> Column:
+        last = lambda chunk: F.array_max(F.transform(chunk, lambda x: x["e"]))
+        ends = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, chunk: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), last(chunk)))))
 
-    whole = F.aggregate(by_place, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+        def pieces(ends: Column) -> Column:
+            stretch = lambda i: F.substring(text, F.get(ends, i) + 1, F.get(ends, i + 1) - F.get(ends, i))
+            parts = F.transform(chunks, lambda chunk, i: bound(stretch(i), lambda own: walked(own, chunk, F.get(ends, i))))
+            return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+        return bound(ends, pieces)
+
+    by_place = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    return F.when(F.size(spans) > 0, bound(by_place, lambda own: bound(in_chunks(own), whole))).otherwise(text)
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 
@@ -117,3 +118,28 @@ def test_mixing_is_range_sorted_by_position(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r.position is None, r.position or 0.0) for r in cp.mixed(spark, docs, folder).collect()]
     assert rows == sorted(rows) and len(rows) == docs.count()
+
+
+CLASHES = "quality toxicity items hit_words n_words size target taken position passes source_size _row _root _set _bands _proposed _spans id key other5 a.b".split()
+
+
+def test_columns_of_any_name_and_odd_rows(spark, folder):
+    rows = [(i, prose(i)) for i in range(40)] + [(None, prose(900)), (None, prose(901)), (3, prose(902)), (3, prose(3)), (50, None), (51, ""), (52, " \n"), (None, None), (53, prose(903, 60_000))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", None if t is None else len(t)) for k, (i, t) in enumerate(rows)], COLUMNS)
+    docs = docs.withColumns({c: F.col("doc_id") for c in CLASHES})
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, folder)
+        path = f"{folder}/odd-{name.replace(' ', '-')}"
+        out.write.option("compression", "none").parquet(path)
+        back = spark.read.parquet(path)
+        if name != "mixing":
+            assert out.columns == docs.columns
+            docs = back if name != "quality" else docs
+        assert all(r["a.b"] == r.doc_id for r in back.select("doc_id", "`a.b`").collect())
+    kept = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert len(kept) == 44 + 1 and {(None, prose(900)), (None, prose(901)), (3, prose(902)), (3, prose(3))} <= set(kept)
+
+
+def test_reruns_agree(spark, folder):
+    once, again = (sorted(map(str, cp.run(spark, folder).collect())) for _ in range(2))
+    assert once == again

@@ -70,6 +70,23 @@ def test_redaction(spark):
     assert [r[0] for r in df.select(pii.redacted(F.col("text"), F.col("s"))).collect()] == ["😀 <EMAIL> and <CARD>, bye", "none", None]
 
 
+def test_redaction_of_many_spans(spark):
+    t = "".join(f"{'é' * (i % 3)} a{i}@b.co, 4111 1111 1111 1111; " for i in range(700))
+    df = spark.createDataFrame([(t,)], "text string").withColumn("s", pii.kept(pii.proposals(F.col("text")), pii.SpanModel()))
+    got, spans = df.select(pii.redacted(F.col("text"), F.col("s")), "s").first()
+    assert got == re.sub(r"a\d+@b\.co", "<EMAIL>", t).replace("4111 1111 1111 1111", "<CARD>")
+    assert all(re.fullmatch(r"a\d+@b\.co|4111 1111 1111 1111", t[x.s : x.e]) for x in spans) and len(spans) == 1400
+
+
+def test_proposals_over_base_spans_go_as_by_brute_force(spark):
+    rng = random.Random(9)
+    spans = sorted({(s := rng.randrange(3000), s + rng.randint(1, 6), rng.random() < 0.4) for _ in range(900)})
+    df = spark.createDataFrame([([(s, e, b) for s, e, b in spans],), ([(1, 3, False)],), ([],)], "p array<struct<s:int,e:int,base:boolean>>")
+    want = [x for x in spans if x[2] or not any(y[2] and y[0] < x[1] and x[0] < y[1] for y in spans)]
+    got = [[tuple(x) for x in r[0]] for r in df.select(pii.without_overlaps(F.col("p"))).collect()]
+    assert got == [want, [(1, 3, False)], []] and sum(x[2] for x in spans) > pii._CHUNK
+
+
 def targets_by_hand(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
@@ -106,6 +123,25 @@ def test_mix(spark, monkeypatch, slices):
     assert mixing.op6(df.limit(0)).count() == 0
 
 
+def test_each_tenth_of_training_has_its_share_of_words(spark):
+    rows = [(i, "w " * (1 + i % 7), s) for s, n in (("a", 3000), ("b", 3000), ("c", 3000)) for i in range(n)]
+    mix = mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    each = mixing.schedule(mix).collect()
+    assert [r.position for r in each] == sorted(r.position for r in each)
+    for rank, source in enumerate("abc"):
+        own, slope = [r for r in each if r.source == source], mixing.SLOPES[rank]
+        target, size = own[0].target, own[0].source_size
+        assert abs(sum(r.words for r in own) - target) <= 0.5 and all(r.taken <= 2 * r.size for r in own)
+        if target > 1.5 * size:
+            assert max(r.position for r in own) > 0.9  # a second pass has positions of its own
+        for tenth in range(10):
+            a, b = tenth / 10, (tenth + 1) / 10
+            due = target * ((b + slope * (b * b - b)) - (a + slope * (a * a - a)))
+            assert abs(sum(r.words for r in own if a <= r.position < b) - due) <= 20
+    assert any(len(r.passes) == 2 for r in mix.collect())
+    assert all(r.taken == sum(p.words for p in r.passes) and (r.position is None) == (not r.passes) for r in mix.collect())
+
+
 def test_demand_is_inverted(spark):
     df = spark.range(11).select((F.col("id") / 10).alias("share"))
     for slope in (-0.6, 0.0, 0.6):
