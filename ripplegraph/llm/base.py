@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ripplegraph.operators.lineage import settle, shared_folder  # noqa: F401
 
-#: Rows of one Arrow batch. A batch of ordinary texts is a few MB; one of very long texts still fits a worker.
+#: Rows and bytes of one Arrow batch; a batch ends at whichever comes first, or holds one longer text.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,7 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

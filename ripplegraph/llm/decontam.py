@@ -127,9 +127,10 @@ def extend(index, data, starts, ends, hashes, bounds, alignment, span, hit, item
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = 10, k: int = 5, block_mb: int = 32) -> DataFrame:
     """docs with n_words, hit_words (numbers of hit words from 0) and items (ids of items that occur), a row for each row.
 
-    docs may hold any columns but these three and those that begin with an underscore and `hit`.
+    Columns of these names give way. Items that repeat both id and text are one.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").alias("text"))
+    docs = docs.drop("n_words", "hit_words", "items")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / (block_mb * 2**20)))
     out = docs

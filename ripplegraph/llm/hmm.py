@@ -8,7 +8,8 @@ recursion over the whole text, so a score is the exact log10 likelihood under th
 
 Token counts cover all training documents and stay a table. The `near` most frequent tokens' counts go to the
 workers (a bounded table); a document's other tokens are joined with the count table, one row for each
-document and token. Frequent tokens, the only hot keys, so never reach that join.
+document and token. Frequent tokens, the only hot keys, so never reach that join: short ones are among the
+`near`, and longer than 64 bytes those that are a thousandth of all tokens.
 
 Documents of a batch step through time together, longest first. Batches hold a bounded number of tokens, or
 one document.
@@ -129,7 +130,8 @@ class Lexicon:
 def lexicon(counts: DataFrame, near: int, own: int) -> Lexicon:
     """The at most `near` most frequent short tokens are found by a bound on the count, from a table of its logarithms."""
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    short = counts.where(F.octet_length("token") <= 64)
+    # Long tokens too where they are frequent: at most a thousand reach a thousandth of all tokens.
+    short = counts.where((F.octet_length("token") <= 64) | (F.col("c") > F.lit(total / 1000)))
     step = F.floor(F.log2("c") * 32).cast("int")
     least, held = None, 0
     for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():  # 32 rows for each doubling of the count
@@ -182,13 +184,14 @@ def packed(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def forward(model: Model, flat: np.ndarray, at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """log10 likelihoods in packed order; with keep, the scaled forward values and the scales of all places."""
-    e = model.emit[flat]
-    a = model.start * e[: at[1]]
-    kept, scale = (np.empty_like(e), np.empty(len(flat))) if keep else (None, np.empty(len(flat)))
+    kept, scale = (np.empty((len(flat), len(model.start))) if keep else None), np.empty(len(flat))
+    e, low, high = None, 0, 0
     for t in range(len(at) - 1):
         x, y = at[t], at[t + 1]
-        if t:
-            a = (a[: y - x] @ model.move) * e[x:y]
+        if y > high:  # emissions by stretches, so that a very long text needs no table of all its own
+            low, high = x, max(y, min(len(flat), x + TOGETHER))
+            e = model.emit[flat[low:high]]
+        a = ((a[: y - x] @ model.move) if t else model.start) * e[x - low : y - low]
         s = a.sum(1)
         a = a / s[:, None]
         scale[x:y] = s

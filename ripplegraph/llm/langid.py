@@ -6,7 +6,7 @@ machines as well. Votes decide, then the sum of margins, then the name. A text i
 its hashed letter trigrams (of UTF-8 bytes, lower-cased, ASCII other than letters taken as a blank), so a linear
 margin is a sum over the text: whole texts are scored in one vectorised pass, without a shuffle.
 
-Fitted on at most `most` texts a language (those with the least id hash). Languages and families are those of
+Fitted on at most `most` texts a language and `in_all` of all (those with the least id hash). Languages and families are those of
 the labels; a language missing from FAMILIES is a family of its own. Weights are integers, so that a score
 does not depend on how texts are batched.
 
@@ -165,7 +165,10 @@ def shares(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(docs: DataFrame, allowed: Column, lang: str = "lang", text: str = "text", most: int = 300) -> Hierarchy:
+def fit(docs: DataFrame, allowed: Column, lang: str = "lang", text: str = "text", most: int = 300, in_all: int = 12_000) -> Hierarchy:
+    """Learned on at most `most` texts a language, fewer where there are so many languages that it were more than `in_all`."""
+    n_langs = docs.where(F.col(lang).isNotNull() & allowed).select(lang).distinct().count()
+    most = max(1, min(most, in_all // max(n_langs, 1)))
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & allowed).select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
