@@ -13,31 +13,28 @@ def reach(edges: DataFrame, roots: DataFrame, limits: Limits | None = None) -> D
     """root_id, node and level (the least distance) of all nodes that each root reaches, itself at 0.
 
     edges: node, next. roots: root_id, node. Semi-naive: only a level's new pairs are joined on, and pairs seen
-    before are dropped by an anti join, so cycles end. Each level is written once.
+    before are dropped by an anti join, so cycles end. Each level is written once. Ceilings on depth and nodes hold
+    where limits are given, as for one analysis; without, the walk ends when nothing is new.
     """
-    limits = (limits or Limits()).normalised()
+    limits = limits and limits.normalised()
     edges = settle(edges.select("node", "next").where("node is not null and next is not null").distinct())
     new = settle(roots.select("root_id", "node").distinct().withColumn("level", F.lit(0)))
     seen, level, total = new, 0, 0
-    per_root = None
-    while True:
-        counts = new.groupBy("root_id").agg(F.count("*").alias("n"))
-        per_root = counts if per_root is None else per_root.unionByName(counts)
-        found, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
-        if not found:
-            return seen
-        total += found
-        check("total nodes", total, limits.total_nodes)
-        if total > limits.nodes_per_root:
-            check("nodes per root", per_root.groupBy("root_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0], limits.nodes_per_root)
-        if level == limits.depth:
-            if not new.join(edges, "node").isEmpty():
-                raise BudgetExceeded("depth", level + 1, limits.depth)
-            return seen
+    while found := new.count():
+        if limits:
+            total += found
+            check("total nodes", total, limits.total_nodes)
+            if total > limits.nodes_per_root:
+                check("nodes per root", seen.groupBy("root_id").count().agg(F.max("count")).first()[0], limits.nodes_per_root)
+            if level == limits.depth:
+                if not new.join(edges, "node").isEmpty():
+                    raise BudgetExceeded("depth", level + 1, limits.depth)
+                return seen
         level += 1
         step = new.join(edges, "node").select("root_id", F.col("next").alias("node")).distinct()
         new = settle(step.join(seen, ["root_id", "node"], "left_anti").withColumn("level", F.lit(level)))
         seen = seen.unionByName(new)
+    return seen
 
 
 def closure(edges: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -51,23 +48,22 @@ def paths(edges: DataFrame, roots: DataFrame, limits: Limits | None = None) -> D
     """root_id, node, level, path, relations and cycle for all simple paths of each root.
 
     edges: node, next, relation. A step to a node on the path ends it there, marked as a cycle; the node is then
-    repeated at the path's end. Counts every step against the budget before going on.
+    repeated at the path's end. Counts every step against the limits, where given, before going on.
     """
-    limits = (limits or Limits()).normalised()
+    limits = limits and limits.normalised()
     edges = settle(edges.select("node", "next", "relation").where("node is not null and next is not null").distinct())
     new = settle(roots.select("root_id", "node").distinct().select("root_id", "node", F.lit(0).alias("level"), F.array("node").alias("path"), F.array().cast("array<string>").alias("relations"), F.lit(False).alias("cycle")))
     found, total = new, 0
     level = 0
-    while True:
-        n, most = new.groupBy("root_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
-        if not n:
-            return found
+    while n := new.count():
         total += n
-        check("total nodes", total, limits.total_nodes)
-        check("nodes per root", most, limits.nodes_per_root)
         level += 1
-        if level > limits.depth:
-            raise BudgetExceeded("depth", level, limits.depth)
+        if limits:
+            check("total nodes", total, limits.total_nodes)
+            if total > limits.nodes_per_root:
+                check("nodes per root", found.groupBy("root_id").count().agg(F.max("count")).first()[0], limits.nodes_per_root)
+            if level > limits.depth:
+                raise BudgetExceeded("depth", level, limits.depth)
         step = new.where(~F.col("cycle")).join(edges, "node")
         new = settle(
             step.select(
@@ -80,6 +76,7 @@ def paths(edges: DataFrame, roots: DataFrame, limits: Limits | None = None) -> D
             )
         )
         found = found.unionByName(new)
+    return found
 
 
 def shortest(found: DataFrame, by: list[str], keys: str = "path") -> DataFrame:

@@ -53,14 +53,13 @@ def pair_configurations(configs: DataFrame, providers: DataFrame) -> DataFrame:
     """config_id and provider_id: each configuration takes the first provider behind it that none before it took.
 
     configs and providers: function, id, position. Going through a function's configurations in order, the i-th
-    takes provider i + max over j <= i of (first_j - j), where first_j is the number of providers before the j-th
-    configuration's end: a running maximum instead of a loop.
+    takes provider i + max over j <= i of (first_j - j) + 1, where first_j is the number of providers up to the j-th
+    configuration's end: one running count over both sides and a running maximum instead of a loop.
     """
     order = Window.partitionBy("function").orderBy("position", "id")
-    p = providers.select("function", F.col("id").alias("provider_id"), F.col("position"), F.row_number().over(order).alias("_n"))
-    before = configs.select("function", F.col("id").alias("config_id"), F.col("position").alias("_end")).join(p.select("function", F.col("position").alias("_p")), "function", "left")
-    first = before.groupBy("function", "config_id", "_end").agg(F.count_if(F.col("_p") <= F.col("_end")).alias("_first"))
-    own = Window.partitionBy("function").orderBy("_end", "config_id")
-    numbered = first.withColumn("_i", F.row_number().over(own))
-    numbered = numbered.withColumn("_n", F.col("_i") + F.max(F.col("_first") - F.col("_i") + 1).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.join(p.select("function", "provider_id", "_n"), ["function", "_n"]).select("function", "config_id", "provider_id")
+    p = providers.select("function", F.col("id").alias("provider_id"), F.row_number().over(order).alias("_n"))
+    sides = providers.select("function", "id", "position", F.lit(0).alias("_side")).unionByName(configs.select("function", "id", "position", F.lit(1).alias("_side")))
+    before = Window.partitionBy("function").orderBy("position", "_side", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = sides.withColumn("_first", F.sum(1 - F.col("_side")).over(before)).withColumn("_i", F.sum("_side").over(before)).where("_side = 1")
+    numbered = numbered.withColumn("_n", F.col("_i") + F.max(F.col("_first") - F.col("_i") + 1).over(before))
+    return numbered.select("function", F.col("id").alias("config_id"), "_n").join(p, ["function", "_n"]).select("function", "config_id", "provider_id")

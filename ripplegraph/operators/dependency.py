@@ -34,11 +34,19 @@ def endpoints_of(pairs: DataFrame, operations: DataFrame) -> DataFrame:
     return own.groupBy("operation_id").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "method", "path"))).alias("endpoints"))
 
 
-def asymmetries(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """Pairs that only one of two directions holds; none when they agree."""
-    f = forward.select(F.concat_ws(" ", "method", "path").alias("endpoint"), F.explode("operations").alias("operation_id"))
-    b = backward.select(F.explode("endpoints").alias("endpoint"), "operation_id")
-    return f.exceptAll(b).withColumn("side", F.lit("forward")).unionByName(b.exceptAll(f).withColumn("side", F.lit("backward")))
+def operation_endpoints(resolved: DataFrame, calls: DataFrame, remote: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The pairs of endpoint_operations(), found the other way: from remote calls up to the handlers they serve."""
+    asked = remote.select(F.col("operation_id").alias("root_id"), F.col("caller_symbol").alias("node")).distinct()
+    edges = calls.select(F.col("callee").alias("node"), F.col("caller").alias("next"))
+    found = closure.reach(edges, asked, limits).select(F.col("root_id").alias("operation_id"), F.col("node").alias("handler_symbol"))
+    return resolved.select("method", "path", "handler_symbol").distinct().join(found, "handler_symbol").select("method", "path", "operation_id").distinct()
+
+
+def agreement(forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """operation_id and how many of its pairs either direction has, and both."""
+    marked = forward.select("operation_id", "method", "path", F.lit(1).alias("f"), F.lit(0).alias("b")).unionByName(backward.select("operation_id", "method", "path", F.lit(0).alias("f"), F.lit(1).alias("b")))
+    each = marked.groupBy("operation_id", "method", "path").agg(F.max("f").alias("f"), F.max("b").alias("b"))
+    return each.groupBy("operation_id").agg(F.sum("f").alias("forward"), F.sum("b").alias("backward"), F.sum(F.col("f") * F.col("b")).alias("agreed"))
 
 
 def chains(handlers: DataFrame, calls: DataFrame, remote: DataFrame, limits: Limits | None = None) -> DataFrame:

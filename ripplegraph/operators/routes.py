@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import closure
-from ripplegraph.operators.budgets import Limits
+from ripplegraph.operators import closure, spans
+from ripplegraph.operators.budgets import BudgetExceeded, Limits
 from ripplegraph.operators.lineage import settle
 
 
@@ -32,7 +32,7 @@ def group_routes(edges: DataFrame, routes: DataFrame, limits: Limits | None = No
     return below.select("ancestor", "descendant").union(alone).distinct().join(own, "descendant").select("ancestor", "route_id").distinct()
 
 
-def group_prefixes(groups: DataFrame, most: int = 64) -> DataFrame:
+def group_prefixes(groups: DataFrame, most: int = 256) -> DataFrame:
     """id and full_prefix: prefixes joined from the root group down, a level a round.
 
     groups: id, parent_group_id, prefix. Groups on a ring have no root and no prefix.
@@ -48,7 +48,7 @@ def group_prefixes(groups: DataFrame, most: int = 64) -> DataFrame:
         if new.isEmpty():
             return done
         done = done.unionByName(new)
-    raise RecursionError(f"groups are nested deeper than {most}")
+    raise BudgetExceeded("group depth", most + 1, most)
 
 
 def resolved_paths(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -58,9 +58,11 @@ def resolved_paths(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
     return routes.drop("resolved_path").join(p, "group_id", "left").withColumn("resolved_path", full).drop("full_prefix")
 
 
-def unique_prefixes(calls: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+def unique_prefixes(calls: DataFrame, seeds: DataFrame, most: int = 256) -> DataFrame:
     """callee and prefix for parameters that get one prefix however they are reached.
 
+    Calls nested deeper than `most` raise BudgetExceeded; so does a ring of calls that adds to a prefix forever.
+
     calls: caller, callee, prefix (added by the call). seeds: node, prefix, for callers that none calls.
     Sets of prefixes grow along the calls until nothing is new; only sets of one stay.
     """
@@ -75,6 +77,8 @@ def unique_prefixes(calls: DataFrame, seeds: DataFrame, most: int = 100) -> Data
         if new.isEmpty():
             break
         seen = settle(seen.unionByName(new))
+    else:
+        raise BudgetExceeded("prefix depth", most + 1, most)
     return seen.groupBy("node").agg(F.count_distinct("prefix").alias("_n"), F.min("prefix").alias("prefix")).where("_n = 1").drop("_n")
 
 
@@ -87,7 +91,7 @@ def flow_edges(arguments: DataFrame, parameters: DataFrame, returns: DataFrame,
     """
     p = parameters.select("callee", "position", F.col("group_id").alias("child_group_id"))
     into = arguments.select("callee", "position", F.col("group_id").alias("parent_group_id")).join(p, ["callee", "position"])
-    back = returns.select("callee", F.col("group_id").alias("parent_group_id")).join(receivers.select("callee", F.col("group_id").alias("child_group_id")), "callee")
+    back = returns.select("callee", F.col("group_id").alias("parent_group_id")).distinct().join(receivers.select("callee", F.col("group_id").alias("child_group_id")).distinct(), "callee")
     both = into.select("parent_group_id", "child_group_id").union(back.select("parent_group_id", "child_group_id"))
     return both.where("parent_group_id <> child_group_id").distinct().withColumn("id", S.fact_id("flow", F.col("parent_group_id"), F.col("child_group_id")))
 
@@ -101,26 +105,27 @@ def middleware_routes(middleware: DataFrame, subtree: DataFrame, routes: DataFra
     return below.where(later).select("middleware_id", "route_id").distinct()
 
 
+def _span(df: DataFrame, side: str, *columns: Column | str) -> DataFrame:
+    return df.select("file", *columns, *[F.col(c).alias(f"{side}_{c}") for c in ("sl", "sc", "el", "ec")])
+
+
 def route_dependencies(references: DataFrame, routes: DataFrame) -> DataFrame:
     """reference_id and route_id: what a route's own text refers to, but for its handler.
 
     references: id, from_symbol, to_symbol and a span; routes: id, route_func, handler_symbol and a span.
     """
-    span = ("file", "sl", "sc", "el", "ec")
-    i = references.select(F.col("id").alias("reference_id"), F.col("from_symbol").alias("_func"), "to_symbol", *[F.col(c).alias(f"i_{c}") for c in span])
-    o = routes.select(F.col("id").alias("route_id"), F.col("route_func").alias("_func"), "handler_symbol", *[F.col(c).alias(f"o_{c}") for c in span])
-    joined = i.join(o, (i._func == o._func) & (i.i_file == o.o_file))
+    i = _span(references, "inner", F.col("id").alias("reference_id"), F.col("from_symbol").alias("_func"), "to_symbol")
+    o = _span(routes, "outer", F.col("id").alias("route_id"), F.col("route_func").alias("_func"), "handler_symbol")
     other = ~F.col("to_symbol").eqNullSafe(F.col("handler_symbol"))
-    return joined.where(S.span_contains("o_", "i_") & other).select("reference_id", "to_symbol", "route_id")
+    return spans.contained(i, o, ["file", "_func"]).where(other).select("reference_id", "to_symbol", "route_id")
 
 
 def group_dependencies(references: DataFrame, groups: DataFrame, subtree: DataFrame) -> DataFrame:
     """to_symbol and route_id: what a group's own text refers to, for all routes of its subtree."""
-    span = ("file", "sl", "sc", "el", "ec")
-    i = references.select(F.col("from_symbol").alias("_func"), "to_symbol", *[F.col(c).alias(f"i_{c}") for c in span])
-    o = groups.select(F.col("id").alias("ancestor"), F.col("route_func").alias("_func"), *[F.col(c).alias(f"o_{c}") for c in span])
-    joined = i.join(o, (i._func == o._func) & (i.i_file == o.o_file)).where(S.span_contains("o_", "i_"))
-    return joined.select("to_symbol", "ancestor").distinct().join(subtree, "ancestor").select("to_symbol", "route_id").distinct()
+    i = _span(references, "inner", F.col("from_symbol").alias("_func"), "to_symbol")
+    o = _span(groups, "outer", F.col("id").alias("ancestor"), F.col("route_func").alias("_func"))
+    held = spans.contained(i, o, ["file", "_func"]).select("to_symbol", "ancestor").distinct()
+    return held.join(subtree, "ancestor").select("to_symbol", "route_id").distinct()
 
 
 def route_diagnostics(routes: DataFrame) -> DataFrame:

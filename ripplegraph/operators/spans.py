@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplegraph.functions import scalar as S
+
 #: Lines of a bucket. An interval stands in each bucket it touches, so a point meets it in exactly one.
 BUCKET = 64
 
@@ -66,6 +68,11 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, since: str,
     return carried.select("_left.*", "_pick.*")
 
 
-def contained_spans(inner: DataFrame, outer: DataFrame, on: list[str], condition: Column) -> DataFrame:
-    """An equi join with a containment residual, for keys (file, function) that keep groups small."""
-    return inner.join(outer, on).where(condition)
+def contained(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
+    """Each inner span (inner_sl, _sc, _el, _ec) with each outer one (outer_…) of the same keys, the file among them, that contains it.
+
+    An outer span stands in the buckets of lines that it touches, an inner one in that of its first line.
+    """
+    points = inner.withColumn("_bucket", F.floor(F.col("inner_sl") / BUCKET))
+    joined = points.join(bucketed(outer, "outer_sl", "outer_el"), [*on, "_bucket"]).withColumns({"outer_file": F.col("file"), "inner_file": F.col("file")})
+    return joined.where(S.span_contains("outer_", "inner_")).drop("_bucket", "outer_file", "inner_file")

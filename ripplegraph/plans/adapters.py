@@ -19,18 +19,17 @@ SELECT 'type:region::R' || CAST(r_regionkey AS STRING) AS id, 'type' AS kind, 'r
 UNION ALL SELECT 'type:nation::N' || CAST(n_nationkey AS STRING), 'type', 'nation', 'N' || CAST(n_nationkey AS STRING), 'nation.go', CAST(n_nationkey * 10 + 1 AS BIGINT), CAST(n_nationkey * 10 + 8 AS BIGINT) FROM {nation}
 UNION ALL SELECT 'func:customer::C' || CAST(c_custkey AS STRING), 'func', 'customer', 'C' || CAST(c_custkey AS STRING), 'customer_' || CAST(c_custkey % 50 AS STRING) || '.go', CAST(c_custkey * 3 + 1 AS BIGINT), CAST(c_custkey * 3 + 20 AS BIGINT) FROM {customer}
 UNION ALL SELECT 'func:supplier::S' || CAST(s_suppkey AS STRING), 'func', 'supplier', 'S' || CAST(s_suppkey AS STRING), 'supplier.go', CAST(s_suppkey * 20 + 1 AS BIGINT), CAST(s_suppkey * 20 + 15 AS BIGINT) FROM {supplier}
-UNION ALL SELECT 'method:orders:O:M' || CAST(o_orderkey AS STRING), 'method', 'orders', 'M' || CAST(o_orderkey AS STRING), 'orders_' || CAST(o_orderkey % 97 AS STRING) || '.go', CAST(o_orderkey + 1 AS BIGINT), CAST(o_orderkey + 30 AS BIGINT) FROM {orders} WHERE o_orderkey % 10 = 0
+UNION ALL SELECT 'method:orders:O:M' || CAST(o_orderkey AS STRING), 'method', 'orders', 'M' || CAST(o_orderkey AS STRING), 'orders_' || CAST(o_orderkey % 97 AS STRING) || '.go', CAST(o_orderkey + 1 AS BIGINT), CAST(o_orderkey + 30 AS BIGINT) FROM {orders}
 """
 
 VIEWS["v_refs"] = """
 SELECT DISTINCT to_symbol, from_symbol, kind, file, sl, kind || ':' || from_symbol || '>' || to_symbol AS id FROM (
 SELECT 'type:region::R' || CAST(n_regionkey AS STRING) AS to_symbol, 'type:nation::N' || CAST(n_nationkey AS STRING) AS from_symbol, 'type' AS kind, 'nation.go' AS file, CAST(n_nationkey * 10 + 2 AS BIGINT) AS sl FROM {nation}
-UNION ALL SELECT 'type:nation::N' || CAST(c_nationkey AS STRING), 'func:customer::C' || CAST(c_custkey AS STRING), 'type', 'customer_' || CAST(c_custkey % 50 AS STRING) || '.go', CAST(c_custkey * 3 + 2 AS BIGINT) FROM {customer} WHERE c_custkey % 3 = 0
-UNION ALL SELECT 'type:nation::N' || CAST(s_nationkey AS STRING), 'func:supplier::S' || CAST(s_suppkey AS STRING), 'type', 'supplier.go', CAST(s_suppkey * 20 + 2 AS BIGINT) FROM {supplier} WHERE s_suppkey % 2 = 0
-UNION ALL SELECT 'func:supplier::S' || CAST(s_suppkey + 1 AS STRING), 'func:supplier::S' || CAST(s_suppkey AS STRING), 'call', 'supplier.go', CAST(s_suppkey * 20 + 3 AS BIGINT) FROM {supplier} WHERE s_suppkey % 5 <> 4
-UNION ALL SELECT 'func:supplier::S' || CAST(s_suppkey - 4 AS STRING), 'func:supplier::S' || CAST(s_suppkey AS STRING), 'value', 'supplier.go', CAST(s_suppkey * 20 + 4 AS BIGINT) FROM {supplier} WHERE s_suppkey % 5 = 4
-UNION ALL SELECT 'func:customer::C' || CAST(o_custkey AS STRING), 'method:orders:O:M' || CAST(o_orderkey AS STRING), 'call', 'orders_' || CAST(o_orderkey % 97 AS STRING) || '.go', CAST(o_orderkey + 3 AS BIGINT) FROM {orders} WHERE o_orderkey % 10 = 0
-UNION ALL SELECT 'func:supplier::S' || CAST(l_suppkey AS STRING), 'func:customer::C' || CAST(o_custkey AS STRING), 'call', 'customer_' || CAST(o_custkey % 50 AS STRING) || '.go', CAST(o_custkey * 3 + 4 AS BIGINT) FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderkey % 21 = 0 AND l_linenumber = 1
+UNION ALL SELECT 'type:nation::N' || CAST(c_nationkey AS STRING), 'func:customer::C' || CAST(c_custkey AS STRING), 'type', 'customer_' || CAST(c_custkey % 50 AS STRING) || '.go', CAST(c_custkey * 3 + 2 AS BIGINT) FROM {customer}
+UNION ALL SELECT 'type:nation::N' || CAST(s_nationkey AS STRING), 'func:supplier::S' || CAST(s_suppkey AS STRING), 'type', 'supplier.go', CAST(s_suppkey * 20 + 2 AS BIGINT) FROM {supplier}
+UNION ALL SELECT 'func:supplier::S' || CAST(CASE WHEN s_suppkey % 5 = 4 THEN s_suppkey - 4 ELSE s_suppkey + 1 END AS STRING), 'func:supplier::S' || CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 5 = 4 THEN 'value' ELSE 'call' END, 'supplier.go', CAST(s_suppkey * 20 + 3 AS BIGINT) FROM {supplier}
+UNION ALL SELECT 'func:customer::C' || CAST(o_custkey AS STRING), 'method:orders:O:M' || CAST(o_orderkey AS STRING), 'call', 'orders_' || CAST(o_orderkey % 97 AS STRING) || '.go', CAST(o_orderkey + 3 AS BIGINT) FROM {orders}
+UNION ALL SELECT 'func:supplier::S' || CAST(l_suppkey AS STRING), 'method:orders:O:M' || CAST(l_orderkey AS STRING), 'call', 'orders_' || CAST(l_orderkey % 97 AS STRING) || '.go', CAST(l_orderkey + 4 AS BIGINT) FROM {lineitem}
 ) x
 """
 
@@ -38,11 +37,11 @@ VIEWS["v_groups"] = """
 SELECT 'group:r' || CAST(r_regionkey AS STRING) AS id, CAST(NULL AS STRING) AS parent_group_id, '/r' || CAST(r_regionkey AS STRING) AS prefix, 'func:region::R' AS route_func, CAST(r_regionkey * 100 + 1 AS BIGINT) AS sl, CAST(r_regionkey * 100 + 90 AS BIGINT) AS el FROM {region}
 UNION ALL SELECT 'group:n' || CAST(n_nationkey AS STRING), 'group:r' || CAST(n_regionkey AS STRING), 'n' || CAST(n_nationkey AS STRING) || '/', 'func:nation::N', CAST(n_nationkey * 100 + 1 AS BIGINT), CAST(n_nationkey * 100 + 50 AS BIGINT) FROM {nation}
 UNION ALL SELECT 'group:c' || CAST(c_custkey AS STRING), 'group:n' || CAST(c_nationkey AS STRING), '/c' || CAST(c_custkey AS STRING), 'func:customer::C' || CAST(c_custkey AS STRING), CAST(c_custkey * 3 + 1 AS BIGINT), CAST(c_custkey * 3 + 10 AS BIGINT) FROM {customer}
-UNION ALL SELECT 'group:o' || CAST(o_orderkey AS STRING), 'group:c' || CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '/o' || CAST(o_orderkey AS STRING) || '//' END, 'func:orders::F' || CAST(o_orderkey % 500 AS STRING), CAST(o_orderkey * 10 + 1 AS BIGINT), CAST(o_orderkey * 10 + 9 AS BIGINT) FROM {orders} WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'group:o' || CAST(o_orderkey AS STRING), 'group:c' || CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '/o' || CAST(o_orderkey AS STRING) || '//' END, 'func:orders::F' || CAST(o_orderkey % 500 AS STRING), CAST(o_orderkey * 10 + 1 AS BIGINT), CAST(o_orderkey * 10 + 9 AS BIGINT) FROM {orders}
 """
 
 VIEWS["v_lines"] = """
-SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(CAST(l_quantity AS BIGINT)) AS quantity FROM {lineitem} WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, l_linenumber
+SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(CAST(l_quantity AS BIGINT)) AS quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 """
 
 VIEWS["v_routes"] = """
@@ -57,13 +56,13 @@ FROM {v_lines} WHERE l_returnflag <> 'R'
 VIEWS["v_middleware"] = """
 SELECT 'mw:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'group:c' || CAST(o_custkey AS STRING) ELSE 'group:o' || CAST(l_orderkey AS STRING) END AS group_id,
     CASE WHEN l_linenumber % 2 = 0 THEN 'func:customer::C' || CAST(o_custkey AS STRING) ELSE 'func:orders::F' || CAST(l_orderkey % 500 AS STRING) END AS route_func, CAST(l_linenumber AS BIGINT) AS statement_index, 'func:supplier::S' || CAST(l_suppkey AS STRING) AS symbol
-FROM {v_lines} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_linenumber <= 4
+FROM {v_lines} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
 """
 
 VIEWS["v_comments"] = """
 SELECT 'annotation:' || CAST(s_suppkey AS STRING) AS id, 'func:supplier::S' || CAST(s_suppkey AS STRING) AS handler_symbol, CASE s_suppkey % 6 WHEN 1 THEN '// @Get /s/' || CAST(s_suppkey AS STRING) WHEN 2 THEN '//@post s/' || CAST(s_suppkey AS STRING) || '  trailing' WHEN 4 THEN '// @Refactor /x' WHEN 5 THEN '  @DELETE   /d/' || CAST(s_suppkey AS STRING) ELSE '@Put' END AS raw,
     'supplier.go' AS file, CAST(s_suppkey * 20 AS BIGINT) AS sl, CAST(s_suppkey * 20 AS BIGINT) AS el
-FROM {supplier} WHERE s_suppkey % 3 <> 0 OR s_suppkey % 6 = 3
+FROM {supplier}
 """
 
 VIEWS["v_annotations"] = """
@@ -77,7 +76,7 @@ SELECT DISTINCT 'f' || CAST(l_orderkey AS STRING) AS file, 'span:' || CAST(l_lin
 
 VIEWS["v_change_lines"] = """
 SELECT DISTINCT 'f' || CAST(o_orderkey AS STRING) AS file, CAST(o_custkey % 70 + 1 AS BIGINT) AS line FROM {orders}
-UNION SELECT DISTINCT 'f' || CAST(o_orderkey AS STRING), CAST(o_custkey % 70 + 2 AS BIGINT) FROM {orders} WHERE o_orderkey % 3 = 0
+UNION SELECT DISTINCT 'f' || CAST(o_orderkey AS STRING), CAST(o_custkey % 70 + 2 + o_orderkey % 3 AS BIGINT) FROM {orders}
 """
 
 VIEWS["v_calls"] = """
@@ -85,7 +84,7 @@ SELECT from_symbol AS caller, to_symbol AS callee FROM {v_refs} WHERE kind = 'ca
 """
 
 VIEWS["v_remote"] = """
-SELECT DISTINCT 'func:supplier::S' || CAST(l_suppkey AS STRING) AS caller_symbol, 'grpc:example.com/api.Part' || CAST(l_partkey % 7 AS STRING) || '/Get' || CAST(l_partkey % 3 AS STRING) AS operation_id FROM {lineitem} WHERE l_partkey % 50 = 0 AND l_orderkey % 9 = 0
+SELECT DISTINCT 'func:supplier::S' || CAST(l_suppkey AS STRING) AS caller_symbol, 'grpc:example.com/api.Part' || CAST(l_suppkey % 7 AS STRING) || '/Get' || CAST(l_linenumber % 3 AS STRING) AS operation_id FROM {lineitem}
 """
 
 VIEWS["v_events"] = """
@@ -95,25 +94,25 @@ FROM {events}
 """
 
 VIEWS["v_modules_old"] = """
-SELECT 'example.com/m' || CAST(p_partkey AS STRING) AS path, 'v' || CAST(p_size % 3 AS STRING) || '.' || CAST(p_partkey % 11 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) AS version, CASE WHEN p_partkey % 17 = 0 THEN 'example.com/fork' ELSE CAST(NULL AS STRING) END AS replace_path, CAST(NULL AS STRING) AS replace_version FROM {part} WHERE p_partkey % 10 <> 1
+SELECT CASE WHEN p_partkey % 10 = 1 THEN 'example.com/old' ELSE 'example.com/m' END || CAST(p_partkey AS STRING) AS path, 'v' || CAST(p_size % 3 AS STRING) || '.' || CAST(p_partkey % 11 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) AS version, CASE WHEN p_partkey % 17 = 0 THEN 'example.com/fork' ELSE CAST(NULL AS STRING) END AS replace_path, CAST(NULL AS STRING) AS replace_version FROM {part}
 """
 
 VIEWS["v_modules_new"] = """
-SELECT 'example.com/m' || CAST(p_partkey AS STRING) AS path, CASE WHEN p_partkey % 5 = 0 THEN 'v' || CAST((p_size + p_partkey) % 3 AS STRING) || '.' || CAST(p_partkey % 13 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN '-rc.' || CAST(p_partkey % 12 AS STRING) ELSE '' END ELSE 'v' || CAST(p_size % 3 AS STRING) || '.' || CAST(p_partkey % 11 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) END AS version,
-    CASE WHEN p_partkey % 17 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'example.com/fork' ELSE '../local' END ELSE CAST(NULL AS STRING) END AS replace_path, CAST(NULL AS STRING) AS replace_version FROM {part} WHERE p_partkey % 10 <> 2
+SELECT CASE WHEN p_partkey % 10 = 2 THEN 'example.com/new' ELSE 'example.com/m' END || CAST(p_partkey AS STRING) AS path, CASE WHEN p_partkey % 5 = 0 THEN 'v' || CAST((p_size + p_partkey) % 3 AS STRING) || '.' || CAST(p_partkey % 13 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN '-rc.' || CAST(p_partkey % 12 AS STRING) ELSE '' END ELSE 'v' || CAST(p_size % 3 AS STRING) || '.' || CAST(p_partkey % 11 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) END AS version,
+    CASE WHEN p_partkey % 17 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'example.com/fork' ELSE '../local' END ELSE CAST(NULL AS STRING) END AS replace_path, CAST(NULL AS STRING) AS replace_version FROM {part}
 """
 
 VIEWS["v_imports"] = """
 SELECT DISTINCT 'file' || CAST(l_orderkey % 400 AS STRING) || '.go' AS file, CASE WHEN l_linenumber = 1 THEN '_' WHEN l_linenumber = 2 THEN '.' ELSE 'm' || CAST(l_partkey % 300 AS STRING) END AS alias,
-    'example.com/m' || CAST(l_partkey % 300 AS STRING) || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '/pkg' ELSE '/pkg/v2' END AS import_path FROM {lineitem} WHERE l_orderkey % 11 = 0
+    'example.com/m' || CAST(l_partkey % 300 AS STRING) || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '/pkg' ELSE '/pkg/v2' END AS import_path FROM {lineitem}
 """
 
 VIEWS["v_uses"] = """
-SELECT DISTINCT 'file' || CAST(l_orderkey % 400 AS STRING) || '.go' AS file, 'm' || CAST(l_partkey % 300 AS STRING) AS alias, 'func:file' || CAST(l_orderkey % 400 AS STRING) || '::F' || CAST(l_suppkey % 4 AS STRING) AS symbol_id FROM {lineitem} WHERE l_orderkey % 11 = 0 AND l_suppkey % 2 = 0
+SELECT DISTINCT 'file' || CAST(l_orderkey % 400 AS STRING) || '.go' AS file, CASE WHEN l_suppkey % 2 = 0 THEN 'm' ELSE 'x' END || CAST(l_partkey % 300 AS STRING) AS alias, 'func:file' || CAST(l_orderkey % 400 AS STRING) || '::F' || CAST(l_suppkey % 4 AS STRING) AS symbol_id FROM {lineitem}
 """
 
 VIEWS["v_file_symbols"] = """
-SELECT DISTINCT 'func:file' || CAST(l_orderkey % 400 AS STRING) || '::F' || CAST(l_suppkey % 4 AS STRING) AS id, 'file' || CAST(l_orderkey % 400 AS STRING) || '.go' AS file FROM {lineitem} WHERE l_orderkey % 11 = 0 AND l_orderkey % 400 > 20
+SELECT DISTINCT 'func:file' || CAST(l_orderkey % 400 AS STRING) || '::F' || CAST(l_suppkey % 4 AS STRING) AS id, CASE WHEN l_orderkey % 400 > 20 THEN 'file' ELSE 'other' END || CAST(l_orderkey % 400 AS STRING) || '.go' AS file FROM {lineitem}
 """
 
 VIEWS["v_diff_text"] = """

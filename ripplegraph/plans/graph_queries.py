@@ -10,8 +10,8 @@ from ripplegraph.operators import closure, contracts, dependency, endpoints, imp
 from ripplegraph.plans.adapters import Relations
 from ripplegraph.plans.registry import query
 
-#: Changed symbols: all region and nation types and every tenth supplier.
-ROOTS = "SELECT id AS root_id, id AS node FROM {v_symbols} WHERE kind = 'type' OR (package_path = 'supplier' AND id LIKE '%0')"
+#: Changed symbols: all types and all suppliers.
+ROOTS = "SELECT id AS root_id, id AS node FROM {v_symbols} WHERE kind = 'type' OR package_path = 'supplier'"
 REACH = (
     "roots AS (" + ROOTS + "), "
     "reach(root_id, node, level) AS (SELECT root_id, node, 0 FROM roots UNION SELECT r.root_id, e.from_symbol, r.level + 1 FROM reach r JOIN {v_refs} e ON e.to_symbol = r.node WHERE r.level < 16), "
@@ -40,7 +40,7 @@ SUBTREE = (
 
 
 def roots(t: Relations) -> DataFrame:
-    own = t("v_symbols").where("kind = 'type' or (package_path = 'supplier' and id like '%0')")
+    own = t("v_symbols").where("kind = 'type' or package_path = 'supplier'")
     return own.select(F.col("id").alias("root_id"), F.col("id").alias("node"))
 
 
@@ -70,7 +70,7 @@ def min_distance(t: Relations) -> DataFrame:
     return closure.reach(impact.reverse_edges(t("v_refs")), roots(t))
 
 
-SMALL = "SELECT id AS root_id, id AS node FROM {v_symbols} WHERE package_path = 'supplier' AND id LIKE '%5'"
+SMALL = "SELECT id AS root_id, id AS node FROM {v_symbols} WHERE package_path = 'supplier'"
 PATHS = (
     "p(root_id, node, level, path, relations, is_cycle) AS (SELECT root_id, node, 0, [node], CAST([] AS VARCHAR[]), false FROM (" + SMALL + ") s "
     "UNION ALL SELECT p.root_id, e.from_symbol, p.level + 1, list_append(p.path, e.from_symbol), list_append(p.relations, e.relation), list_contains(p.path, e.from_symbol) "
@@ -79,7 +79,7 @@ PATHS = (
 
 
 def small_trees(t: Relations) -> DataFrame:
-    own = t("v_symbols").where("package_path = 'supplier' and id like '%5'").select(F.col("id").alias("root_id"), F.col("id").alias("node"))
+    own = t("v_symbols").where("package_path = 'supplier'").select(F.col("id").alias("root_id"), F.col("id").alias("node"))
     return impact.trees(t("v_refs").where("kind <> 'call' or from_symbol like 'func:supplier%'"), own)
 
 
@@ -188,12 +188,12 @@ def uncovered_routes(t: Relations) -> DataFrame:
     return endpoints.uncovered_routes(resolved_routes(t), resolved(t)).select("id", "method")
 
 
-LOOKUPS = "q AS (SELECT DISTINCT upper(trim(method)) AS q_method, trim(resolved_path) AS q_path FROM rr WHERE resolved_path IS NOT NULL AND id LIKE '%5:%' UNION SELECT 'GET', '/s/' || CAST(s_suppkey AS VARCHAR) FROM supplier)"
+LOOKUPS = "q AS (SELECT DISTINCT upper(trim(method)) AS q_method, trim(resolved_path) AS q_path FROM rr WHERE resolved_path IS NOT NULL UNION SELECT 'GET', '/s/' || CAST(s_suppkey AS VARCHAR) FROM supplier)"
 
 
 @query("endpoint_lookup_fallback", f"WITH RECURSIVE {CATALOG}, {LOOKUPS}, known AS (SELECT DISTINCT method, path FROM res), f AS (SELECT q_method, q_path, res.method, res.path, row_number() OVER (PARTITION BY q_method, q_path ORDER BY res.method, res.path) AS n FROM q JOIN rr ON upper(trim(rr.method)) = q_method AND trim(coalesce(rr.resolved_path, rr.local_path)) = q_path JOIN res ON res.route_id = rr.id WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.method = q_method AND k.path = q_path)) SELECT q_method, q_path, method, path, 'exact' AS match FROM q JOIN known ON q_method = method AND q_path = path UNION ALL SELECT q_method, q_path, method, path, 'route' FROM f WHERE n = 1")
 def endpoint_lookup_fallback(t: Relations) -> DataFrame:
-    asked = resolved_routes(t).where("resolved_path is not null and id like '%5:%'").select("method", F.col("resolved_path").alias("path"))
+    asked = resolved_routes(t).where("resolved_path is not null").select("method", F.col("resolved_path").alias("path"))
     asked = asked.union(t("supplier").select(F.lit("GET"), F.concat(F.lit("/s/"), F.col("s_suppkey").cast("string"))))
     return endpoints.lookup(asked, resolved(t), resolved_routes(t))
 
@@ -220,12 +220,12 @@ def im_evidence_overlap(t: Relations) -> DataFrame:
     return impact.events_by_evidence(changes, t("v_events"))
 
 
-ALIVE = "reg AS (SELECT DISTINCT route_func AS symbol FROM {v_routes} UNION SELECT 'func:x::Register' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT 'func:supplier::S' || CAST(s_suppkey AS VARCHAR) FROM supplier), used AS (SELECT DISTINCT to_symbol FROM {v_refs} UNION SELECT DISTINCT route_func FROM {v_routes} WHERE statement_index = 1), alive AS (SELECT symbol, (symbol IN (SELECT to_symbol FROM used) OR regexp_extract(symbol, '[^:]*$') = 'main' OR starts_with(regexp_extract(symbol, '[^:]*$'), 'Register') OR starts_with(regexp_extract(symbol, '[^:]*$'), 'Initialize')) AS is_live FROM reg)"
+ALIVE = "reg AS (SELECT DISTINCT route_func AS symbol FROM {v_routes} UNION SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'func:x::Register' ELSE 'func:x::setup' END || CAST(s_suppkey AS VARCHAR) FROM supplier UNION SELECT 'func:supplier::S' || CAST(s_suppkey AS VARCHAR) FROM supplier), used AS (SELECT DISTINCT to_symbol FROM {v_refs} UNION SELECT DISTINCT route_func FROM {v_routes} WHERE statement_index = 1), alive AS (SELECT symbol, (symbol IN (SELECT to_symbol FROM used) OR regexp_extract(symbol, '[^:]*$') = 'main' OR starts_with(regexp_extract(symbol, '[^:]*$'), 'Register') OR starts_with(regexp_extract(symbol, '[^:]*$'), 'Initialize')) AS is_live FROM reg)"
 
 
 def alive(t: Relations) -> DataFrame:
     s = t("supplier")
-    registered = t("v_routes").select(F.col("route_func").alias("symbol")).union(s.where("s_suppkey % 3 = 0").select(F.concat(F.lit("func:x::Register"), F.col("s_suppkey").cast("string")))).union(s.select(F.concat(F.lit("func:supplier::S"), F.col("s_suppkey").cast("string"))))
+    registered = t("v_routes").select(F.col("route_func").alias("symbol")).union(s.select(F.concat(F.when(F.col("s_suppkey") % 3 == 0, "func:x::Register").otherwise("func:x::setup"), F.col("s_suppkey").cast("string")))).union(s.select(F.concat(F.lit("func:supplier::S"), F.col("s_suppkey").cast("string"))))
     used = t("v_refs").select("to_symbol").union(t("v_routes").where("statement_index = 1").select("route_func"))
     return contracts.live(registered, used)
 
@@ -293,10 +293,14 @@ def grpc_to_endpoint(t: Relations) -> DataFrame:
     return found.select("operation_id", F.size("endpoints").cast("long").alias("n"), F.get("endpoints", F.lit(0)).alias("first_endpoint"))
 
 
-@query("bidirectional_invariant", "SELECT CAST('' AS VARCHAR) AS endpoint, CAST('' AS VARCHAR) AS operation_id, CAST('' AS VARCHAR) AS side WHERE false")
+BACK = "ob(operation_id, node) AS (SELECT DISTINCT operation_id, caller_symbol FROM {v_remote} UNION SELECT ob.operation_id, c.caller FROM ob JOIN {v_calls} c ON c.callee = ob.node), back AS (SELECT DISTINCT r.method, r.path, ob.operation_id FROM ob JOIN res r ON r.handler_symbol = ob.node)"
+
+
+@query("bidirectional_invariant", f"WITH RECURSIVE {PAIRS}, {BACK}, n AS (SELECT operation_id, method, path, 1 AS f, 0 AS b FROM pairs UNION ALL SELECT operation_id, method, path, 0, 1 FROM back), e AS (SELECT operation_id, method, path, max(f) AS f, max(b) AS b FROM n GROUP BY ALL) SELECT operation_id, CAST(sum(f) AS BIGINT) AS forward, CAST(sum(b) AS BIGINT) AS backward, CAST(sum(f * b) AS BIGINT) AS agreed FROM e GROUP BY operation_id")
 def bidirectional_invariant(t: Relations) -> DataFrame:
-    both = pairs(t)
-    return dependency.asymmetries(dependency.operations_of(both, resolved(t)), dependency.endpoints_of(both, t("v_remote")))
+    """Pairs found from the endpoints down, from the operations up, and by both; the three are equal."""
+    down, up = pairs(t), dependency.operation_endpoints(resolved(t), t("v_calls"), t("v_remote"))
+    return dependency.agreement(down, up)
 
 
 @query(

@@ -79,9 +79,9 @@ def middleware_symbols(t: Relations) -> DataFrame:
     return links.middleware_symbols(own, t("v_symbols")).select("id", F.array_join("middleware_symbols", ",").alias("symbols"))
 
 
-@query("interface_binding_unique", "SELECT o_custkey AS variable, min(o_orderstatus) AS concrete_type FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey HAVING count(DISTINCT CASE WHEN o_orderkey % 21 = 0 THEN NULL ELSE o_orderstatus END) = 1 AND NOT bool_or(o_orderkey % 21 = 0)")
+@query("interface_binding_unique", "SELECT o_custkey * 8 + o_orderkey % 8 AS variable, min(o_orderstatus) AS concrete_type FROM orders GROUP BY 1 HAVING count(DISTINCT CASE WHEN o_orderkey % 21 = 0 THEN NULL ELSE o_orderstatus END) = 1 AND NOT bool_or(o_orderkey % 21 = 0)")
 def interface_binding_unique(t: Relations) -> DataFrame:
-    own = t("orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("variable"), F.when(F.col("o_orderkey") % 21 != 0, F.col("o_orderstatus")).alias("concrete_type"))
+    own = t("orders").select((F.col("o_custkey") * 8 + F.col("o_orderkey") % 8).alias("variable"), F.when(F.col("o_orderkey") % 21 != 0, F.col("o_orderstatus")).alias("concrete_type"))
     return links.unique_bindings(own)
 
 
@@ -191,8 +191,17 @@ def fallback_root_except(t: Relations) -> DataFrame:
     return diffs.without_overlapped(own, recovered).select("file", "line")
 
 
-@query("ordered_consumption")
+CONSUMED = (
+    "o AS (SELECT l_orderkey AS function, l_orderkey * 100 + l_linenumber * 7 AS id, l_partkey % 40 AS position, l_returnflag = 'R' AS config FROM {v_lines}), "
+    "p AS (SELECT function, id, position, row_number() OVER (PARTITION BY function ORDER BY position, id) AS n FROM o WHERE NOT config), "
+    "c AS (SELECT function, id, position, row_number() OVER (PARTITION BY function ORDER BY position, id) AS i FROM o WHERE config), "
+    "f AS (SELECT c.function, c.id, c.i, count(p.n) AS passed FROM c LEFT JOIN p ON p.function = c.function AND p.position <= c.position GROUP BY ALL), "
+    "g(function, id, i, n) AS (SELECT function, id, i, passed + 1 FROM f WHERE i = 1 UNION ALL SELECT f.function, f.id, f.i, greatest(g.n, f.passed) + 1 FROM g JOIN f ON f.function = g.function AND f.i = g.i + 1)"
+)
+
+
+@query("ordered_consumption", f"WITH RECURSIVE {CONSUMED} SELECT g.function, g.id AS config_id, p.id AS provider_id FROM g JOIN p ON p.function = g.function AND p.n = g.n")
 def ordered_consumption(t: Relations) -> DataFrame:
-    """Configurations paired with providers in order; the greedy loop is no SQL, so tests hold it against one."""
+    """Configurations paired with providers in order; the SQL is the greedy loop."""
     own = t("v_lines").select(F.col("l_orderkey").alias("function"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 7).alias("id"), (F.col("l_partkey") % 40).alias("position"), "l_returnflag")
     return contracts.pair_configurations(own.where("l_returnflag = 'R'").drop("l_returnflag"), own.where("l_returnflag <> 'R'").drop("l_returnflag"))

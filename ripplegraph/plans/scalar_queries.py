@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import links, modules
+from ripplegraph.operators import links, modules, spans
 from ripplegraph.plans.adapters import Relations
 from ripplegraph.plans.registry import query
 
 
 @query("span_contains", "SELECT a.id AS outer_id, b.id AS inner_id FROM {v_routes} a JOIN {v_routes} b ON a.file = b.file AND a.route_func = b.route_func WHERE (a.sl < b.sl OR (a.sl = b.sl AND a.sc <= b.sc)) AND (a.el > b.el OR (a.el = b.el AND a.ec >= b.ec))")
 def span_contains(t: Relations) -> DataFrame:
-    span = ("file", "sl", "sc", "el", "ec")
-    side = lambda p: t("v_routes").select(F.col("id").alias(f"{p}id"), F.col("route_func").alias("f"), *[F.col(c).alias(p + c) for c in span])
-    return side("outer_").join(side("inner_"), "f").where(S.span_contains("outer_", "inner_")).select("outer_id", "inner_id")
+    span = ("sl", "sc", "el", "ec")
+    side = lambda p: t("v_routes").select(F.col("id").alias(f"{p}id"), "route_func", "file", *[F.col(c).alias(p + c) for c in span])
+    return spans.contained(side("inner_"), side("outer_"), ["file", "route_func"]).select("outer_id", "inner_id")
 
 
 @query("line_contains", "SELECT id, sl <= 20 AND el >= 22 AS holds FROM {v_spans}")
@@ -122,10 +122,10 @@ def selector_parts(t: Relations) -> DataFrame:
     return t("part").select("p_name", F.when(k % 4 == 0, F.lit(None)).otherwise(F.size(S.selector_parts(chain))).cast("long").alias("n")).distinct()
 
 
-@query("basis_max", "SELECT l_suppkey, CASE max(CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) WHEN 3 THEN 'precise' WHEN 2 THEN 'file_fallback' ELSE 'unreferenced' END AS basis FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_suppkey")
+@query("basis_max", "SELECT l_suppkey, CASE max(CASE WHEN l_returnflag = 'A' AND l_suppkey % 3 = 0 THEN 3 WHEN l_returnflag = 'N' AND l_suppkey % 3 < 2 THEN 2 ELSE 1 END) WHEN 3 THEN 'precise' WHEN 2 THEN 'file_fallback' ELSE 'unreferenced' END AS basis FROM lineitem GROUP BY l_suppkey")
 def basis_max(t: Relations) -> DataFrame:
-    basis = F.when(F.col("l_returnflag") == "A", "precise").when(F.col("l_returnflag") == "N", "file_fallback").otherwise("unreferenced")
-    return modules.strongest_basis(t("lineitem").where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("module_path"), basis.alias("basis"))).withColumnRenamed("module_path", "l_suppkey")
+    basis = F.when((F.col("l_returnflag") == "A") & (F.col("l_suppkey") % 3 == 0), "precise").when((F.col("l_returnflag") == "N") & (F.col("l_suppkey") % 3 < 2), "file_fallback").otherwise("unreferenced")
+    return modules.strongest_basis(t("lineitem").select(F.col("l_suppkey").alias("module_path"), basis.alias("basis"))).withColumnRenamed("module_path", "l_suppkey")
 
 
 @query("annotation_parse", "SELECT id, method, path FROM {v_annotations}")
