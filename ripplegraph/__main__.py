@@ -21,6 +21,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         c.add_argument("--project", required=True, help="absolute path of the project")
         c.add_argument("--goos", default="linux")
         c.add_argument("--goarch", default="amd64")
+        c.add_argument("--tags", default="", help="further build tags, by commas")
+        c.add_argument("--cgo", action="store_true", help="with files that import C")
         c.add_argument("--timings", action="store_true", help="seconds on standard error")
         c.add_argument("--diagnostics-output", help="file for diagnostics, absolute")
         c.add_argument("--format", choices=["json"], default="json")
@@ -51,23 +53,24 @@ def run(args: argparse.Namespace) -> dict:
 
     root = absolute(args.project, "--project")
     spark = local_session()
+    build = {"goos": args.goos, "goarch": args.goarch, "cgo": args.cgo, "tags": tuple(filter(None, args.tags.split(",")))}
     if args.command == "facts":
-        return documents.facts_document(project.load(spark, root, args.goos, args.goarch))
+        return documents.facts_document(project.load(spark, root, **build))
     if args.command == "endpoint-assets":
-        fb = project.load(spark, root, args.goos, args.goarch)
+        fb = project.load(spark, root, **build)
         return documents.endpoint_assets(spark, fb, args.endpoint, services.client_calls(fb, strict=True))
     path = absolute(args.diff, "--diff")
     if path is None:
         if not args.grpc:
             raise InvalidInput("impact needs --diff or --grpc")
-        fb = project.load(spark, root, args.goos, args.goarch)
+        fb = project.load(spark, root, **build)
         return {"summary": {"impactedEndpointCount": 0, "impactedEndpoints": [], "impactedIMCount": 0, "impactedIMEvents": []}, "fileSources": [], "grpcSources": documents.operation_sources(spark, fb, args.grpc), "endpointSourcesSummary": []}
     config = documents.Config.read(absolute(args.impact_config, "--impact-config") or os.path.join(root, CONFIG))
     with open(path, encoding="utf-8", newline="") as f:
         diff = f.read()
     if args.command == "impact":
-        return documents.impact_document(spark, root, diff, config, operations=args.grpc)
-    return documents.service_document(spark, root, diff, config)
+        return documents.impact_document(spark, root, diff, config, operations=args.grpc, build=build)
+    return documents.service_document(spark, root, diff, config, build=build)
 
 
 def main(argv: list[str] | None = None) -> int:

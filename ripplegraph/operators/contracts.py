@@ -43,6 +43,15 @@ def impact(references: DataFrame, roots: DataFrame, contract: DataFrame, limits:
     return hit.groupBy("root_id", "id", "kind", "identity").agg(F.min("level").alias("level"))
 
 
+def sources(references: DataFrame, roots: DataFrame, contract: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """root_id, contract id and kind: the pairs of impact(), found from the contracts' entries down to the changed symbols."""
+    edges = references.where(~S.is_generated_glue(F.col("file"))).select(F.col("from_symbol").alias("node"), F.col("to_symbol").alias("next"))
+    entries = contract.select(F.col("entry_symbol").alias("root_id"), F.col("entry_symbol").alias("node")).distinct()
+    below = closure.reach(edges, entries, limits).select(F.col("root_id").alias("entry_symbol"), "node")
+    hit = below.join(roots.select("root_id", "node").distinct(), "node").select("entry_symbol", "root_id")
+    return hit.join(contract.select("entry_symbol", "id", "kind"), "entry_symbol").select("root_id", "id", "kind").distinct()
+
+
 def by_protocol(hit: DataFrame) -> DataFrame:
     """root_id and, for each protocol, the sorted distinct identities; empty where there are none."""
     lists = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("identity")))).alias(k) for k in PROTOCOLS]

@@ -22,6 +22,13 @@ def endpoint_operations(resolved: DataFrame, calls: DataFrame, remote: DataFrame
     return handlers.join(hit, "root_id").select("method", "path", "operation_id").distinct()
 
 
+def merged_operations(client: DataFrame, server: DataFrame) -> DataFrame:
+    """operation_id, symbol and source of called and served operations; what the project calls itself is a client's."""
+    known = client.select("operation_id").distinct()
+    served = server.join(known, "operation_id", "left_anti").withColumn("source", F.lit("server"))
+    return client.withColumn("source", F.lit("client")).unionByName(served)
+
+
 def operations_of(pairs: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Sorted operations of the given endpoints (method, path)."""
     own = pairs.join(endpoints.select("method", "path").distinct(), ["method", "path"])

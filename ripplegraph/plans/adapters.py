@@ -7,9 +7,12 @@ engines know; nothing depends on the order of rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplegraph.operators.lineage import settle
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {}
@@ -93,6 +96,18 @@ SELECT DISTINCT event_type || CAST(event_id % 7 AS STRING) AS event, 'func:custo
 FROM {events}
 """
 
+VIEWS["v_anchors"] = """
+SELECT 'func:supplier::S' || CAST(s_suppkey AS STRING) AS id, s_suppkey % 10 = 0 AS scheme, s_suppkey % 10 = 3 AS endpoint FROM {supplier}
+"""
+
+VIEWS["v_event_calls"] = """
+SELECT 'func:supplier::S' || CAST(s_suppkey AS STRING) AS function, 'func:supplier::S' || CAST(CASE WHEN s_suppkey % 5 = 4 THEN s_suppkey - 4 ELSE s_suppkey + 1 END AS STRING) AS callee, CASE WHEN s_suppkey % 3 = 0 THEN 'l' || CAST(s_suppkey AS STRING) ELSE CAST(NULL AS STRING) END AS given, 'N' || CAST(s_nationkey AS STRING) AS payload, 'e' || CAST(s_suppkey % 2 AS STRING) || '.' AS prefix FROM {supplier}
+"""
+
+VIEWS["v_served"] = """
+SELECT DISTINCT 'grpc:example.com/api.Part' || CAST(s_suppkey % 9 AS STRING) || '/Get' || CAST(s_suppkey % 4 AS STRING) AS operation_id, 'func:supplier::S' || CAST(s_suppkey AS STRING) AS handler_symbol FROM {supplier}
+"""
+
 VIEWS["v_modules_old"] = """
 SELECT CASE WHEN p_partkey % 10 = 1 THEN 'example.com/old' ELSE 'example.com/m' END || CAST(p_partkey AS STRING) AS path, 'v' || CAST(p_size % 3 AS STRING) || '.' || CAST(p_partkey % 11 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) AS version, CASE WHEN p_partkey % 17 = 0 THEN 'example.com/fork' ELSE CAST(NULL AS STRING) END AS replace_path, CAST(NULL AS STRING) AS replace_version FROM {part}
 """
@@ -142,6 +157,12 @@ class Relations:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.made = spark, sf_dir, {}
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What build() gives, worked out and written the first time that it is asked for."""
+        if name not in self.made:
+            self.made[name] = settle(build())
+        return self.made[name]
+
     def __call__(self, name: str) -> DataFrame:
         if name not in self.made:
             if name in VIEWS:

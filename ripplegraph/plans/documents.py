@@ -71,8 +71,10 @@ def facts_document(fb: FactBase) -> dict:
         "route_groups": rows(fb.route_groups, lambda r: {"id": r.id, "group_var": r.group_var, "parent_group_id": r.parent_group_id, "prefix": r.prefix, "route_func": r.route_func, "statement_index": r.statement_index, "span": span(r)}),
         "routes": rows(fb.routes, lambda r: {"id": r.id, "method": r.method, "local_path": r.local_path, "path_raw": r.path_raw, "resolved_path": r.resolved_path, "group_id": r.group_id, "handler_raw": r.handler_raw, "handler_symbol": r.handler_symbol, "wrappers": [w.asDict() for w in r.wrappers or []], "route_func": r.route_func, "statement_index": r.statement_index, "span": span(r)}),
         "middleware": rows(fb.middleware, lambda r: {"id": r.id, "group_id": r.group_id, "middleware_raw": r.middleware_raw, "middleware_symbols": r.middleware_symbols or [], "route_func": r.route_func, "statement_index": r.statement_index, "span": span(r)}),
+        "im_events": rows(fb.im_events, lambda r: {"id": r.id, "event": r.event, "event_raw": r.event_raw, "sender_symbol": r.sender_symbol, "resolved": r.resolved, "evidence": [span(e) for e in r.evidence]}),
+        "grpc_operations": [{"id": r.operation_id, "source": r.source, "symbols": r.symbols} for r in services.operations(fb).groupBy("operation_id", "source").agg(F.array_sort(F.collect_set("symbol")).alias("symbols")).orderBy("operation_id").collect()],
         "modules": [{k: v for k, v in r.asDict().items() if v is not None and k != "path"} for r in fb.modules.orderBy("module").collect()],
-        "diagnostics": [r.asDict() for r in fb.diagnostics.orderBy("file").collect()],
+        "diagnostics": [r.asDict() for r in fb.diagnostics.unionByName(services.diagnostics(fb)).orderBy("file", "code", "message").collect()],
     }
 
 
@@ -215,9 +217,10 @@ class Changed:
     usage: DataFrame
     module_diff: bool
     limits: Limits
+    mapped: DataFrame
 
 
-def changed(spark: SparkSession, root: str, diff: str, config: Config | None, limits: Limits | None, verify: bool = True, recovering: bool = True) -> Changed:
+def changed(spark: SparkSession, root: str, diff: str, config: Config | None, limits: Limits | None, verify: bool = True, recovering: bool = True, build: dict | None = None) -> Changed:
     """The roots of a unified diff: facts and symbols its lines hit, deleted routes, and users of changed modules."""
     limits, config = (limits or Limits()).normalised(), config or Config()
     check_diff(diff, limits)
@@ -225,12 +228,12 @@ def changed(spark: SparkSession, root: str, diff: str, config: Config | None, li
     diffs.check_parsed(lines)
     files = settle(diffs.diff_files(lines))
     check("files", files.count(), limits.files)
-    fb = within(spark, limits.load_seconds, "load", lambda: project.load(spark, root))
+    fb = within(spark, limits.load_seconds, "load", lambda: project.load(spark, root, **(build or {})))
     named = files.select("diff_id", "file_no", F.when(F.col("new_path") == "", F.col("old_path")).otherwise(F.col("new_path")).alias("file"), "status", "raw")
     if verify:
         text = fb.files.join(named.select(F.col("file").alias("path")).distinct(), "path").select(F.col("path").alias("file"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("_i", "text"))
         diffs.check_applied(diffs.unapplied(diffs.expected_lines(lines, files), files, text.select("file", (F.col("_i") + 1).alias("line"), "text"), diffs.deleted_blocks(lines)))
-    broken = fb.diagnostics.join(named.select("file"), "file").first()
+    broken = fb.diagnostics.where("severity = 'error'").join(named.select("file"), "file").first()
     if broken:
         raise DiffInvalid(f"a changed file can't be parsed: {broken.message}")
     ranges = diffs.diff_ranges(lines, files).join(named.select("diff_id", "file_no", "file"), ["diff_id", "file_no"])
@@ -254,12 +257,15 @@ def changed(spark: SparkSession, root: str, diff: str, config: Config | None, li
         fb.relations["routes"] = fb.routes.withColumn("recovered", F.lit(False)).unionByName(recovered, allowMissingColumns=True)
     roots = settle(roots.distinct())
     check("roots", roots.count(), limits.roots)
-    return Changed(fb, named, roots, found_modules, usage, module_diff, limits)
+    return Changed(fb, named, roots, found_modules, usage, module_diff, limits, mapped)
 
 
-def impact_document(spark: SparkSession, root: str, diff: str, config: Config | None = None, limits: Limits | None = None, operations: list[str] | None = None, verify: bool = True) -> dict:
-    """The impact of a unified diff, applied to the project below root, on its endpoints; of operations as well."""
-    c = changed(spark, root, diff, config, limits, verify)
+def impact_document(spark: SparkSession, root: str, diff: str, config: Config | None = None, limits: Limits | None = None, operations: list[str] | None = None, verify: bool = True, build: dict | None = None) -> dict:
+    """The impact of a unified diff, applied to the project below root, on its endpoints and outbound events; of operations as well.
+
+    build: what project.load() takes besides the folder.
+    """
+    c = changed(spark, root, diff, config, limits, verify, build=build)
     fb, roots, limits = c.fb, c.roots, c.limits
     resolved, subtree = settle(endpoint_resolutions(fb)), group_subtree(fb, limits)
     edges = settle(steps(fb, resolved, subtree))
@@ -273,10 +279,50 @@ def impact_document(spark: SparkSession, root: str, diff: str, config: Config |
     evidence = defaultdict(set)
     for r in resolved.join(fb.routes.select(F.col("id").alias("route_id"), F.col("method").alias("_m"), F.coalesce("resolved_path", "local_path").alias("_p")), "route_id").select("method", "path", "_m", "_p").collect():
         evidence[r.method, r.path].add((r["_m"], r["_p"]))
-    out = _assemble(roots.collect(), c.files.collect(), c.modules.collect(), c.usage.collect(), Walk(near, nodes, limits), evidence, c.module_diff)
+    sent = sent_events(fb, reached, c.mapped)
+    out = _assemble(roots.collect(), c.files.collect(), c.modules.collect(), c.usage.collect(), Walk(near, nodes, limits), evidence, c.module_diff, sent)
     return out | {"grpcSources": operation_sources(spark, fb, operations, limits) if operations else []}
 
 
+class Sent:
+    """Which events a tree of dependents sends: those whose sender ends a path through one of their dependencies, and
+    those of a changed sender whose evidence the changed lines touch.
+    """
+
+    def __init__(self, by_sender: dict[str, list[tuple[str, set[str]]]], touched: dict[str, set[str]]):
+        self.by_sender, self.touched = by_sender, touched
+
+    def of(self, tree: dict) -> set[str]:
+        found = set(self.touched.get(tree["id"], ()))
+
+        def visit(node: dict, path: set[str]) -> None:
+            path = path | {node["id"]}
+            found.update(event for event, needs in self.by_sender.get(node["id"], ()) if needs & path)
+            for child in node["children"]:
+                visit(child, path)
+
+        visit(tree, set())
+        return found
+
+
+def sent_events(fb: FactBase, reached: DataFrame, mapped: DataFrame) -> Sent:
+    """The events of reached senders, with what they hang on."""
+    name = F.coalesce("event", "event_raw")
+    own = settle(fb.im_events.join(reached.select(F.col("node").alias("sender_symbol")), "sender_symbol").select("id", name.alias("event"), "sender_symbol", "evidence"))
+    needs = defaultdict(set)
+    for r in fb.im_dependencies.join(own.select("id"), "id").collect():  # of senders within the budget
+        needs[r.id].add(r.symbol_id)
+    by_sender = defaultdict(list)
+    for r in own.collect():
+        by_sender[r.sender_symbol].append((r.event, needs[r.id]))
+    places = own.select("event", "sender_symbol", F.explode("evidence").alias("e")).select("event", "sender_symbol", F.col("e.file").alias("evidence_file"), F.col("e.sl").alias("evidence_start"), F.col("e.el").alias("evidence_end"))
+    changes = mapped.where("target_id is not null").select(F.col("target_id").alias("change_id"), F.col("target_id").alias("symbol_id"), "file", "start_line", "end_line")
+    touched = defaultdict(set)
+    for r in impact.events_by_evidence(changes, places).collect():
+        touched[r.change_id].add(r.event)
+    return Sent(by_sender, touched)
+
+
 def operation_sources(spark: SparkSession, fb: FactBase, asked: list[str], limits: Limits | None = None) -> list[dict]:
     """The endpoints that lead to each asked operation (`<import path>.<Service>/<Method>`)."""
     package, service, method = S.parse_operation(F.col("raw"))
@@ -293,11 +339,11 @@ def operation_sources(spark: SparkSession, fb: FactBase, asked: list[str], limit
     return [{"grpc": {"identity": r.raw, "goMethod": r.raw.rsplit("/", 1)[-1]}, "impactedEndpoints": [dict(zip(("method", "path"), e.split(" ", 1))) for e in r.endpoints or []]} for r in found.orderBy("raw").collect()]
 
 
-def service_document(spark: SparkSession, root: str, diff: str, config: Config | None = None, limits: Limits | None = None, verify: bool = True) -> dict:
+def service_document(spark: SparkSession, root: str, diff: str, config: Config | None = None, limits: Limits | None = None, verify: bool = True, build: dict | None = None) -> dict:
     """The impact of a diff on the contracts of four protocols. Generated glue is not walked through; deleted routes
     and annotations play no part, so HTTP contracts are named by their routes.
     """
-    c = changed(spark, root, diff, config, limits, verify, recovering=False)
+    c = changed(spark, root, diff, config, limits, verify, recovering=False, build=build)
     fb, limits = c.fb, c.limits
     found = settle(services.all_contracts(fb))
     # What a root that is no symbol stands for: the handlers of its routes, the function that registers it.
@@ -338,14 +384,14 @@ def service_document(spark: SparkSession, root: str, diff: str, config: Config |
     return out | {"entrySourcesSummary": reverse}
 
 
-def _assemble(roots: list, files: list, found_modules: list, usage: list, walk: Walk, evidence: dict, module_diff: bool) -> dict:
-    by_file, by_module, all_ends = {}, {}, set()
+def _assemble(roots: list, files: list, found_modules: list, usage: list, walk: Walk, evidence: dict, module_diff: bool, sent: Sent) -> dict:
+    by_file, by_module, all_ends, all_events = {}, {}, set(), set()
     strongest = defaultdict(lambda: "unreferenced")
     for u in usage:
         strongest[u.module_path] = max(strongest[u.module_path], u.basis, key=S.BASIS_RANKS.get)
     for f in sorted(files, key=lambda f: (f.file, f.diff_id, f.file_no)):
         if f.file != "go.mod" or not module_diff:
-            own = by_file.setdefault(f.file, {"sourceFile": f.file, "diff": "", "symbols": {}, "ends": set()})
+            own = by_file.setdefault(f.file, {"sourceFile": f.file, "diff": "", "symbols": {}, "ends": set(), "events": set()})
             own["diff"] += f.raw
     for m in sorted(found_modules, key=lambda m: m.path):
         fields = {"modulePath": m.path, "changeType": m.kind, "versionBefore": m.old_version, "versionAfter": m.new_version}
@@ -363,8 +409,10 @@ def _assemble(roots: list, files: list, found_modules: list, usage: list, walk:
             key, tree = r.root_id, trees.setdefault(r.root_id, None) or walk.tree(r.root_id)
             trees[r.root_id] = tree
         owner = by_module[r.module_path]["files"] if r.module_path else by_file
-        own = owner.setdefault(r.file, {"sourceFile": r.file, "diff": "", "symbols": {}, "ends": set()})
+        own = owner.setdefault(r.file, {"sourceFile": r.file, "diff": "", "symbols": {}, "ends": set(), "events": set()})
         own["symbols"][key] = tree
+        own["events"] |= sent.of(tree)
+        all_events |= own["events"]
         for end, chain in shortest_chains(tree).items():
             own["ends"].add(end)
             all_ends.add(end)
@@ -378,7 +426,7 @@ def _assemble(roots: list, files: list, found_modules: list, usage: list, walk:
         return [{"method": m, "path": p, "routes": [{"method": a, "path": b} for a, b in sorted(evidence[m, p], key=str)]} for m, p in sorted(found)]
 
     def file_source(own: dict) -> dict:
-        out = {"sourceFile": own["sourceFile"], "diff": own["diff"], "symbols": dict(sorted(own["symbols"].items())), "impactedEndpoints": ends(own["ends"]), "impactedIMEvents": []}
+        out = {"sourceFile": own["sourceFile"], "diff": own["diff"], "symbols": dict(sorted(own["symbols"].items())), "impactedEndpoints": ends(own["ends"]), "impactedIMEvents": sorted(own["events"])}
         return out if own["diff"] else {k: v for k, v in out.items() if k != "diff"}
 
     summary = []
@@ -389,7 +437,7 @@ def _assemble(roots: list, files: list, found_modules: list, usage: list, walk:
             rows.append({"sourceType": kind, "sourceFile": file, **module} | {"rootSymbols": [entry["rootSymbols"][k] for k in sorted(entry["rootSymbols"])], "chains": [list(c) for c in sorted(entry["chains"])]})
         summary.append({"method": method, "path": path, "sources": rows})
     out = {
-        "summary": {"impactedEndpointCount": len(all_ends), "impactedEndpoints": ends(all_ends), "impactedIMCount": 0, "impactedIMEvents": []},
+        "summary": {"impactedEndpointCount": len(all_ends), "impactedEndpoints": ends(all_ends), "impactedIMCount": len(all_events), "impactedIMEvents": sorted(all_events)},
         "fileSources": [file_source(by_file[f]) for f in sorted(by_file)],
     }
     if by_module:

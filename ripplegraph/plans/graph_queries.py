@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import closure, contracts, dependency, endpoints, impact, links, routes
+from ripplegraph.operators import closure, contracts, dependency, endpoints, events, impact, links, routes
 from ripplegraph.plans.adapters import Relations
 from ripplegraph.plans.registry import query
 
@@ -45,11 +45,11 @@ def roots(t: Relations) -> DataFrame:
 
 
 def resolved_routes(t: Relations) -> DataFrame:
-    return routes.resolved_paths(t("v_routes"), routes.group_prefixes(t("v_groups")))
+    return t.once("resolved_routes", lambda: routes.resolved_paths(t("v_routes"), routes.group_prefixes(t("v_groups"))))
 
 
 def resolved(t: Relations) -> DataFrame:
-    return endpoints.resolutions(resolved_routes(t), t("v_annotations"))
+    return t.once("resolved", lambda: endpoints.resolutions(resolved_routes(t), t("v_annotations")))
 
 
 def ends(t: Relations) -> DataFrame:
@@ -312,6 +312,44 @@ def grpc_chains(t: Relations) -> DataFrame:
     return dependency.chains(handlers, t("v_calls"), t("v_remote")).select("root_id", "operation_id", F.array_join("chain", " > ").alias("chain"))
 
 
+@query("operation_union", "SELECT operation_id, CASE WHEN operation_id IN (SELECT operation_id FROM {v_remote}) THEN 'client' ELSE 'server' END AS source, CAST(count(*) AS BIGINT) AS n FROM (SELECT operation_id, caller_symbol AS symbol FROM {v_remote} UNION ALL SELECT operation_id, handler_symbol FROM {v_served} WHERE operation_id NOT IN (SELECT operation_id FROM {v_remote})) x GROUP BY operation_id")
+def operation_union(t: Relations) -> DataFrame:
+    client = t("v_remote").select("operation_id", F.col("caller_symbol").alias("symbol"))
+    return dependency.merged_operations(client, t("v_served").select("operation_id", F.col("handler_symbol").alias("symbol"))).groupBy("operation_id", "source").agg(F.count("*").alias("n"))
+
+
+SOURCES = "down(entry_symbol, node) AS (SELECT DISTINCT entry_symbol, entry_symbol FROM con UNION SELECT d.entry_symbol, e.to_symbol FROM down d JOIN {v_refs} e ON e.from_symbol = d.node), back AS (SELECT DISTINCT r.root_id, con.id, con.kind FROM con JOIN down d ON d.entry_symbol = con.entry_symbol JOIN roots r ON r.node = d.node)"
+
+
+@query("summary_agreement", CONTRACT_IMPACT + f", {SOURCES}, n AS (SELECT root_id, id, kind, 1 AS f, 0 AS b FROM ci UNION ALL SELECT root_id, id, kind, 0, 1 FROM back), e AS (SELECT root_id, id, kind, max(f) AS f, max(b) AS b FROM n GROUP BY ALL) SELECT kind, CAST(sum(f) AS BIGINT) AS summary, CAST(sum(b) AS BIGINT) AS reverse_summary, CAST(sum(f * b) AS BIGINT) AS agreed FROM e GROUP BY kind")
+def summary_agreement(t: Relations) -> DataFrame:
+    """Contracts of each root from the root up, and roots of each contract from its entry down: the same pairs."""
+    found = t.once("contracts", lambda: all_contracts(t))
+    up = contracts.impact(t("v_refs"), roots(t), found).select("root_id", "id", "kind", F.lit(1).alias("f"), F.lit(0).alias("b"))
+    down = contracts.sources(t("v_refs"), roots(t), found).select("root_id", "id", "kind", F.lit(0).alias("f"), F.lit(1).alias("b"))
+    each = up.unionByName(down).groupBy("root_id", "id", "kind").agg(F.max("f").alias("f"), F.max("b").alias("b"))
+    return each.groupBy("kind").agg(F.sum("f").alias("summary"), F.sum("b").alias("reverse_summary"), F.sum(F.col("f") * F.col("b")).alias("agreed"))
+
+
+@query("im_reachability", "WITH RECURSIVE up(kind, node) AS (SELECT 'scheme', id FROM {v_anchors} WHERE scheme UNION SELECT 'endpoint', id FROM {v_anchors} WHERE endpoint UNION SELECT up.kind, e.from_symbol FROM up JOIN {v_refs} e ON e.to_symbol = up.node AND e.kind IN ('call', 'value')) SELECT node AS symbol, bool_or(kind = 'scheme') AS scheme, bool_or(kind = 'endpoint') AS endpoint FROM up GROUP BY node")
+def im_reachability(t: Relations) -> DataFrame:
+    return events.protocol_reach(t("v_anchors"), t("v_refs"))
+
+
+@query("im_summary_fixpoint", "WITH RECURSIVE s(function, event, is_open, payload) AS (SELECT function, prefix, true, payload FROM {v_event_calls} UNION SELECT c.function, s.event || coalesce(c.given, ''), c.given IS NULL, s.payload FROM s JOIN {v_event_calls} c ON c.callee = s.function WHERE s.is_open) SELECT function, event, is_open, payload FROM s")
+def im_summary_fixpoint(t: Relations) -> DataFrame:
+    own, no = t("v_event_calls"), F.lit(None).cast("string")
+    part = lambda text, param: F.struct(text.alias("text"), no.alias("pkg"), no.alias("name"), param.cast("int").alias("param"))
+    names = F.array().cast(events.NAMES)
+    place = [F.lit("supplier.go").alias("file"), *[F.lit(1).alias(c) for c in ("sl", "sc", "el", "ec")]]
+    sent = F.array(part(F.col("prefix"), F.lit(None)), part(no, F.lit(0)))
+    start = own.select("function", sent.alias("event"), no.alias("event_raw"), F.array(F.struct(F.lit("nation").alias("pkg"), F.col("payload").alias("name"))).alias("payload"), F.array().cast("array<int>").alias("params"), names.alias("controls"), F.array().cast("array<struct<file: string, sl: int, sc: int, el: int, ec: int>>").alias("evidence"))
+    given = F.when(F.col("given").isNull(), part(no, F.lit(0))).otherwise(part(F.col("given"), F.lit(None)))
+    calls = own.select("function", "callee", F.array(F.struct(F.array(given).alias("parts"), names.alias("deps"), F.array().cast("array<int>").alias("params"), no.alias("raw"))).alias("args"), names.alias("controls"), *place)
+    found = events.fixpoint(start, calls)
+    return found.select("function", F.array_join(F.transform("event", lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("event"), events.is_open(F.col("event"), F.col("params")).alias("is_open"), F.array_join(F.transform("payload", lambda n: n["name"]), ",").alias("payload"))
+
+
 AFFECTED = f"WITH RECURSIVE {REACH}, {CATALOG}, {ENDS}, aff AS (SELECT root_id, method, path, min(level) AS level FROM least JOIN ends USING (node) GROUP BY root_id, method, path)"
 
 

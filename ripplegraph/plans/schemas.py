@@ -45,6 +45,8 @@ SCHEMAS = {
         "route_groups": listed(record({**FACT, "group_var": TEXT, "prefix": TEXT, "route_func": TEXT, "statement_index": NUMBER, "span": SPAN}, {"parent_group_id": TEXT})),
         "routes": listed(record({**FACT, "method": TEXT, "group_id": TEXT, "handler_raw": TEXT, "wrappers": listed(record({"name": TEXT, "raw": TEXT, "guessed": FLAG})), "route_func": TEXT, "statement_index": NUMBER, "span": SPAN}, {"local_path": TEXT, "path_raw": TEXT, "resolved_path": TEXT, "handler_symbol": TEXT})),
         "middleware": listed(record({**FACT, "group_id": TEXT, "middleware_raw": TEXT, "middleware_symbols": listed(TEXT), "route_func": TEXT, "statement_index": NUMBER, "span": SPAN})),
+        "im_events": listed(record({**FACT, "event_raw": TEXT, "sender_symbol": TEXT, "resolved": FLAG, "evidence": listed(SPAN)}, {"event": TEXT})),
+        "grpc_operations": listed(record({**FACT, "source": {"enum": ["client", "server"]}, "symbols": listed(TEXT)})),
         "modules": listed(record({"module": TEXT, "version": TEXT, "indirect": FLAG}, {"replace_path": TEXT, "replace_version": TEXT})),
         "diagnostics": listed(record({"code": TEXT, "severity": TEXT, "message": TEXT, "file": TEXT})),
     }),

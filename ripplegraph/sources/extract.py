@@ -11,7 +11,7 @@ import json
 import re
 from collections.abc import Iterable
 
-from ripplegraph.sources import golang
+from ripplegraph.sources import events, golang
 from ripplegraph.sources.golang import Node, selector_parts
 
 # Names that syntax rules go by.
@@ -23,7 +23,6 @@ ROOT_TYPE, ROOT_SUFFIX = "Engine", "Group"
 SERVER_REGISTRATION = re.compile(r"^Register(\w+)Server$")
 CONFIG_SUFFIX, SETTER, MAPPER = "ServiceConfig", "SetProviderService", "MethodMapper"
 TASK_TYPES, TASK_PACKAGES = ("JobListener", "TaskFunc"), ("jobx", "xxljob")
-MOST_WRAPPERS = 16
 
 
 def import_name(path: str) -> str:
@@ -103,6 +102,9 @@ class FileFacts:
                 value = d.values[i] if i < len(d.values) else d.values[0] if len(d.values) == 1 else None
                 if d.kind == "const" and value is not None:
                     self.row("consts", package_path=self.package, name=text_of(n.name), parts=self.path_parts(value))
+                scheme, endpoint = events.anchors(value)
+                if scheme or endpoint:
+                    self.row("event_anchors", id=d.symbols[i], scheme=scheme, endpoint=endpoint)
                 for t in self.value_types(d.type, value):
                     self.row("values", package_path=self.package, var_name=text_of(n.name), **t)
 
@@ -236,6 +238,10 @@ class FileFacts:
                 self.statements(d.symbol, d.body.body, scope.inner())
                 self.route_events(d)
                 self.services(d, scope)
+                scheme, endpoint = events.anchors(d.body)
+                if scheme or endpoint:
+                    self.row("event_anchors", id=d.symbol, scheme=scheme, endpoint=endpoint)
+                events.FunctionEvents(self, d, list(own_nodes(d.body))).emit()
 
     def expression(self, source: str, x: Node | None, scope: Scope) -> None:
         if x is None:
@@ -628,7 +634,7 @@ class Routes:
 
     def add_route(self, x: Node, method: str, group: str, receiver: Node) -> None:
         f, index = self.facts, self.next()
-        handler, wrappers = self.unwrapped(x.args[1], 0)
+        handler, wrappers = self.unwrapped(x.args[1])
         outer, r = [], receiver
         while r.kind == "call" and r.args:
             outer.append({"name": text_of(last_name(r.fun) or ""), "raw": f.raw(r), "guessed": False})
@@ -642,11 +648,11 @@ class Routes:
         )
         f.mention(self.func, "handler", handler, self.scope, owner=own)
 
-    def unwrapped(self, x: Node, depth: int) -> tuple[Node, list[dict]]:
+    def unwrapped(self, x: Node) -> tuple[Node, list[dict]]:
         """The innermost handler, and the wrappers around it from outside in."""
         while x.kind == "paren":
             x = x.x
-        if x.kind != "call" or not x.args or depth > MOST_WRAPPERS or not (name := last_name(x.fun)):
+        if x.kind != "call" or not x.args or not (name := last_name(x.fun)):
             return x, []
         if name.lower() in HANDLER_WRAPPERS:
             inner, guessed = x.args[-1], False
@@ -655,7 +661,7 @@ class Routes:
             if not likely:
                 return x, []
             inner, guessed = likely[-1], True
-        found, wrappers = self.unwrapped(inner, depth + 1)
+        found, wrappers = self.unwrapped(inner)
         return found, [{"name": text_of(name), "raw": self.facts.raw(x), "guessed": guessed}, *wrappers]
 
 

@@ -6,17 +6,19 @@ Files are a DataFrame, so a fleet of projects loads as one does: each file is a
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import links, modules, routes
-from ripplegraph.operators.budgets import ProjectInvalid
+from ripplegraph.operators import events, links, modules, routes
+from ripplegraph.operators.budgets import BudgetExceeded, ProjectInvalid
 from ripplegraph.operators.lineage import settle
+from ripplegraph.sources import build
 
 _SPAN = "sl int, sc int, el int, ec int"
 _TYPE = "type_package string, type_name_of string, maker string"
@@ -50,6 +52,10 @@ SCHEMAS = {
     "provider_configs": f"function string, id string, position int, interface string, version string, version_expression string, methods array<string>, file string, {_SPAN}",
     "job_registrations": f"id string, name string, registration_symbol string, file string, {_SPAN}",
     "interfaces": "id string",
+    "event_anchors": "id string, scheme boolean, endpoint boolean",
+    "event_calls": f"id string, function string, callee string, position int, args array<struct<parts: {events.PARTS}, deps: {events.NAMES}, params: array<int>, raw: string>>, event_at int, event_parts {events.PARTS}, event_raw string, controls {events.NAMES}, file string, {_SPAN}",
+    "event_emits": f"function string, variable string, position int, parts {events.PARTS}, raw string, controls {events.NAMES}, file string, {_SPAN}",
+    "event_bodies": f"function string, variable string, position int, deps {events.NAMES}, params array<int>",
     "diagnostics": "code string, severity string, message string, file string",
 }
 SKIPPED_FOLDERS = ("vendor", "node_modules", "testdata")
@@ -76,29 +82,15 @@ def source_files(files: DataFrame) -> DataFrame:
     return go.join(owner, "directory").select("path", package.alias("package_path"), "content")
 
 
-_TAG = r"(?m)^//go:build\s+(.+)$"
-
-
-def in_build(content: Column, path: Column, goos: str = "linux", goarch: str = "amd64") -> Column:
-    """Whether a file name's system and architecture, and a plain `//go:build` line, fit the build."""
-    systems = "aix|android|darwin|dragonfly|freebsd|illumos|ios|js|linux|netbsd|openbsd|plan9|solaris|wasip1|windows"
-    machines = "386|amd64|arm|arm64|loong64|mips|mips64|mips64le|mipsle|ppc64|ppc64le|riscv64|s390x|wasm"
-    system = F.regexp_extract(path, rf"_({systems})(?:_(?:{machines}))?\.go$", 1)
-    machine = F.regexp_extract(path, rf"_({machines})\.go$", 1)
-    tag = F.trim(F.regexp_extract(content, _TAG, 1))
-    known = tag.rlike("^!?[A-Za-z0-9_.]+$")
-    wanted = F.regexp_replace(tag, "^!", "").isin(goos, goarch, "unix", "gc")
-    return system.isin("", goos) & machine.isin("", goarch) & (~known | (tag == "") | F.when(tag.startswith("!"), ~wanted).otherwise(wanted))
-
-
-def parse(sources: DataFrame) -> dict[str, DataFrame]:
-    """The relations of SCHEMAS of all sources(path, package_path, content), parsed once."""
+def parse(sources: DataFrame, tags: set[str]) -> dict[str, DataFrame]:
+    """The relations of SCHEMAS of all sources(path, package_path, content) that belong to the build, parsed once."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ripplegraph.sources.build import in_build
         from ripplegraph.sources.extract import facts_of
 
         for batch in batches:
-            found = [(relation, json.dumps(fields)) for path, package, content in zip(batch.path, batch.package_path, batch.content) for relation, fields in facts_of(path, package, bytes(content))]
+            found = [(relation, json.dumps(fields)) for path, package, content in zip(batch.path, batch.package_path, map(bytes, batch.content)) if in_build(path, content.decode("utf-8", "replace"), tags) for relation, fields in facts_of(path, package, content)]
             yield pd.DataFrame(found, columns=["relation", "payload"])
 
     rows = settle(sources.select("path", "package_path", "content").mapInPandas(work, "relation string, payload string"))
@@ -134,11 +126,14 @@ def concrete(rows: DataFrame, returns: DataFrame, symbols: DataFrame) -> DataFra
     return out.withColumn("tpkg", tpkg).withColumn("tname", tname).drop("_rp", "_rn", "_is_type", "_inside", "maker", "type_package", "type_name_of").where("tname is not null")
 
 
-def ends_of(chains: DataFrame, fields: DataFrame, most: int = 8) -> DataFrame:
-    """key, tpkg, tname and method: chains(key, tpkg, tname, rest) followed field by field to the last name."""
+def ends_of(chains: DataFrame, fields: DataFrame) -> DataFrame:
+    """key, tpkg, tname and method: chains(key, tpkg, tname, rest) followed field by field to the last name.
+
+    Each round takes a name off a chain, so there are as many as the longest chain has names.
+    """
     hops = settle(fields.select(F.col("package_path").alias("tpkg"), F.col("type_name").alias("tname"), F.col("field"), F.col("tpkg").alias("_p"), F.col("tname").alias("_t")))
     found, now = None, chains
-    for _ in range(most):
+    while True:
         last = now.where(F.size("rest") == 1).select("key", "tpkg", "tname", F.get("rest", F.lit(0)).alias("method"))
         found = last if found is None else found.unionByName(last)
         longer = now.where(F.size("rest") > 1).withColumn("field", F.get("rest", F.lit(0)))
@@ -215,8 +210,11 @@ def reference_rows(resolved: DataFrame) -> DataFrame:
     return first.withColumn("id", ref_id).dropDuplicates(["id"])
 
 
-def folded(rows: DataFrame, column: str, consts: DataFrame, most: int = 6) -> DataFrame:
-    """rows with `folded`: the column's parts with constants put in, as one text; null where one isn't known."""
+def folded(rows: DataFrame, column: str, consts: DataFrame, most: int = 256) -> DataFrame:
+    """rows with `folded`: the column's parts with constants put in, as one text; null where one isn't known.
+
+    Constants nested deeper than `most`, or made of themselves, raise BudgetExceeded.
+    """
     table = settle(consts.where("parts is not null").groupBy("package_path", "name").agg(F.first("parts").alias("parts")))
     now = rows.withColumn("_row", F.monotonically_increasing_id())
     now = settle(now)
@@ -228,6 +226,8 @@ def folded(rows: DataFrame, column: str, consts: DataFrame, most: int = 6) -> Da
         parts = settle(parts.where("text is not null").unionByName(opened).unionByName(stuck))
         if parts.where("text is null and name is not null").isEmpty():
             break
+    else:
+        raise BudgetExceeded("constant depth", most + 1, most)
     texts = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"), F.bool_and(F.col("text").isNotNull()).alias("_known"))
     text = F.when(F.col("_known"), F.array_join(F.transform("x", lambda y: y["text"]), ""))
     empty = F.when(F.col(column).isNotNull() & (F.size(column) == 0), F.lit(""))
@@ -248,16 +248,56 @@ class FactBase:
             raise AttributeError(name) from None
 
 
-def load(spark: SparkSession, root: str, goos: str = "linux", goarch: str = "amd64") -> FactBase:
+#: A function that sends events: import path, name, and the places of event and payload among its arguments.
+Sender = tuple[str, str, int, int]
+
+
+def check_links(root: str) -> None:
+    """A local project whose symbolic links lead out of it is refused."""
+    real = os.path.realpath(root)
+    for folder, folders, names in os.walk(root):
+        folders[:] = [f for f in folders if f[:1] not in "._" and f not in SKIPPED_FOLDERS]
+        for name in [*folders, *names]:
+            path = os.path.join(folder, name)
+            if os.path.islink(path) and os.path.commonpath([real, os.path.realpath(path)]) != real:
+                raise ProjectInvalid(f"{os.path.relpath(path, root)} leads out of the project")
+
+
+def event_rows(raw: dict[str, DataFrame], references: DataFrame, symbols: DataFrame, senders: DataFrame) -> dict[str, DataFrame]:
+    """im_events (id, event, event_raw, sender_symbol, evidence, resolved) and im_dependencies (id, relation, symbol_id)."""
+    reach = settle(events.protocol_reach(raw["event_anchors"], references))
+    found = settle(events.fixpoint(events.direct(raw["event_calls"], raw["event_emits"], raw["event_bodies"], reach, senders), raw["event_calls"]))
+    named = settle(events.identified(found))
+    parts = named.withColumn("_parts", F.transform("event", lambda p: F.struct(p["text"].alias("text"), p["pkg"].alias("pkg"), p["name"].alias("name"))))
+    value = folded(parts, "_parts", raw["consts"]).select("id", F.col("folded").alias("event"), "event_raw", F.col("function").alias("sender_symbol"), "evidence", F.col("folded").isNotNull().alias("resolved"))
+    return {"im_events": settle(value), "im_dependencies": settle(events.dependencies(named, symbols))}
+
+
+def diagnosed(raw: dict[str, DataFrame], found: DataFrame, mentions: DataFrame, resolved: DataFrame, module: str, senders: DataFrame) -> DataFrame:
+    """code, severity, message and file of what could not be parsed, linked or understood, once each."""
+    said = {"route_dynamic_path": "the path of a route isn't known", "route_unresolved_handler": "the handler of a route isn't known", "route_guessed_wrapper": "a call around a handler is taken for a wrapper"}
+    text = F.coalesce(*[F.when(F.col("code") == c, F.lit(t)) for c, t in said.items()])
+    of_routes = routes.route_diagnostics(found).join(found.select("id", "file", "sl"), "id").select("code", F.lit("warning").alias("severity"), F.concat_ws(":", "file", F.col("sl").cast("string"), text).alias("message"), "file")
+    inside = mentions.where(F.col("role").isin("call", "value", "type") & S.in_project(F.col("imported"), F.lit(module)))
+    missing = inside.join(resolved.select("key"), "key", "left_anti")
+    code = F.when(F.col("raw").contains("["), "reference_unresolved_generic").otherwise("reference_unresolved")
+    of_names = missing.select(code.alias("code"), F.lit("warning").alias("severity"), F.concat_ws(":", "file", F.col("sl").cast("string"), "raw").alias("message"), "file")
+    few = events.too_few_arguments(raw["event_calls"], senders).select(F.lit("im_argument_mismatch").alias("code"), F.lit("warning").alias("severity"), F.concat_ws(":", "file", F.col("sl").cast("string"), "callee").alias("message"), "file")
+    return settle(raw["diagnostics"].unionByName(of_routes).unionByName(of_names).unionByName(few).distinct())
+
+
+def load(spark: SparkSession, root: str, goos: str = "linux", goarch: str = "amd64", tags: tuple[str, ...] = (), cgo: bool = False, senders: tuple[Sender, ...] = ()) -> FactBase:
     """All facts of the project below root."""
+    if os.path.isdir(root):
+        check_links(root)
+    known = spark.createDataFrame([(f"func:{path}::{name}", event, payload) for path, name, event, payload in senders], "callee string, event_arg int, payload_arg int")
     files = settle(read_files(spark, root))
     top = files.where("path = 'go.mod'").select("path", F.col("content").cast("string").alias("content"))
     module = modules.module_paths(top).first()
     if module is None:
         raise ProjectInvalid(f"{root} has no go.mod with a module line")
     sources = source_files(files)
-    sources = sources.where(in_build(F.col("content").cast("string"), F.col("path"), goos, goarch))
-    raw = parse(sources)
+    raw = parse(sources, build.tags_of(goos, goarch, cgo, tags))
     symbols = settle(raw["symbols"].dropDuplicates(["id"]))
     mentions = settle(keyed(raw["mentions"]))
     returns = settle(narrowed(raw["returns"], raw["made"], raw["interfaces"], symbols))
@@ -279,7 +319,7 @@ def load(spark: SparkSession, root: str, goos: str = "linux", goarch: str = "amd
     annotations = annotations.withColumn("raw", S.strip(F.regexp_replace("raw", r"^\s*//+", ""))).withColumn("id", F.concat_ws(":", F.lit("annotation"), "handler_symbol", "method", "path", F.col("ordinal").cast("string")))
     relations = {
         **raw, "mentions": mentions, "returns": returns, "ends": ends, "handlers": handlers, "files": files, "symbols": symbols, "references": references, "route_groups": settle(groups), "flows": settle(flows), "routes": found, "middleware": settle(guarded), "annotations": settle(annotations),
-        "modules": modules.dependencies(top), "resolved": resolved,
+        "modules": modules.dependencies(top), "resolved": resolved, **event_rows(raw, references, symbols, known), "diagnostics": diagnosed(raw, found, mentions, resolved, module.module_path, known),
     }
     return FactBase(relations, module.module_path)
 
@@ -300,13 +340,13 @@ def flow_prefixes(raw: dict[str, DataFrame], groups: DataFrame) -> DataFrame:
     return inner.join(context, "id", "left").select("id", S.join_context_prefix(F.coalesce("_context", F.lit("")), F.col("full_prefix")).alias("full_prefix"))
 
 
-def closure_roots(groups: DataFrame, parameters: DataFrame, most: int = 64) -> DataFrame:
-    """id and root: the parameter's group that each group comes from."""
+def closure_roots(groups: DataFrame, parameters: DataFrame) -> DataFrame:
+    """id and root: the parameter's group that each group comes from; a ring of groups is followed once."""
     new = settle(parameters.select("id", F.col("id").alias("root")))
     done = new
-    for _ in range(most):
-        new = settle(groups.select("id", "parent_group_id").join(new.select(F.col("id").alias("parent_group_id"), "root"), "parent_group_id").select("id", "root"))
+    while True:
+        step = groups.select("id", "parent_group_id").join(new.select(F.col("id").alias("parent_group_id"), "root"), "parent_group_id").select("id", "root").distinct()
+        new = settle(step.join(done, ["id", "root"], "left_anti"))
         if new.isEmpty():
-            break
+            return done
         done = done.unionByName(new)
-    return done

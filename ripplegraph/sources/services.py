@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import contracts
+from ripplegraph.operators import contracts, dependency
 from ripplegraph.operators.budgets import AnalysisError
 from ripplegraph.sources.project import FactBase, concrete
 
@@ -66,6 +66,19 @@ def grpc_providers(fb: FactBase) -> tuple[DataFrame, DataFrame]:
     return found, bad
 
 
+def operations(fb: FactBase) -> DataFrame:
+    """operation_id, symbol and source (client or server) of all remote operations; those also called are a client's."""
+    client = client_calls(fb).select("operation_id", F.col("caller_symbol").alias("symbol")).distinct()
+    served = grpc_providers(fb)[0].select("operation_id", F.col("handler_symbol").alias("symbol")).distinct()
+    return dependency.merged_operations(client, served)
+
+
+def diagnostics(fb: FactBase) -> DataFrame:
+    """code, severity, message and file of registrations without a provider."""
+    bad = grpc_providers(fb)[1]
+    return bad.select("code", F.lit("warning").alias("severity"), F.concat_ws(":", "file", "symbol").alias("message"), "file").distinct()
+
+
 def dubbo_providers(fb: FactBase) -> DataFrame:
     """interface, method, version, handler_symbol and registration_symbol of configured providers.
 
