@@ -93,6 +93,8 @@ class FileFacts:
                     for name in f.names or [type_name(f.type)]:
                         if name:
                             self.type_row("fields", f.type, package_path=self.package, type_name=text_of(d.name), field=text_of(name))
+                    if not f.names:
+                        self.type_row("embeds", f.type, package_path=self.package, type_name=text_of(d.name))
             elif d.type.kind == "interface":
                 self.row("interfaces", id=d.symbol)
         elif d.kind in ("var", "const"):
@@ -102,12 +104,22 @@ class FileFacts:
                 value = d.values[i] if i < len(d.values) else d.values[0] if len(d.values) == 1 else None
                 if d.kind == "const" and value is not None:
                     self.row("consts", package_path=self.package, name=text_of(n.name), parts=self.path_parts(value))
+                self.elements(n.name, value)
                 scheme, endpoint = events.anchors(value)
                 if scheme or endpoint:
                     self.row("event_anchors", id=d.symbols[i], scheme=scheme, endpoint=endpoint)
                 for t in self.value_types(d.type, value):
                     self.row("values", package_path=self.package, var_name=text_of(n.name), **t)
 
+    def elements(self, name: str, value: Node | None) -> None:
+        """What the values of a map literal are, one by one; of some nothing is known."""
+        if value is None or value.kind != "composite" or value.type is None or value.type.kind != "map":
+            return
+        for i, e in enumerate(value.elements):
+            own = e.value if e.kind == "keyvalue" else e
+            types = self.value_types(value.type.x if own.kind == "composite" and own.type is None else None, own)
+            self.row("elements", package_path=self.package, var_name=text_of(name), ordinal=i, **(types[0] if types else {"type_package": None, "type_name_of": None, "maker": None}))
+
     def type_row(self, relation: str, t: Node, **fields) -> None:
         found = self.named(t)
         if found:
@@ -260,7 +272,7 @@ class FileFacts:
                 for a in fun.args:
                     self.mention_types(source, a)
                 fun = fun.x
-            self.mention(source, "call", fun, scope, whole=x)
+            self.mention(source, "call", fun, scope, whole=x, parts=indexed_parts(fun))
             if fun.kind == "selector":
                 self.mention(source, "receiver", fun, scope)
                 if any(c.kind == "call" for c in fun.x.walk()):
@@ -465,6 +477,16 @@ def own_nodes(x: Node) -> Iterable[Node]:
             yield from own_nodes(c)
 
 
+def indexed_parts(x: Node) -> list[str] | None:
+    """The names of a chain through an element, `m[k].F`, as m, [] and F; None for any other."""
+    names = []
+    while x.kind == "selector":
+        names.append(x.name)
+        x = x.x
+    base = selector_parts(x.x) if x.kind == "index" and names else None
+    return [*base, "[]", *reversed(names)] if base else None
+
+
 def task_map(t: Node) -> bool:
     """Whether a type is a map from names to task functions."""
     return t.kind == "map" and t.x.kind == "selector" and t.x.name in TASK_TYPES and t.x.x.kind == "ident" and t.x.x.name in TASK_PACKAGES

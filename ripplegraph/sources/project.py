@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import events, links, modules, routes
+from ripplegraph.operators import closure, events, links, modules, routes
 from ripplegraph.operators.budgets import BudgetExceeded, ProjectInvalid
 from ripplegraph.operators.lineage import settle
 from ripplegraph.sources import build
@@ -29,6 +29,8 @@ SCHEMAS = {
     "symbols": f"id string, kind string, package_path string, receiver string, name string, file string, {_SPAN}",
     "returns": f"id string, {_TYPE}",
     "fields": f"package_path string, type_name string, field string, {_TYPE}",
+    "embeds": f"package_path string, type_name string, {_TYPE}",
+    "elements": f"package_path string, var_name string, ordinal int, {_TYPE}",
     "values": f"package_path string, var_name string, {_TYPE}",
     "consts": f"package_path string, name string, parts {_PARTS}",
     "comments": f"handler_symbol string, ordinal int, raw string, file string, {_SPAN}",
@@ -126,12 +128,37 @@ def concrete(rows: DataFrame, returns: DataFrame, symbols: DataFrame) -> DataFra
     return out.withColumn("tpkg", tpkg).withColumn("tname", tname).drop("_rp", "_rn", "_is_type", "_inside", "maker", "type_package", "type_name_of").where("tname is not null")
 
 
+def embedded(embeds: DataFrame, returns: DataFrame, symbols: DataFrame) -> DataFrame | None:
+    """tpkg, tname, _epkg, _ename and _level: the types that a struct embeds, itself or through others; None if none does."""
+    key = lambda p, n: F.concat_ws("\n", p, n)
+    edges = settle(concrete(embeds, returns, symbols).select(key("package_path", "type_name").alias("node"), key("tpkg", "tname").alias("next")))
+    if edges.isEmpty():
+        return None
+    found = closure.reach(edges, edges.select(F.col("node").alias("root_id"), "node")).where("level > 0")
+    part = lambda c, i: F.get(F.split(c, "\n"), F.lit(i))
+    return found.select(part("root_id", 0).alias("tpkg"), part("root_id", 1).alias("tname"), part("node", 0).alias("_epkg"), part("node", 1).alias("_ename"), F.col("level").alias("_level"))
+
+
+def with_promoted(members: DataFrame, inner: DataFrame | None, name: str) -> DataFrame:
+    """members(tpkg, tname, name, …) with those of embedded types: the shallowest counts, and none if two are as shallow."""
+    if inner is None:
+        return members
+    rest = [c for c in members.columns if c not in ("tpkg", "tname")]
+    lifted = inner.join(members.withColumnsRenamed({"tpkg": "_epkg", "tname": "_ename"}), ["_epkg", "_ename"]).select("tpkg", "tname", *rest, "_level")
+    each = members.withColumn("_level", F.lit(0)).unionByName(lifted)
+    w = Window.partitionBy("tpkg", "tname", name)
+    least = each.withColumn("_least", F.min("_level").over(w)).where("_level = _least")
+    return least.withColumn("_n", F.count("*").over(w)).where("_n = 1 or _level = 0").select(*members.columns)
+
+
 def ends_of(chains: DataFrame, fields: DataFrame) -> DataFrame:
     """key, tpkg, tname and method: chains(key, tpkg, tname, rest) followed field by field to the last name.
 
+    fields: tpkg, tname, field, and the type (_p, _t) that it leads to.
+
     Each round takes a name off a chain, so there are as many as the longest chain has names.
     """
-    hops = settle(fields.select(F.col("package_path").alias("tpkg"), F.col("type_name").alias("tname"), F.col("field"), F.col("tpkg").alias("_p"), F.col("tname").alias("_t")))
+    hops = settle(fields)
     found, now = None, chains
     while True:
         last = now.where(F.size("rest") == 1).select("key", "tpkg", "tname", F.get("rest", F.lit(0)).alias("method"))
@@ -143,9 +170,10 @@ def ends_of(chains: DataFrame, fields: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def methods_of(ends: DataFrame, symbols: DataFrame) -> DataFrame:
-    """key and symbol of the ends that are methods of project types."""
+def methods_of(ends: DataFrame, symbols: DataFrame, inner: DataFrame | None) -> DataFrame:
+    """key and symbol of the ends that are methods of project types, their own or of what they embed."""
     own = symbols.where("kind = 'method'").select(F.col("id").alias("symbol"), F.col("package_path").alias("tpkg"), F.col("receiver").alias("tname"), F.col("name").alias("method"))
+    own = with_promoted(own, inner, "method")
     return ends.join(own, ["tpkg", "tname", "method"]).select("key", "symbol").distinct()
 
 
@@ -153,8 +181,18 @@ def keyed(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("key", F.concat_ws("#", "file", F.col("n").cast("string")))
 
 
-def chain_ends(m: DataFrame, symbols: DataFrame, values: DataFrame, fields: DataFrame, returns: DataFrame) -> DataFrame:
-    """Of mentions that start at a value of a known type, the type and the method at the end."""
+def dispatched(elements: DataFrame, returns: DataFrame, symbols: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """vpkg, vname, tpkg and tname: the types of the values of map variables of which each value's concrete type is known."""
+    abstract = interfaces.select(F.col("id").alias("_type"))
+    found = concrete(elements, returns, symbols).withColumn("_type", F.concat(F.lit("type:"), "tpkg", F.lit("::"), "tname")).join(abstract, "_type", "left_anti")
+    known = found.groupBy("package_path", "var_name").agg(F.count_distinct("ordinal").alias("_known"), F.collect_set(F.struct("tpkg", "tname")).alias("t"))
+    every = elements.groupBy("package_path", "var_name").agg(F.count_distinct("ordinal").alias("_n"))
+    whole = known.join(every, ["package_path", "var_name"]).where("_known = _n")
+    return whole.select(F.col("package_path").alias("vpkg"), F.col("var_name").alias("vname"), F.explode("t").alias("t")).select("vpkg", "vname", "t.*")
+
+
+def chain_ends(m: DataFrame, symbols: DataFrame, values: DataFrame, fields: DataFrame, returns: DataFrame, elements: DataFrame, interfaces: DataFrame, inner: DataFrame | None) -> DataFrame:
+    """Of mentions that start at a value of a known type, or at a map's element, the type and the method at the end."""
     part = lambda i: F.get("parts", F.lit(i))
     size, local, imported, own, role = F.size("parts"), F.col("is_local"), F.col("imported"), F.col("package_path"), F.col("role")
     scoped = m.where(role.isin("call", "handler", "middleware") & local & imported.isNull() & (size >= 2)).select("key", F.slice("parts", 2, 1000).alias("rest"), F.explode("types").alias("t")).select("key", "rest", "t.*")
@@ -164,10 +202,15 @@ def chain_ends(m: DataFrame, symbols: DataFrame, values: DataFrame, fields: Data
     near = through.where(imported.isNull() & ~local & ((role != "value") | (size == 2))).select("key", own.alias("vpkg"), part(0).alias("vname"), F.slice("parts", 2, 1000).alias("rest"))
     away = through.where(imported.isNotNull() & (size >= 3)).select("key", imported.alias("vpkg"), part(1).alias("vname"), F.slice("parts", 3, 1000).alias("rest"))
     chains = chains.unionByName(near.unionByName(away).join(v, ["vpkg", "vname"]).select("key", "tpkg", "tname", "rest"))
-    return settle(ends_of(chains, concrete(fields, returns, symbols)))
+    element = m.where((role == "call") & ~local & F.array_contains("parts", "[]"))
+    near = element.where(imported.isNull() & (part(1) == "[]")).select("key", own.alias("vpkg"), part(0).alias("vname"), F.slice("parts", 3, 1000).alias("rest"))
+    away = element.where(imported.isNotNull() & (part(2) == "[]")).select("key", imported.alias("vpkg"), part(1).alias("vname"), F.slice("parts", 4, 1000).alias("rest"))
+    chains = chains.unionByName(near.unionByName(away).join(dispatched(elements, returns, symbols, interfaces), ["vpkg", "vname"]).select("key", "tpkg", "tname", "rest"))
+    hops = concrete(fields, returns, symbols).select(F.col("package_path").alias("tpkg"), F.col("type_name").alias("tname"), "field", F.col("tpkg").alias("_p"), F.col("tname").alias("_t"))
+    return settle(ends_of(chains, with_promoted(hops, inner, "field")))
 
 
-def resolve(mentions: DataFrame, symbols: DataFrame, ends: DataFrame) -> DataFrame:
+def resolve(mentions: DataFrame, symbols: DataFrame, ends: DataFrame, inner: DataFrame | None) -> DataFrame:
     """Mentions (with keys) and the symbols they mean: a row for each, with `prio` of how it was found (0 type,
     1 function, 2 variable or constant, 3 method). Of calls and handlers only what comes first stays.
     """
@@ -189,7 +232,7 @@ def resolve(mentions: DataFrame, symbols: DataFrame, ends: DataFrame) -> DataFra
     ways += [guess((role == "value") & (size == 2) & imported.isNull() & ~local, plain("var", own, part(0)), 2), guess((role == "receiver") & (size == 2), plain("var", own, part(0)), 2)]
     named = m.select("key", F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("w")).select("key", "w.symbol", "w.prio")
     named = named.join(symbols.select(F.col("id").alias("symbol")), "symbol").select("key", "symbol", "prio")
-    methods = methods_of(ends, symbols).withColumn("prio", F.lit(3))
+    methods = methods_of(ends, symbols, inner).withColumn("prio", F.lit(3))
     found = settle(named.unionByName(methods).distinct())
     best = found.groupBy("key").agg(F.min("prio").alias("_best"))
     rows = m.join(found, "key").join(best, "key")
@@ -301,8 +344,9 @@ def load(spark: SparkSession, root: str, goos: str = "linux", goarch: str = "amd
     symbols = settle(raw["symbols"].dropDuplicates(["id"]))
     mentions = settle(keyed(raw["mentions"]))
     returns = settle(narrowed(raw["returns"], raw["made"], raw["interfaces"], symbols))
-    ends = chain_ends(mentions, symbols, raw["values"], raw["fields"], returns)
-    resolved = settle(resolve(mentions, symbols, ends))
+    inner = embedded(raw["embeds"], returns, symbols)
+    ends = chain_ends(mentions, symbols, raw["values"], raw["fields"], returns, raw["elements"], raw["interfaces"], inner)
+    resolved = settle(resolve(mentions, symbols, ends, inner))
     references = settle(reference_rows(resolved))
     own = resolved.where("owner is not null").select("owner", "role", "symbol", "n")
     handlers = own.where("role = 'handler'").groupBy("owner").agg(F.min("symbol").alias("handler_symbol"))

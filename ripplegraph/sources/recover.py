@@ -81,8 +81,9 @@ def deleted_routes(spark: SparkSession, fb: project.FactBase, blocks: DataFrame,
         F.lit(False).alias("is_local"), F.array().cast("array<struct<type_package: string, type_name_of: string, maker: string>>").alias("types"),
     )
     mentions = settle(project.keyed(mentions))
-    ends = project.chain_ends(mentions, fb.symbols, fb.relations["values"], fb.relations["fields"], fb.returns)
-    resolved = project.resolve(mentions, fb.symbols, ends)
+    inner = project.embedded(fb.embeds, fb.returns, fb.symbols)
+    ends = project.chain_ends(mentions, fb.symbols, fb.relations["values"], fb.relations["fields"], fb.returns, fb.elements, fb.interfaces, inner)
+    resolved = project.resolve(mentions, fb.symbols, ends, inner)
     handlers = resolved.groupBy(F.col("owner").alias("id")).agg(F.min("symbol").alias("handler_symbol"))
     full = routes.resolved_paths(rows.drop("handler", "package_path"), routes.group_prefixes(fb.route_groups.select("id", "parent_group_id", "prefix")))
     return settle(full.withColumn("resolved_path", S.collapse_slashes(F.col("resolved_path"))).join(handlers, "id", "left").withColumn("recovered", F.lit(True)))

@@ -80,6 +80,64 @@ FILES = {
 
         func Unknown(pick func() string) { wire.Topic(pick(), 1) }
         """,
+    "shape/shape.go": """
+        package shape
+
+        type Runner interface{ Run() int }
+
+        type Base struct{ Inner *Core }
+
+        type Core struct{}
+
+        func (c *Core) Deep() int { return 1 }
+
+        func (b *Base) Run() int { return 2 }
+
+        func (b *Base) Name() string { return "b" }
+
+        type First struct {
+        \tBase
+        \tx int
+        }
+
+        func (f First) Name() string { return "f" }
+
+        type Second struct{ *First }
+
+        type Other struct{}
+
+        func (o Other) Run() int { return 3 }
+
+        func NewOther() *Other { return &Other{} }
+
+        var Runners = map[string]Runner{"first": First{}, "other": NewOther()}
+
+        var Opaque = map[string]Runner{"first": First{}, "any": pick()}
+
+        func pick() Runner { return nil }
+
+        var second = Second{}
+        """,
+    "shape/use.go": """
+        package shape
+
+        func Embedded() int { return second.Run() }
+
+        func Shadowed() string { return second.Name() }
+
+        func Through() int { return second.Inner.Deep() }
+
+        func Dispatch(k string) int { return Runners[k].Run() }
+
+        func Undecided(k string) int { return Opaque[k].Run() }
+        """,
+    "far/far.go": """
+        package far
+
+        import "talk.test/app/shape"
+
+        func Away(k string) int { return shape.Runners[k].Run() }
+        """,
     "only_windows.go": "package app\n\nfunc Windows() {}\n",
     "tagged.go": "//go:build (extra && !old) || plan9\n\npackage app\n\nfunc Tagged() {}\n",
     "older.go": "// +build extra,!old plan9\n\npackage app\n\nfunc Older() {}\n",
@@ -176,6 +234,14 @@ def test_links_out_of_the_project_are_refused(tmp_path):
         project.check_links(str(tmp_path / "in"))
 
 
+def test_embedded_methods_and_map_dispatch(base):
+    calls = {}
+    for r in base.references.where("kind = 'call'").collect():
+        calls.setdefault(r.from_symbol.split("::")[-1], set()).add(r.to_symbol.split("shape")[-1])
+    assert calls["Embedded"] == {":Base:Run"} and calls["Shadowed"] == {":First:Name"} and calls["Through"] == {":Core:Deep"}
+    assert calls["Dispatch"] == calls["Away"] == {":Base:Run", ":Other:Run"} and "Undecided" not in calls
+
+
 def test_diagnostics_of_names(base):
     codes = {(d.code, d.file) for d in base.diagnostics.collect()}
     assert not any(c == "package_load_failed" for c, _ in codes)
