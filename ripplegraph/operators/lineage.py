@@ -30,7 +30,7 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     top = shared_folder(spark)
     path = f"{_SCOPE.get() or top}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
