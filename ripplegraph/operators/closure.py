@@ -13,28 +13,36 @@ def reach(edges: DataFrame, roots: DataFrame, limits: Limits | None = None) -> D
     """root_id, node and level (the least distance) of all nodes that each root reaches, itself at 0.
 
     edges: node, next. roots: root_id, node. Semi-naive: only a level's new pairs are joined on, and pairs seen
-    before are dropped by an anti join, so cycles end. Each level is written once. Ceilings on depth and nodes hold
-    where limits are given, as for one analysis; without, the walk ends when nothing is new.
+    before are dropped by an anti join, so cycles end. Each level is written once. Nodes that lead nowhere, most of
+    them in a graph of facts, stay out of the levels and are joined to what was reached at the end. Ceilings on depth
+    and nodes hold where limits are given, as for one analysis; without, the walk ends when nothing is new.
     """
     limits = limits and limits.normalised()
     edges = settle(edges.select("node", "next").where("node is not null and next is not null").distinct())
+    leading = edges.select(F.col("node").alias("next")).distinct()
+    inner = settle(edges.join(leading, "next", "left_semi"))
     new = settle(roots.select("root_id", "node").distinct().withColumn("level", F.lit(0)))
     seen, level, total = new, 0, 0
     while found := new.count():
         if limits:
             total += found
             check("total nodes", total, limits.total_nodes)
-            if total > limits.nodes_per_root:
-                check("nodes per root", seen.groupBy("root_id").count().agg(F.max("count")).first()[0], limits.nodes_per_root)
             if level == limits.depth:
                 if not new.join(edges, "node").isEmpty():
                     raise BudgetExceeded("depth", level + 1, limits.depth)
-                return seen
+                break
         level += 1
-        step = new.join(edges, "node").select("root_id", F.col("next").alias("node")).distinct()
+        step = new.join(inner, "node").select("root_id", F.col("next").alias("node")).distinct()
         new = settle(step.join(seen, ["root_id", "node"], "left_anti").withColumn("level", F.lit(level)))
         seen = seen.unionByName(new)
-    return seen
+    ends = edges.join(leading, "next", "left_anti")
+    last = seen.join(ends, "node").select("root_id", F.col("next").alias("node"), (F.col("level") + 1).alias("level"))
+    out = seen.unionByName(last).groupBy("root_id", "node").agg(F.min("level").alias("level"))
+    if limits:
+        out = settle(out)
+        check("total nodes", out.count(), limits.total_nodes)
+        check("nodes per root", out.groupBy("root_id").count().agg(F.max("count")).first()[0], limits.nodes_per_root)
+    return out
 
 
 def closure(edges: DataFrame, limits: Limits | None = None) -> DataFrame:
