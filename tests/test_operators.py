@@ -57,6 +57,17 @@ def test_budgets_are_typed(spark):
         budgets.check_diff("x" * 100, budgets.Limits(line_bytes=10))
 
 
+def test_queries_over_a_fleet_have_no_ceiling(spark):
+    """More pairs than one analysis may have: each of 1,100 roots leads to a ring of three, and that to 1,000 ends."""
+    edges = spark.range(1100).selectExpr("concat('r', id) as node", "'a' as next").union(spark.sql("select * from values ('a', 'b'), ('b', 'c'), ('c', 'a') t(node, next)"))
+    edges = edges.union(spark.range(1000).selectExpr("'c' as node", "concat('e', id) as next"))
+    starts = spark.range(1100).selectExpr("concat('r', id) as root_id", "concat('r', id) as node")
+    levels = {r.level: r.n for r in closure.reach(edges, starts).groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert levels == {0: 1100, 1: 1100, 2: 1100, 3: 1100, 4: 1_100_000}
+    with pytest.raises(budgets.BudgetExceeded):
+        closure.reach(edges, starts, budgets.Limits())
+
+
 def test_reach_is_brute_force_on_random_graphs(spark):
     rng = random.Random(1)
     edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(45)}
