@@ -8,7 +8,7 @@ import os
 import sys
 import time
 
-from ripplegraph.operators.budgets import AnalysisError, InvalidInput
+from ripplegraph.operators.budgets import AnalysisError, InvalidInput, Limits, stage_times, within
 
 CONFIG = ".ripplegraph.json"
 
@@ -54,16 +54,18 @@ def run(args: argparse.Namespace) -> dict:
     root = absolute(args.project, "--project")
     spark = local_session()
     build = {"goos": args.goos, "goarch": args.goarch, "cgo": args.cgo, "tags": tuple(filter(None, args.tags.split(",")))}
+    load = lambda: within(spark, Limits().load_seconds, "load", lambda: project.load(spark, root, **build))
     if args.command == "facts":
-        return documents.facts_document(project.load(spark, root, **build))
+        fb = load()
+        return within(spark, Limits().walk_seconds, "facts", lambda: documents.facts_document(fb))
     if args.command == "endpoint-assets":
-        fb = project.load(spark, root, **build)
+        fb = load()
         return documents.endpoint_assets(spark, fb, args.endpoint, services.client_calls(fb, strict=True))
     path = absolute(args.diff, "--diff")
     if path is None:
         if not args.grpc:
             raise InvalidInput("impact needs --diff or --grpc")
-        fb = project.load(spark, root, **build)
+        fb = load()
         return {"summary": {"impactedEndpointCount": 0, "impactedEndpoints": [], "impactedIMCount": 0, "impactedIMEvents": []}, "fileSources": [], "grpcSources": documents.operation_sources(spark, fb, args.grpc), "endpointSourcesSummary": []}
     config = documents.Config.read(absolute(args.impact_config, "--impact-config") or os.path.join(root, CONFIG))
     with open(path, encoding="utf-8", newline="") as f:
@@ -76,7 +78,8 @@ def run(args: argparse.Namespace) -> dict:
 def main(argv: list[str] | None = None) -> int:
     args, began = arguments(argv), time.perf_counter()
     try:
-        out = run(args)
+        with stage_times() as stages:
+            out = run(args)
     except AnalysisError as e:
         error = {"error": {"code": e.code, "message": str(e)}}
         if path := getattr(args, "diagnostics_output", None):
@@ -87,7 +90,8 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     print(json.dumps(out, indent=2, ensure_ascii=False))
     if getattr(args, "timings", False):
-        print(f"{args.command} {time.perf_counter() - began:.3f} s", file=sys.stderr)
+        for stage, seconds in [*stages, (args.command, time.perf_counter() - began)]:
+            print(f"{stage} {seconds:.3f} s", file=sys.stderr)
     return 0
 
 

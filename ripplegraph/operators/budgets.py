@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, fields, replace
 from typing import TypeVar
 
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
+_TIMES: ContextVar[list[tuple[str, float]] | None] = ContextVar("times", default=None)
 
 
 class AnalysisError(Exception):
@@ -106,9 +110,19 @@ def check_walk(visited: DataFrame, limits: Limits, root: str = "root_id") -> Non
     check("total nodes", total, limits.total_nodes)
 
 
+@contextmanager
+def stage_times() -> Iterator[list[tuple[str, float]]]:
+    """The stages that run inside, in order, and their seconds; those that fail as well."""
+    token = _TIMES.set(out := [])
+    try:
+        yield out
+    finally:
+        _TIMES.reset(token)
+
+
 def within(spark: SparkSession, seconds: float, stage: str, work: Callable[[], T]) -> T:
-    """work(), its Spark jobs cancelled and StageTimeout raised when it takes longer."""
-    late = threading.Event()
+    """work(), its Spark jobs cancelled and StageTimeout raised when it takes longer; Cancelled if others cancel them."""
+    late, began = threading.Event(), time.perf_counter()
     spark.addTag(tag := f"stage-{stage}-{id(work)}")
 
     def stop() -> None:
@@ -122,7 +136,11 @@ def within(spark: SparkSession, seconds: float, stage: str, work: Callable[[], T
     except Exception as e:
         if late.is_set():
             raise StageTimeout(f"{stage} took more than {seconds} s") from e
+        if "cancelled" in str(e) and not isinstance(e, AnalysisError):
+            raise Cancelled(f"{stage} was cancelled") from e
         raise
     finally:
         timer.cancel()
+        if (times := _TIMES.get()) is not None:
+            times.append((stage, round(time.perf_counter() - began, 3)))
         spark.removeTag(tag)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import threading
 
 import pytest
 from hypothesis import given, settings
@@ -57,6 +58,19 @@ def test_budgets_are_typed(spark):
         budgets.check_diff("x" * 100, budgets.Limits(line_bytes=10))
 
 
+def test_stages_are_timed_and_cancelled(spark):
+    def slow():
+        return spark.range(1 << 42).selectExpr("sum(hash(id))").first()
+
+    with budgets.stage_times() as times:
+        assert budgets.within(spark, 60, "one", lambda: spark.range(3).count()) == 3
+        stopper = threading.Timer(3, spark.interruptAll)
+        stopper.start()
+        with pytest.raises(budgets.Cancelled):
+            budgets.within(spark, 60, "two", slow)
+    assert [s for s, _ in times] == ["one", "two"] and all(t >= 0 for _, t in times)
+
+
 def test_queries_over_a_fleet_have_no_ceiling(spark):
     """More pairs than one analysis may have: each of 1,100 roots leads to a ring of three, and that to 1,000 ends."""
     edges = spark.range(1100).selectExpr("concat('r', id) as node", "'a' as next").union(spark.sql("select * from values ('a', 'b'), ('b', 'c'), ('c', 'a') t(node, next)"))
