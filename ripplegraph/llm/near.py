@@ -1,13 +1,17 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts of equal shingle sets are one set before the search. A set's MinHash signature is cut into bands; sets
-that agree in a band are candidates. A pair at a similarity of exactly 0.8 agrees in none of the 30 bands of 5
-with a probability of (1 - 0.8^5)^30, about 7 in a million; pairs above are missed less often still. Every
-candidate is checked by its complete sets, in the task that holds its band: neighbours first, and then each
-set outside the band's largest component against all of the band, so no pair of different components stays
-unchecked and a tight band costs little. Bands of the same members are searched once.
-
-A hot band of many texts below 0.8 of each other is compared in pairs inside its task; only links come out.
+Texts of equal shingle sets are one set before the search. Candidates are the sets of a SimHash component
+(simhash.near_duplicates() over five-word shingles) and, because pairs at 0.8 differ in ten of 64 bits on
+average, far beyond what a search of Hamming balls can list, the sets that agree in a band of a MinHash
+signature. A pair at a similarity of exactly 0.8 agrees in none of the 30 bands of 5 with a probability of
+(1 - 0.8^5)^30, about 7 in a million; pairs above are missed less often still. Component and bands are both
+called groups here; groups of the same members are searched once.
+
+Every candidate is checked by its complete sets. A group is dealt into blocks of bounded size, differently for
+each group, and within a block neighbours are compared first and then each set outside the block's largest
+component against all of the block. Across blocks, each set outside the group's largest component so far is
+compared with the other blocks' sets. So no pair of different components stays unchecked, a tight group costs
+little, and a group of any size needs a block's memory in a task; only links come out.
 
 Defined results: null, empty and blank texts have the empty set and are one group. A text of fewer than five
 words is one shingle. Case of A-Z doesn't count.
@@ -24,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.base import by_batch, settle, small_batches
-from ripplegraph.llm.simhash import components
+from ripplegraph.llm.simhash import components, near_duplicates
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
+#: Sets and shingles of one block, on average; a larger set is alone with few others.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
 #: Shingles that are hashed at a time, so that a very long text needs no more memory.
 STEP = 1 << 13
 _random = np.random.default_rng(42)
@@ -62,10 +68,26 @@ def alike(common: np.ndarray | int, a: np.ndarray | int, b: int) -> np.ndarray |
     return 9 * common >= 4 * (a + b)
 
 
+def similar(sets: list[np.ndarray], asked: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """For each place asked for, the places of all sets similar to its own, itself included."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    owner = np.repeat(np.arange(n), size)[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(number))])
+    first = np.concatenate([[0], np.cumsum(size)])
+    for i in asked:
+        common = np.zeros(n, np.int64)
+        own = number[first[i] : first[i + 1]]
+        for k in range(0, len(own), 256):
+            common += np.bincount(np.concatenate([owner[starts[t] : starts[t + 1]] for t in own[k : k + 256]]), minlength=n)
+        yield i, np.flatnonzero(alike(common, size, size[i])).tolist()
+
+
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of places of similar sets that connect all sets which similar ones connect."""
     n = len(sets)
-    size, up, out = np.array([len(s) for s in sets]), list(range(n)), []
+    up, out = list(range(n)), []
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -80,48 +102,96 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             out.append((i, j))
 
     for i in range(1, n):
-        if alike(len(np.intersect1d(sets[i], sets[i - 1], assume_unique=True)), size[i], size[i - 1]):
+        if alike(len(np.intersect1d(sets[i], sets[i - 1], assume_unique=True)), len(sets[i]), len(sets[i - 1])):
             join(i, i - 1)
-    if n == 2:
-        return out
     roots = [root(i) for i in range(n)]
     main = int(np.bincount(roots).argmax())
     rest = [i for i in range(n) if roots[i] != main]
-    if not rest:
-        return out
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    owner = np.repeat(np.arange(n), size)[order]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(number))])
-    first = np.concatenate([[0], np.cumsum(size)])
-    for i in rest:
-        common = np.zeros(n, np.int64)
-        own = number[first[i] : first[i + 1]]
-        for k in range(0, len(own), 256):
-            common += np.bincount(np.concatenate([owner[starts[t] : starts[t + 1]] for t in own[k : k + 256]]), minlength=n)
-        for j in np.flatnonzero(alike(common, size, size[i])).tolist():
-            join(i, j)
+    if n > 2 and rest:
+        for i, found in similar(sets, rest):
+            for j in found:
+                join(i, j)
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, id, text by key: the links a < b of each key."""
-    last, ids, sets = None, [], []
+def crossed(asked: list[np.ndarray], held: list[np.ndarray], asked_roots: list[int], held_roots: list[int]) -> list[tuple[int, int]]:
+    """Places of an asked and a held set that are similar and of different roots, one pair for each two roots."""
+    n, out = len(asked), {}
+    for i, found in similar(asked + held, list(range(n))):
+        for j in found:
+            if j >= n and asked_roots[i] != held_roots[j - n]:
+                out.setdefault((asked_roots[i], held_roots[j - n]), (i, j - n))
+    return list(out.values())
+
+
+def _table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = [sorted(p) for p in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def done() -> pa.RecordBatch:
-        pairs = [sorted((ids[i], ids[j])) for i, j in linked(sets)]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each run of equal first columns: what follows the keys, the last (a text) as its set."""
+    last, rows = None, []
     for batch in batches:
-        for key, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-            if key != last:
-                if ids:
-                    yield done()
-                last, ids, sets = key, [], []
-            ids.append(i)
-            sets.append(shingles(text or b""))
-    if ids:
-        yield done()
+        columns = [c.to_pylist() for c in batch.columns[:-1]]
+        for *values, text in zip(*columns, batch.columns[-1].cast(pa.binary()).to_pylist()):
+            if values[:keys] != last:
+                if rows:
+                    yield rows
+                last, rows = values[:keys], []
+            rows.append((*values[keys:], shingles(text or b"")))
+    if rows:
+        yield rows
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, block, id, text by key and block: the links a < b inside each block."""
+    for rows in _blocks(batches, 2):
+        yield _table([(rows[i][0], rows[j][0]) for i, j in linked([r[-1] for r in rows])])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, block, other, held, id, root, text by the first three: links between sets asked for and held ones."""
+    for rows in _blocks(batches, 3):
+        asked, held = ([r for r in rows if r[0] == side] for side in (False, True))
+        if asked and held:
+            found = crossed([r[-1] for r in asked], [r[-1] for r in held], [r[2] for r in asked], [r[2] for r in held])
+            yield _table([(asked[i][1], held[j][1]) for i, j in found])
+
+
+def searched(texts: DataFrame, groups: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """node and root of all sets in reach of each other; texts: id, text; groups: id, key, size (of the set)."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+    # A group of the same members as another has the same links.
+    different = sizes.where("n > 1").groupBy("n", "shingles", "x", "y").agg(F.min("key").alias("key"))
+    blocks = F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("shingles") / block_shingles)).cast("int")
+    members = groups.select("id", "key").join(different.select("key", blocks.alias("blocks")), "key")
+    members = settle(members.select("id", "key", "blocks", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int").alias("block")))
+    of_id = members.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("places"))
+    dealt = texts.join(of_id, "id").select(F.explode("places").alias("p"), "id", "text").select("p.key", "p.block", "id", "text")
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "id")
+    links = settle(small_batches(dealt).mapInArrow(_within, "a bigint, b bigint").distinct())
+    roots = settle(components(links))
+
+    split = members.where("blocks > 1").join(roots, F.col("id") == F.col("node"), "left").select("key", "block", "id", F.coalesce("root", "id").alias("root"))
+    counted = split.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = counted.groupBy("key").agg(F.max(F.struct("n", "root")).root.alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    split = settle(split.join(main, "key"))
+    asking = split.where("root <> main").groupBy("key", F.col("block").alias("from")).agg(F.count("*").alias("_"))
+    if asking.isEmpty():
+        return roots
+    # Each block's sets outside the main component go to the key's other blocks, whose sets are held there.
+    others = split.select("key", "block").distinct()
+    places = asking.select("key", "from").join(others.withColumnRenamed("block", "to"), "key").where("from <> to")
+    columns = ["key", "from", "to", "held", "id", "root"]
+    asked = split.where("root <> main").withColumnRenamed("block", "from").join(places, ["key", "from"]).withColumn("held", F.lit(False)).select(columns)
+    held = split.withColumnRenamed("block", "to").join(places, ["key", "to"]).withColumn("held", F.lit(True)).select(columns)
+    of_id = asked.unionByName(held).groupBy("id", "root").agg(F.collect_list(F.struct("key", "from", "to", "held")).alias("places"))
+    dealt = texts.join(of_id, "id").select(F.explode("places").alias("p"), "id", "root", "text").select("p.*", "id", "root", "text")
+    dealt = dealt.repartition("key", "from", "to").sortWithinPartitions("key", "from", "to", "held", "id")
+    more = small_batches(dealt).mapInArrow(_across, "a bigint, b bigint").distinct()
+    stars = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return settle(components(stars.unionByName(more)))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,20 +203,18 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [shingles(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
         digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary())
+        sizes = pa.array([len(s) for s in own], pa.int64())
         found = pa.array([bands(s) for s in own], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns, digests, found], [*batch.schema.names, "_set", "_bands"])
+        return pa.RecordBatch.from_arrays([*batch.columns, digests, sizes, found], [*batch.schema.names, "_set", "_size", "_bands"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = settle(by_batch(docs, work, f"{kinds}, _set binary, _bands array<bigint>").withColumn("_row", F.monotonically_increasing_id()))
-    sets = settle(rows.groupBy("_set").agg(F.min("_row").alias("_id")))
-    keyed = settle(rows.select("_row", "_bands").join(sets, F.col("_row") == F.col("_id"), "left_semi").select(F.col("_row").alias("id"), F.explode("_bands").alias("key")))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
-    # A band of the same members as another has the same links.
-    searched = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = keyed.join(searched, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    texts = rows.select("_row", "text").join(members, F.col("_row") == F.col("id"))
-    dealt = texts.select(F.explode("keys").alias("key"), "id", "text").repartition("key").sortWithinPartitions("key", "id")
-    links = small_batches(dealt).mapInArrow(_links, "a bigint, b bigint").distinct()
-    roots = settle(components(links))
+    rows = settle(by_batch(docs, work, f"{kinds}, _set binary, _size bigint, _bands array<bigint>").withColumn("_row", F.monotonically_increasing_id()))
+    sets = settle(rows.groupBy("_set").agg(F.min("_row").alias("_id"), F.max("_size").alias("size")))
+    close = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=SHINGLE)
+    component = F.array(F.xxhash64("component_id", F.lit("component")))
+    keys = rows.select(F.col("_row").alias("id"), F.col("_bands").alias("keys")).unionByName(close.select(F.col("doc_id").alias("id"), component.alias("keys")))
+    own = sets.where("size > 0").select(F.col("_id").alias("id"), "size")  # texts without words are one set already
+    groups = settle(keys.join(own, "id").select("id", "size", F.explode("keys").alias("key")))
+    roots = searched(rows.select(F.col("_row").alias("id"), "text"), groups)
     of_set = sets.join(roots, sets._id == roots.node, "left").select("_set", F.coalesce("root", "_id").alias("_root"))
-    return rows.drop("_set", "_bands"), rows.select("_row", "_set").join(of_set, "_set").select("_row", "_root")
+    return rows.drop("_set", "_size", "_bands"), rows.select("_row", "_set").join(of_set, "_set").select("_row", "_root")

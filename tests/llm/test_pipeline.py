@@ -95,6 +95,28 @@ def test_a_band_of_chains_is_linked_as_by_brute_force():
         assert own(near.linked(sets)) == own(pairs)
 
 
+@pytest.mark.parametrize("block_sets, block_shingles", [(1024, 1 << 21), (4, 1 << 21), (1024, 60)])
+def test_groups_cut_into_blocks_are_linked_as_by_brute_force(spark, block_sets, block_shingles):
+    from ripplegraph.llm import near
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):  # chains along a long text: neighbours alike, ends not
+        at = rng.choice((0, 100, 200)) + rng.randint(0, 12)
+        texts.append(" ".join(words[at : at + 44]))
+    texts += [" ".join(words[k : k + 44]) for k in (300, 303, 306, 340)]
+    texts = list(dict.fromkeys(texts))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    keys = [(i, key, 40) for i in range(len(texts)) for key in (7, 8 + i % 2)]  # one group of all, and two
+    roots = near.searched(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(keys, "id long, key long, size long"), block_sets, block_shingles)
+    found = {r.node: r.root for r in roots.collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    want = {frozenset(g) for g in groups(len(texts), pairs)}
+    assert {frozenset(j for j in range(len(texts)) if found.get(j, j) == r) for r in {found.get(i, i) for i in range(len(texts))}} == want
+    assert 1 < len(want) < len(texts)
+
+
 def groups(n, pairs):
     of = [{i} for i in range(n)]
     for i, j in pairs:
