@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -27,11 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df once and read it back; the files go with the enclosing scratch(), or when the application ends."""
+    return _written(df, _SCOPE.get() or shared_folder(df.sparkSession))
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
     spark = df.sparkSession
-    top = shared_folder(spark)
-    path = f"{_SCOPE.get() or top}/{uuid.uuid4().hex}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,12 +45,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is settled inside goes at the end; a result must have been written elsewhere by then."""
-    path = f"{_SCOPE.get() or shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is settled inside goes at the end; a result must have been written elsewhere by then, or settled outside by what this yields."""
+    outside = _SCOPE.get() or shared_folder(spark)
+    path = f"{outside}/scope-{uuid.uuid4().hex}"
     token = _SCOPE.set(path)
     try:
-        yield
+        yield lambda df: _written(df, outside)
     finally:
         _SCOPE.reset(token)
         remove(spark, path)
