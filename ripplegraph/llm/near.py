@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.base import by_batch, settle, small_batches
 from ripplegraph.llm.simhash import components, near_duplicates
+from ripplegraph.operators.lineage import scratch
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
 #: Sets and shingles of one block, on average; a larger set is alone with few others.
@@ -161,18 +162,21 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def searched(texts: DataFrame, groups: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """node and root of all sets in reach of each other; texts: id, text; groups: id, key, size (of the set)."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(id))").alias("x"))
     # A group of the same members as another has the same links.
-    different = sizes.where("n > 1").groupBy("n", "shingles", "x", "y").agg(F.min("key").alias("key"))
+    different = sizes.where("n > 1").groupBy("n", "shingles", "x").agg(F.min("key").alias("key"))
     blocks = F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    members = groups.select("id", "key").join(different.select("key", blocks.alias("blocks")), "key")
-    members = settle(members.select("id", "key", "blocks", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int").alias("block")))
+    different = settle(different.select("key", blocks.alias("blocks")))
+    place = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int").alias("block")
+    members = groups.select("id", "key").join(different, "key").select("id", "key", "blocks", place)
     of_id = members.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("places"))
     dealt = texts.join(of_id, "id").select(F.explode("places").alias("p"), "id", "text").select("p.key", "p.block", "id", "text")
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "id")
     links = settle(small_batches(dealt).mapInArrow(_within, "a bigint, b bigint").distinct())
     roots = settle(components(links))
 
+    if different.where("blocks > 1").isEmpty():
+        return roots
     split = members.where("blocks > 1").join(roots, F.col("id") == F.col("node"), "left").select("key", "block", "id", F.coalesce("root", "id").alias("root"))
     counted = split.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = counted.groupBy("key").agg(F.max(F.struct("n", "root")).root.alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
@@ -209,12 +213,14 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     rows = settle(by_batch(docs, work, f"{kinds}, _set binary, _size bigint, _bands array<bigint>").withColumn("_row", F.monotonically_increasing_id()))
-    sets = settle(rows.groupBy("_set").agg(F.min("_row").alias("_id"), F.max("_size").alias("size")))
-    close = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=SHINGLE)
-    component = F.array(F.xxhash64("component_id", F.lit("component")))
-    keys = rows.select(F.col("_row").alias("id"), F.col("_bands").alias("keys")).unionByName(close.select(F.col("doc_id").alias("id"), component.alias("keys")))
-    own = sets.where("size > 0").select(F.col("_id").alias("id"), "size")  # texts without words are one set already
-    groups = settle(keys.join(own, "id").select("id", "size", F.explode("keys").alias("key")))
-    roots = searched(rows.select(F.col("_row").alias("id"), "text"), groups)
-    of_set = sets.join(roots, sets._id == roots.node, "left").select("_set", F.coalesce("root", "_id").alias("_root"))
-    return rows.drop("_set", "_size", "_bands"), rows.select("_row", "_set").join(of_set, "_set").select("_row", "_root")
+    with scratch(docs.sparkSession) as keep:
+        sets = settle(rows.groupBy("_set").agg(F.min("_row").alias("_id"), F.max("_size").alias("size")))
+        close = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=SHINGLE)
+        component = F.array(F.xxhash64("component_id", F.lit("component")))
+        keys = rows.select(F.col("_row").alias("id"), F.col("_bands").alias("keys")).unionByName(close.select(F.col("doc_id").alias("id"), component.alias("keys")))
+        own = sets.where("size > 0").select(F.col("_id").alias("id"), "size")  # texts without words are one set already
+        groups = settle(keys.join(own, "id").select("id", "size", F.explode("keys").alias("key")))
+        roots = searched(rows.select(F.col("_row").alias("id"), "text"), groups)
+        of_set = sets.join(roots, sets._id == roots.node, "left").select("_set", F.coalesce("root", "_id").alias("_root"))
+        of_row = keep(rows.select("_row", "_set").join(of_set, "_set").select("_row", "_root"))
+    return rows.drop("_set", "_size", "_bands"), of_row
