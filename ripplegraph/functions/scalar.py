@@ -10,7 +10,7 @@ HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -41,12 +41,10 @@ def any_range_overlaps(ranges: Column, start: Column, end: Column) -> Column:
 
 def join_path(prefix: Column, path: Column) -> Column:
     """One leading slash, one slash between the parts, none at the end."""
-    left = F.regexp_replace(F.coalesce(prefix, F.lit("")), "/+$", "")
-    right = F.regexp_replace(F.coalesce(path, F.lit("")), "^/+", "")
-    joined = F.when(right == "", left).otherwise(F.concat(left, F.lit("/"), right))
-    rooted = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    trimmed = F.regexp_replace(rooted, "/+$", "")
-    return F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
+    slash = F.lit("/")
+    left, right = F.rtrim(F.coalesce(prefix, F.lit("")), slash), F.ltrim(F.coalesce(path, F.lit("")), slash)
+    rooted = F.concat(F.when((left == "") | left.startswith("/"), "").otherwise("/"), left, slash, right)
+    return F.coalesce(blank_to_null(F.rtrim(rooted, slash)), slash)
 
 
 def join_context_prefix(context: Column, prefix: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.budgets import BudgetExceeded, Limits, check
-from ripplegraph.operators.lineage import settle
+from ripplegraph.operators.lineage import broadcast_few, settle
 
 
 def reach(edges: DataFrame, roots: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -45,6 +45,24 @@ def reach(edges: DataFrame, roots: DataFrame, limits: Limits | None = None) -> D
     return out
 
 
+def toward(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """The edges (node, next), once each, from whose end a walk leads to one of targets (node) or that end in one.
+
+    Ends that neither lead on nor are targets, most of a graph of facts, go first, by a hash of theirs that needs no
+    shuffle of the edges and may keep some in vain; going back from the targets on the rest is exact.
+    """
+    edges = edges.select("node", "next").where("node is not null and next is not null")
+    new = settle(targets.select("node").where("node is not null").distinct())
+    known = broadcast_few(edges.select("node").union(new).select(F.xxhash64("node").alias("_key")).distinct())
+    rest = settle(edges.withColumn("_key", F.xxhash64("next")).join(known, "_key", "left_semi").drop("_key").distinct())
+    seen = new
+    while not new.isEmpty():
+        before = rest.join(new.select(F.col("node").alias("next")), "next", "left_semi").select("node").distinct()
+        new = settle(before.join(seen, "node", "left_anti"))
+        seen = seen.unionByName(new)
+    return rest.join(seen.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next")
+
+
 def closure(edges: DataFrame, limits: Limits | None = None) -> DataFrame:
     """ancestor and descendant for all nodes of edges (parent, child), themselves included; cycles are safe."""
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()

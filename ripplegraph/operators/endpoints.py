@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
 from ripplegraph.operators.budgets import EndpointNotFound
+from ripplegraph.operators.lineage import broadcast_few, settle
 
 
 def resolutions(routes: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -24,6 +25,21 @@ def resolutions(routes: DataFrame, annotations: DataFrame) -> DataFrame:
     return both.where("method <> '' and path <> ''")
 
 
+def keys(routes: DataFrame, annotations: DataFrame) -> DataFrame:
+    """node, method and path of resolutions() that have a handler (node), without their evidence; rows may repeat.
+
+    Annotations that name both method and path need no route, so routes are only read for handlers without any.
+    """
+    a = settle(annotations.select("handler_symbol", S.blank_to_null(F.col("method")).alias("method"), S.blank_to_null(F.col("path")).alias("path")).where("handler_symbol is not null"))
+    r = routes.where("handler_symbol is not null").select("handler_symbol", F.col("method").alias("r_method"), F.coalesce(S.blank_to_null(F.col("resolved_path")), S.blank_to_null(F.col("local_path"))).alias("r_path"))
+    plain = r.join(broadcast_few(a.select("handler_symbol").distinct(), 1 << 19), "handler_symbol", "left_anti").select("handler_symbol", F.col("r_method").alias("method"), F.col("r_path").alias("path"))
+    whole, part = a.where("method is not null and path is not null"), a.where("method is null or path is null")
+    out = plain.unionByName(whole)
+    if not part.isEmpty():
+        out = out.unionByName(part.join(r, "handler_symbol", "left").select("handler_symbol", F.coalesce("method", "r_method").alias("method"), F.coalesce("path", "r_path").alias("path")))
+    return out.select(F.col("handler_symbol").alias("node"), S.endpoint_method(F.col("method")).alias("method"), S.endpoint_path(F.col("path")).alias("path")).where("method <> '' and path <> ''")
+
+
 def catalog(resolved: DataFrame) -> DataFrame:
     """method, path and the sorted handlers, routes and annotations of each endpoint."""
     sets = [F.array_sort(F.collect_set(c)).alias(name) for c, name in (("handler_symbol", "handlers"), ("route_id", "routes"), ("annotation_id", "annotations"))]

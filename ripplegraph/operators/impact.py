@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import scalar as S
 from ripplegraph.operators import closure
 from ripplegraph.operators.budgets import Limits
+from ripplegraph.operators.lineage import settle
 
 
 def reverse_edges(references: DataFrame) -> DataFrame:
@@ -91,3 +92,19 @@ def merge_endpoints(found: DataFrame) -> DataFrame:
 def global_summary(found: DataFrame) -> DataFrame:
     """One row of distinct counts."""
     return found.agg(F.count_distinct("root_id").alias("roots"), F.count_distinct("method", "path").alias("endpoints"), F.count("*").alias("pairs"))
+
+
+def summary_of_keys(references: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFrame:
+    """global_summary() of affected_endpoints(), of endpoints.keys().
+
+    Endpoints with the same symbols have the same roots: the roots of such a group are found once, and counted for
+    all its endpoints.
+    """
+    own = keys.repartition("method", "path").groupBy("method", "path").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    group = settle(own.groupBy("nodes").agg(F.count("*").alias("_n")))
+    sets = settle(group.select("nodes", F.explode("nodes").alias("node")))
+    edges = closure.toward(reverse_edges(references), sets)
+    found = settle(closure.reach(edges, roots).join(sets, "node").select("nodes", "root_id").distinct())
+    each = group.join(found.groupBy("nodes").agg(F.count("*").alias("_roots")), "nodes")
+    counts = each.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("endpoints"), F.coalesce(F.sum(F.col("_n") * F.col("_roots")), F.lit(0)).alias("pairs"))
+    return found.agg(F.count_distinct("root_id").alias("roots")).crossJoin(counts)

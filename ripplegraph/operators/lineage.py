@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
 
@@ -39,6 +40,12 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df settled, and marked for a broadcast if it has at most so many rows; they should be narrow."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

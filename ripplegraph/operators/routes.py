@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import scalar as S
 from ripplegraph.operators import closure, spans
 from ripplegraph.operators.budgets import BudgetExceeded, Limits
-from ripplegraph.operators.lineage import settle
+from ripplegraph.operators.lineage import broadcast_few, settle
 
 
 def effective_group(group_id: Column, route_func: Column, group_var: Column) -> Column:
@@ -33,20 +33,25 @@ def group_routes(edges: DataFrame, routes: DataFrame, limits: Limits | None = No
 
 
 def group_prefixes(groups: DataFrame, most: int = 256) -> DataFrame:
-    """id and full_prefix: prefixes joined from the root group down, a level a round.
+    """id and full_prefix: prefixes joined from the root group down, a level a round; groups without any below them at the end.
 
     groups: id, parent_group_id, prefix. Groups on a ring have no root and no prefix.
     """
     groups = settle(groups.select("id", "parent_group_id", "prefix"))
-    known = groups.select(F.col("id").alias("known_id"))
-    roots = groups.join(known, groups.parent_group_id == known.known_id, "left_anti")
-    new = settle(roots.select("id", S.join_path(F.lit(""), F.col("prefix")).alias("full_prefix")))
+    parents = broadcast_few(groups.select(F.col("parent_group_id").alias("_known")).where("_known is not null").distinct())
+    inner = settle(groups.join(parents, groups.id == parents["_known"], "left_semi"))
+    outer = groups.join(parents, groups.id == parents["_known"], "left_anti")
+    ids = inner.select(F.col("id").alias("_known")).distinct()  # a parent that is known has a child, so it is here
+    top = inner.join(ids, inner.parent_group_id == ids["_known"], "left_anti")
+    new = settle(top.select("id", S.join_path(F.lit(""), F.col("prefix")).alias("full_prefix")))
     done = new
     for _ in range(most):
-        above = new.select(F.col("id").alias("parent_group_id"), F.col("full_prefix").alias("_above"))
-        new = settle(groups.join(above, "parent_group_id").select("id", S.join_path(F.col("_above"), F.col("prefix")).alias("full_prefix")))
         if new.isEmpty():
-            return done
+            named = settle(ids.join(done.select(F.col("id").alias("_known"), F.col("full_prefix").alias("_above")), "_known", "left"))
+            last = outer.join(named, outer.parent_group_id == named["_known"], "left").where("_known is null or _above is not null")
+            return done.unionByName(last.select("id", S.join_path(F.col("_above"), F.col("prefix")).alias("full_prefix")))
+        above = new.select(F.col("id").alias("parent_group_id"), F.col("full_prefix").alias("_above"))
+        new = settle(inner.join(above, "parent_group_id").select("id", S.join_path(F.col("_above"), F.col("prefix")).alias("full_prefix")))
         done = done.unionByName(new)
     raise BudgetExceeded("group depth", most + 1, most)
 

@@ -163,6 +163,14 @@ class Relations:
             self.made[name] = settle(build())
         return self.made[name]
 
+    def repeated(self, name: str) -> DataFrame:
+        """The view without its outermost DISTINCT, for operators to which repeated rows are one."""
+        sql = VIEWS[name].strip()
+        if not sql.startswith("SELECT DISTINCT "):
+            raise ValueError(f"{name} is not SELECT DISTINCT")
+        parts = {n: self(n) for n in dict.fromkeys(NAMES.findall(sql))}
+        return self.spark.sql(sql.replace("SELECT DISTINCT ", "SELECT ", 1), **parts)
+
     def __call__(self, name: str) -> DataFrame:
         if name not in self.made:
             if name in VIEWS:

@@ -226,7 +226,7 @@ ALIVE = "reg AS (SELECT DISTINCT route_func AS symbol FROM {v_routes} UNION SELE
 def alive(t: Relations) -> DataFrame:
     s = t("supplier")
     registered = t("v_routes").select(F.col("route_func").alias("symbol")).union(s.select(F.concat(F.when(F.col("s_suppkey") % 3 == 0, "func:x::Register").otherwise("func:x::setup"), F.col("s_suppkey").cast("string")))).union(s.select(F.concat(F.lit("func:supplier::S"), F.col("s_suppkey").cast("string"))))
-    used = t("v_refs").select("to_symbol").union(t("v_routes").where("statement_index = 1").select("route_func"))
+    used = t.repeated("v_refs").select("to_symbol").union(t("v_routes").where("statement_index = 1").select("route_func"))
     return contracts.live(registered, used)
 
 
@@ -360,7 +360,9 @@ def endpoint_sources_summary(t: Relations) -> DataFrame:
 
 @query("global_summary", AFFECTED + " SELECT CAST(count(DISTINCT root_id) AS BIGINT) AS roots, CAST(count(DISTINCT (method, path)) AS BIGINT) AS endpoints, CAST(count(*) AS BIGINT) AS pairs FROM aff")
 def global_summary(t: Relations) -> DataFrame:
-    return impact.global_summary(impact.affected_endpoints(t("v_refs"), roots(t), ends(t)))
+    own = t("v_routes").select("id", "group_id", "method", "local_path", "handler_symbol").where("handler_symbol is not null")
+    keys = endpoints.keys(routes.resolved_paths(own, routes.group_prefixes(t("v_groups"))), t("v_annotations"))
+    return impact.summary_of_keys(t.repeated("v_refs"), roots(t), keys)
 
 
 @query("handler_to_annotation", "SELECT 'link:' || kind || ':' || from_id || ':' || to_id AS id, kind, from_id, to_id FROM (SELECT DISTINCT 'route_to_handler' AS kind, id AS from_id, handler_symbol AS to_id FROM {v_routes} WHERE handler_symbol IS NOT NULL UNION SELECT DISTINCT 'handler_to_annotation', a.handler_symbol, a.id FROM {v_annotations} a JOIN {v_routes} r ON a.handler_symbol = r.handler_symbol) x")
