@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import scalar as S
 from ripplegraph.operators import closure
 from ripplegraph.operators.budgets import Limits
+from ripplegraph.operators.lineage import broadcast_few, settle
 
 PROTOCOLS = ("grpc", "dubbo", "http", "job")
 
@@ -18,8 +19,8 @@ def live(registrations: DataFrame, references: DataFrame) -> DataFrame:
     return registrations.select("symbol").distinct().join(used, "symbol", "left").select("symbol", (F.coalesce("_used", F.lit(False)) | S.is_registration_name(S.symbol_name(F.col("symbol")))).alias("is_live"))
 
 
-def contracts(grpc: DataFrame, dubbo: DataFrame, http: DataFrame, jobs: DataFrame, alive: DataFrame) -> DataFrame:
-    """id, kind, identity, resolution and entry_symbol of all contracts whose registration is live.
+def contract_entries(grpc: DataFrame, dubbo: DataFrame, http: DataFrame, jobs: DataFrame, alive: DataFrame) -> DataFrame:
+    """kind, identity, resolution and entry_symbol of all contracts whose registration is live; rows may repeat.
 
     A grpc provider is entered by its handler, its implementation and its registration; the others by their handler.
     """
@@ -28,8 +29,24 @@ def contracts(grpc: DataFrame, dubbo: DataFrame, http: DataFrame, jobs: DataFram
     h = http.select(F.lit("http").alias("kind"), F.concat_ws(" ", "method", F.coalesce("resolved_path", "path_raw")).alias("identity"), F.when(F.col("resolved_path").isNull(), "symbolic").otherwise("exact").alias("resolution"), F.col("route_func").alias("registration_symbol"), F.col("handler_symbol").alias("entry_symbol"))
     j = jobs.select(F.lit("job").alias("kind"), F.col("name").alias("identity"), F.lit("exact").alias("resolution"), "registration_symbol", F.col("handler_symbol").alias("entry_symbol"))
     all_of = g.unionByName(d).unionByName(h).unionByName(j).where("entry_symbol is not null")
-    ok = alive.where("is_live").select(F.col("symbol").alias("registration_symbol"))
-    return all_of.join(ok, "registration_symbol").select(S.fact_id(F.col("kind"), F.col("identity")).alias("id"), "kind", "identity", "resolution", "entry_symbol").distinct()
+    ok = broadcast_few(alive.where("is_live").select(F.col("symbol").alias("registration_symbol")).distinct(), 1 << 19)
+    return all_of.join(ok, "registration_symbol").select("kind", "identity", "resolution", "entry_symbol")
+
+
+def contracts(grpc: DataFrame, dubbo: DataFrame, http: DataFrame, jobs: DataFrame, alive: DataFrame) -> DataFrame:
+    """id, kind, identity, resolution and entry_symbol of all contracts whose registration is live, once each."""
+    return contract_entries(grpc, dubbo, http, jobs, alive).select(S.fact_id(F.col("kind"), F.col("identity")).alias("id"), "kind", "identity", "resolution", "entry_symbol").distinct()
+
+
+def with_entries(entries: DataFrame) -> DataFrame:
+    """kind and identity of each contract, once, and the sorted set of its entries (symbols)."""
+    own = entries.select("kind", "identity", "entry_symbol").repartition("kind", "identity")
+    return own.groupBy("kind", "identity").agg(F.array_sort(F.collect_set("entry_symbol")).alias("entries"))
+
+
+def walked(references: DataFrame) -> DataFrame:
+    """node and next: who depends on a symbol; symbols in generated glue are not walked through."""
+    return references.where(~S.is_generated_glue(F.col("file"))).select(F.col("to_symbol").alias("node"), F.col("from_symbol").alias("next"))
 
 
 def impact(references: DataFrame, roots: DataFrame, contract: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -37,15 +54,38 @@ def impact(references: DataFrame, roots: DataFrame, contract: DataFrame, limits:
 
     Symbols in generated glue are not walked through. A contract reached by several symbols counts once, at its least level.
     """
-    edges = references.where(~S.is_generated_glue(F.col("file"))).select(F.col("to_symbol").alias("node"), F.col("from_symbol").alias("next"))
-    found = closure.reach(edges, roots, limits)
+    found = closure.reach(walked(references), roots, limits)
     hit = found.join(contract.select("id", "kind", "identity", F.col("entry_symbol").alias("node")), "node")
     return hit.groupBy("root_id", "id", "kind", "identity").agg(F.min("level").alias("level"))
 
 
+def reached_entries(references: DataFrame, roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """root_id, node and level of the entries (node) that each changed symbol reaches; only what leads to one is walked."""
+    edges = closure.toward(walked(references), entries)
+    return settle(closure.reach(edges, roots).join(entries.select("node").distinct(), "node", "left_semi").select("root_id", "node", "level"))
+
+
+def impact_by_entries(references: DataFrame, roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows of impact(), of contract_entries().
+
+    Contracts go to tasks by identity, once; their many pairs with roots are made there and never dealt out. Those of
+    one entry, nearly all, need no least level.
+    """
+    contract = settle(with_entries(entries))
+    symbols = settle(contract.select(F.explode("entries").alias("node")).distinct())
+    found = reached_entries(references, roots, symbols)
+    lists = found.groupBy("node").agg(F.collect_list(F.struct("root_id", "level")).alias("_roots"))
+    lists = F.broadcast(lists) if found.count() <= 1 << 20 else settle(lists)
+    one = contract.where("size(entries) = 1").withColumn("node", F.col("entries")[0]).join(lists, "node").select("kind", "identity", F.explode("_roots").alias("_r"))
+    more = contract.where("size(entries) > 1").select("kind", "identity", F.explode("entries").alias("node")).join(lists, "node").select("kind", "identity", F.explode("_roots").alias("_r"))
+    least = more.groupBy("kind", "identity", F.col("_r.root_id").alias("root_id")).agg(F.min("_r.level").alias("level"))
+    hit = one.select("kind", "identity", "_r.root_id", "_r.level").unionByName(least)
+    return hit.select("root_id", S.fact_id(F.col("kind"), F.col("identity")).alias("id"), "kind", "identity", "level")
+
+
 def sources(references: DataFrame, roots: DataFrame, contract: DataFrame, limits: Limits | None = None) -> DataFrame:
     """root_id, contract id and kind: the pairs of impact(), found from the contracts' entries down to the changed symbols."""
-    edges = references.where(~S.is_generated_glue(F.col("file"))).select(F.col("from_symbol").alias("node"), F.col("to_symbol").alias("next"))
+    edges = walked(references).select(F.col("next").alias("node"), F.col("node").alias("next"))
     entries = contract.select(F.col("entry_symbol").alias("root_id"), F.col("entry_symbol").alias("node")).distinct()
     below = closure.reach(edges, entries, limits).select(F.col("root_id").alias("entry_symbol"), "node")
     hit = below.join(roots.select("root_id", "node").distinct(), "node").select("entry_symbol", "root_id")

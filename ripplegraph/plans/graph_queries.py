@@ -244,15 +244,25 @@ CONTRACTS = (
 )
 
 
-def all_contracts(t: Relations) -> DataFrame:
+def contract_parts(t: Relations, resolved: DataFrame) -> tuple[DataFrame, ...]:
     s = t("supplier")
     k = F.col("s_suppkey").cast("string")
     named = lambda prefix, key=k: F.concat(F.lit(prefix), key)
     grpc = s.select(named("example.com/api.Svc/M").alias("identity"), named("func:supplier::S").alias("handler_symbol"), named("func:impl::I").alias("implementation_symbol"), named("func:x::Register").alias("registration_symbol"))
     dubbo = s.select(named("com.x.I", (F.col("s_suppkey") % 9).cast("string")).alias("interface"), named("m").alias("method"), F.when(F.col("s_suppkey") % 2 != 0, "1.0").alias("version"), named("func:supplier::S").alias("handler_symbol"), named("func:x::Register", (F.col("s_suppkey") % 6).cast("string")).alias("registration_symbol"))
-    http = resolved_routes(t).select("method", "resolved_path", F.concat(F.lit("raw"), "id").alias("path_raw"), "handler_symbol", "route_func")
+    http = resolved.select("method", "resolved_path", F.concat(F.lit("raw"), "id").alias("path_raw"), "handler_symbol", "route_func")
     jobs = s.select(named("job").alias("name"), named("func:supplier::S").alias("handler_symbol"), named("func:supplier::S").alias("registration_symbol"))
-    return contracts.contracts(grpc, dubbo, http, jobs, alive(t))
+    return grpc, dubbo, http, jobs, alive(t)
+
+
+def all_contracts(t: Relations) -> DataFrame:
+    return contracts.contracts(*contract_parts(t, resolved_routes(t)))
+
+
+def contract_entries(t: Relations) -> DataFrame:
+    """Of routes only what contracts are made of, which is read once."""
+    own = t("v_routes").select("id", "group_id", "method", "local_path", "handler_symbol", "route_func").where("handler_symbol is not null")
+    return contracts.contract_entries(*contract_parts(t, routes.resolved_paths(own, routes.group_prefixes(t("v_groups")))))
 
 
 @query("contract_index", f"WITH RECURSIVE {PREFIXES}, {RESOLVED_ROUTES}, {ALIVE}, {CONTRACTS} SELECT id, kind, identity, resolution, entry_symbol FROM con")
@@ -265,7 +275,7 @@ CONTRACT_IMPACT = f"WITH RECURSIVE {PREFIXES}, {RESOLVED_ROUTES}, {ALIVE}, {CONT
 
 @query("contract_impact", CONTRACT_IMPACT + " SELECT root_id, id, kind, identity, CAST(level AS INTEGER) AS level FROM ci")
 def contract_impact(t: Relations) -> DataFrame:
-    return contracts.impact(t("v_refs"), roots(t), all_contracts(t))
+    return contracts.impact_by_entries(t.repeated("v_refs"), roots(t), contract_entries(t))
 
 
 @query("protocol_groups", CONTRACT_IMPACT + " SELECT root_id, " + ", ".join(f"coalesce(string_agg(DISTINCT identity, ';' ORDER BY identity) FILTER (WHERE kind = '{k}'), '') AS {k}" for k in contracts.PROTOCOLS) + " FROM ci GROUP BY root_id")

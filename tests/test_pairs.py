@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
-from ripplegraph.operators import closure, endpoints, impact
+from ripplegraph.operators import closure, contracts, endpoints, impact
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +21,21 @@ def graph(spark):
     return refs, roots
 
 
+@pytest.fixture(scope="module")
+def entries(spark):
+    """Contracts of one entry and of several, one with an entry that nothing reaches."""
+    rows = [("http", f"GET /p{i % 9}", "exact", f"s{i * 5 % 12}") for i in range(20)] + [("job", "j", "exact", "s3"), ("job", "j", "exact", "s3"), ("grpc", "g", "exact", "none"), ("http", "GET /leaf", "exact", "leaf7")]
+    return spark.createDataFrame(rows, "kind string, identity string, resolution string, entry_symbol string")
+
+
 def rows(df):
     return sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
 
 
+def whole(entries):
+    return entries.select(S.fact_id(F.col("kind"), F.col("identity")).alias("id"), "*").distinct()
+
+
 def test_edges_toward_targets(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "a"), ("b", "lost"), ("lost", "end"), (None, "c"), ("c", "d")], "node string, next string")
     targets = spark.createDataFrame([("c",), ("elsewhere",), (None,)], "node string")
@@ -32,6 +43,11 @@ def test_edges_toward_targets(spark):
     assert closure.toward(edges, targets.where("node = 'elsewhere'")).isEmpty()
 
 
+def test_impact_by_entries_is_impact(graph, entries):
+    own, every = contracts.impact_by_entries(*graph, entries), contracts.impact(*graph, whole(entries))
+    assert own.count() > 15 and rows(own) == rows(every)
+
+
 def test_summary_of_keys_is_global_summary(spark, graph):
     routes = spark.createDataFrame([(f"r{i}", f"s{i * 5 % 12}" if i % 6 else None, " get" if i % 2 else "GET ", f"/p{i % 7}\n" if i % 4 else "", f" /p{i % 3}") for i in range(40)], "id string, handler_symbol string, method string, resolved_path string, local_path string")
     notes = spark.createDataFrame([("n1", "s5", "POST", "/n"), ("n2", "s5", "", "/m"), ("n3", "s10", "put", None), ("n4", "s4", "PUT", "/n"), ("n5", "none", "", "")], "id string, handler_symbol string, method string, path string")
