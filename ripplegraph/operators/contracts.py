@@ -92,6 +92,26 @@ def sources(references: DataFrame, roots: DataFrame, contract: DataFrame, limits
     return hit.join(contract.select("entry_symbol", "id", "kind"), "entry_symbol").select("root_id", "id", "kind").distinct()
 
 
+def agreement(references: DataFrame, roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """kind and the numbers of pairs of impact(), of sources() and of both, of contract_entries().
+
+    Contracts of one kind and the same entries have the same roots; pairs are found once for such a group, by each
+    direction's own walk, and counted for all its contracts.
+    """
+    group = settle(with_entries(entries).groupBy("kind", "entries").agg(F.count("*").alias("_n")))
+    sets = settle(group.select("entries").distinct().select("entries", F.explode("entries").alias("node")))
+    symbols, own = sets.select("node").distinct(), settle(roots.select("root_id", "node").distinct())
+    edges = settle(closure.toward(walked(references), symbols))  # what leads to an entry is what lies below one
+    up = closure.reach(edges, own).select("root_id", "node").join(sets, "node")
+    below = closure.reach(edges.select(F.col("next").alias("node"), F.col("node").alias("next")), symbols.select(F.col("node").alias("root_id"), "node"))
+    down = below.join(own.withColumnRenamed("root_id", "_own"), "node").select(F.col("_own").alias("root_id"), F.col("root_id").alias("node")).join(sets, "node")
+    marked = up.select("entries", "root_id", F.lit(1).alias("f"), F.lit(0).alias("b")).unionByName(down.select("entries", "root_id", F.lit(0).alias("f"), F.lit(1).alias("b")))
+    each = marked.groupBy("entries", "root_id").agg(F.max("f").alias("f"), F.max("b").alias("b"))
+    each = each.groupBy("entries").agg(F.sum("f").alias("f"), F.sum("b").alias("b"), F.sum(F.col("f") * F.col("b")).alias("both"))
+    counted = group.join(each, "entries").groupBy("kind")
+    return counted.agg(F.sum(F.col("_n") * F.col("f")).alias("summary"), F.sum(F.col("_n") * F.col("b")).alias("reverse_summary"), F.sum(F.col("_n") * F.col("both")).alias("agreed"))
+
+
 def by_protocol(hit: DataFrame) -> DataFrame:
     """root_id and, for each protocol, the sorted distinct identities; empty where there are none."""
     lists = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("identity")))).alias(k) for k in PROTOCOLS]

@@ -334,11 +334,7 @@ SOURCES = "down(entry_symbol, node) AS (SELECT DISTINCT entry_symbol, entry_symb
 @query("summary_agreement", CONTRACT_IMPACT + f", {SOURCES}, n AS (SELECT root_id, id, kind, 1 AS f, 0 AS b FROM ci UNION ALL SELECT root_id, id, kind, 0, 1 FROM back), e AS (SELECT root_id, id, kind, max(f) AS f, max(b) AS b FROM n GROUP BY ALL) SELECT kind, CAST(sum(f) AS BIGINT) AS summary, CAST(sum(b) AS BIGINT) AS reverse_summary, CAST(sum(f * b) AS BIGINT) AS agreed FROM e GROUP BY kind")
 def summary_agreement(t: Relations) -> DataFrame:
     """Contracts of each root from the root up, and roots of each contract from its entry down: the same pairs."""
-    found = t.once("contracts", lambda: all_contracts(t))
-    up = contracts.impact(t("v_refs"), roots(t), found).select("root_id", "id", "kind", F.lit(1).alias("f"), F.lit(0).alias("b"))
-    down = contracts.sources(t("v_refs"), roots(t), found).select("root_id", "id", "kind", F.lit(0).alias("f"), F.lit(1).alias("b"))
-    each = up.unionByName(down).groupBy("root_id", "id", "kind").agg(F.max("f").alias("f"), F.max("b").alias("b"))
-    return each.groupBy("kind").agg(F.sum("f").alias("summary"), F.sum("b").alias("reverse_summary"), F.sum(F.col("f") * F.col("b")).alias("agreed"))
+    return contracts.agreement(t.repeated("v_refs"), roots(t), contract_entries(t))
 
 
 @query("im_reachability", "WITH RECURSIVE up(kind, node) AS (SELECT 'scheme', id FROM {v_anchors} WHERE scheme UNION SELECT 'endpoint', id FROM {v_anchors} WHERE endpoint UNION SELECT up.kind, e.from_symbol FROM up JOIN {v_refs} e ON e.to_symbol = up.node AND e.kind IN ('call', 'value')) SELECT node AS symbol, bool_or(kind = 'scheme') AS scheme, bool_or(kind = 'endpoint') AS endpoint FROM up GROUP BY node")

@@ -48,6 +48,13 @@ def test_impact_by_entries_is_impact(graph, entries):
     assert own.count() > 15 and rows(own) == rows(every)
 
 
+def test_agreement_counts_pairs(graph, entries):
+    up = {(r.root_id, r.id, r.kind) for r in contracts.impact(*graph, whole(entries)).collect()}
+    down = {(r.root_id, r.id, r.kind) for r in contracts.sources(*graph, whole(entries)).collect()}
+    want = {k: tuple(sum(p[2] == k for p in pairs) for pairs in (up, down, up & down)) for k in {p[2] for p in up | down}}
+    assert {r.kind: (r.summary, r.reverse_summary, r.agreed) for r in contracts.agreement(*graph, entries).collect()} == want
+
+
 def test_summary_of_keys_is_global_summary(spark, graph):
     routes = spark.createDataFrame([(f"r{i}", f"s{i * 5 % 12}" if i % 6 else None, " get" if i % 2 else "GET ", f"/p{i % 7}\n" if i % 4 else "", f" /p{i % 3}") for i in range(40)], "id string, handler_symbol string, method string, resolved_path string, local_path string")
     notes = spark.createDataFrame([("n1", "s5", "POST", "/n"), ("n2", "s5", "", "/m"), ("n3", "s10", "put", None), ("n4", "s4", "PUT", "/n"), ("n5", "none", "", "")], "id string, handler_symbol string, method string, path string")
