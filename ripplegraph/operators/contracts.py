@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +14,16 @@ from ripplegraph.operators import closure
 from ripplegraph.operators.budgets import Limits
 from ripplegraph.operators.lineage import broadcast_few, settle
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 PROTOCOLS = ("grpc", "dubbo", "http", "job")
 
+#: Bytes of text that a Python worker makes before it hands them over; a longer text goes alone.
+HELD = 1 << 25
+#: Bytes from which a piece of a list is compressed on its way to where the list is put together.
+LONG = 1 << 12
+
 
 def live(registrations: DataFrame, references: DataFrame) -> DataFrame:
     """symbol and is_live of registration functions: referenced by any, or named like an entry point."""
@@ -118,6 +130,139 @@ def by_protocol(hit: DataFrame) -> DataFrame:
     return hit.groupBy("root_id").agg(*lists)
 
 
+def protocol_lists(references: DataFrame, roots: DataFrame, entries: DataFrame, keep: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
+    """root_id and the lists of by_protocol() of impact(), each joined by semicolons; of contract_entries().
+
+    Roots that reach the same entries have the same lists, which are made once. Contracts are dealt out and sorted
+    once, by ranges of identities; a range gives each group of roots a piece of its list, and pieces are put together
+    in order of their first identities, a group at a time, so that no list is sorted or held as pairs. keep settles
+    what the result is read from, where the rest goes before.
+    """
+    part = F.array_position(F.array(*map(F.lit, PROTOCOLS)), F.col("kind")).cast("int")
+    own = keep(entries.select(part.alias("part"), "identity", F.col("entry_symbol").alias("node")))
+    found = reached_entries(references, roots, settle(own.select("node").distinct()))
+    alike = found.groupBy("root_id").agg(F.array_sort(F.collect_set("node")).alias("nodes")).groupBy("nodes").agg(F.collect_list("root_id").alias("roots"))
+    groups = keep(alike.withColumn("group", F.monotonically_increasing_id()))
+    pairs = keep(groups.select("group", F.explode("nodes").alias("node")))
+    member = pairs.groupBy("node").agg(F.collect_list("group").alias("groups"))
+    listed = own.where("part > 0 and identity is not null")
+    if pairs.count() <= 1 << 20:  # groups are joined where contracts lie, and not dealt out with them
+        dealt = listed.repartitionByRange("part", "identity").join(F.broadcast(member), "node")
+    else:
+        dealt = listed.join(member, "node").repartitionByRange("part", "identity")
+    dealt = dealt.select("part", "identity", "groups").sortWithinPartitions("part", "identity")
+    pieces = dealt.mapInArrow(_pieces, "group bigint, part int, first string, size bigint, text binary")
+    named = groups.select("group", F.lit(0).alias("part"), F.explode("roots").alias("first"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("text"))
+    ordered = pieces.unionByName(named).repartition("group").sortWithinPartitions("group", "part", "first")
+    return ordered.mapInArrow(_lists, "root_id string, " + ", ".join(f"{k} string" for k in PROTOCOLS))
+
+
+def _weighed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (part, identity, groups) in tables of one part each, whose pieces have some HELD bytes or that are one row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if held and (batch is None or size >= HELD):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            weight = np.cumsum(pc.list_value_length(rows["groups"]).to_numpy().astype("int64") * (16 + pc.binary_length(rows["identity"]).to_numpy()))
+            part, start = rows["part"].to_numpy(), 0
+            while start < len(part):
+                end = max(start + 1, int(np.searchsorted(weight, (weight[start - 1] if start else 0) + HELD, "right")))
+                end = min(end, int(np.searchsorted(part, part[start], "right")))
+                yield rows.slice(start, end - start).combine_chunks()
+                start = end
+            held, size = [], 0
+        if batch is not None and len(batch):
+            held.append(batch)
+            size += len(pc.list_flatten(batch["groups"])) * (16 + batch["identity"].nbytes // len(batch))
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contracts (part, identity, groups) in order: for each group the different identities, joined, and the first of them.
+
+    text is compressed where size, its bytes, is not 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    last, given = None, np.empty(0, "int64")  # the contract that came last, and the groups that have it
+    for rows in _weighed(batches):
+        part, identity, groups = rows["part"][0].as_py(), rows["identity"].chunk(0), rows["groups"].chunk(0)
+        number = np.zeros(len(rows), "int64")
+        number[1:] = np.cumsum(pc.not_equal(identity[1:], identity[:-1]).to_numpy(zero_copy_only=False))
+        row = np.repeat(np.arange(len(rows)), pc.list_value_length(groups).to_numpy(zero_copy_only=False))
+        group = groups.flatten().to_numpy(zero_copy_only=False)
+        if (part, identity[0].as_py()) == last:
+            fresh = (number[row] > 0) | ~np.isin(group, given)
+        else:
+            fresh, given = np.ones(len(row), bool), given[:0]
+        ended = np.unique(group[number[row] == number[-1]])
+        given = ended if number[-1] else np.union1d(given, ended)
+        last = part, identity[len(rows) - 1].as_py()
+        row, group = row[fresh], group[fresh]
+        order = np.argsort(group, kind="stable")
+        row, group = row[order], group[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (group[1:] != group[:-1]) | (number[row[1:]] != number[row[:-1]])
+        row, group = row[first], group[first]
+        if not len(row):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        values = identity.take(pa.array(row))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), values), ";")
+        size = pc.binary_length(text).to_numpy().astype("int64")
+        size[size < LONG] = 0
+        text = pa.array([pa.compress(x.as_buffer(), "zstd", asbytes=True) if n else x.as_buffer().to_pybytes() for n, x in zip(size, text)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(group[starts]), pa.array(np.full(len(starts), part, "int32")), values.take(pa.array(starts)), pa.array(size), text], ["group", "part", "first", "size", "text"])
+
+
+def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (group, part, first, text) in order, part 0 naming a root: each root with its group's texts joined by part."""
+    import pyarrow as pa
+
+    names = ["root_id", *PROTOCOLS]
+
+    def whole() -> Iterator[list]:
+        group, roots, texts = None, [], [[] for _ in PROTOCOLS]
+        for batch in batches:
+            for g, part, first, size, text in zip(*(batch[c].to_pylist() for c in ("group", "part", "first", "size", "text"))):
+                if g != group:
+                    yield from joined(roots, texts)
+                    group, roots = g, []
+                if part:
+                    texts[part - 1].append((size, text))
+                else:
+                    roots.append(first)
+        yield from joined(roots, texts)
+
+    def joined(roots: list, texts: list[list[tuple[int, bytes]]]) -> Iterator[list]:
+        cells = []
+        for pieces in texts:
+            cell = bytearray()
+            for i, (size, text) in enumerate(pieces):
+                cell += b";" if i else b""
+                cell += pa.decompress(text, size, "zstd") if size else text
+            pieces.clear()
+            cells.append(cell)
+        for root in roots:
+            yield [root, *cells]
+
+    held, size = [], 0
+    for row in chain(whole(), [None]):
+        more = sum(map(len, row[1:])) if row else 0
+        if held and (row is None or size + more > HELD):
+            made, held, size = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names), [], 0
+            yield made
+            del made
+        if row:
+            held.append(row)
+            size += more
+
+
 def pair_configurations(configs: DataFrame, providers: DataFrame) -> DataFrame:
     """config_id and provider_id: each configuration takes the first provider behind it that none before it took.
 

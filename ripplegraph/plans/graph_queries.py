@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import scalar as S
 from ripplegraph.operators import closure, contracts, dependency, endpoints, events, impact, links, routes
+from ripplegraph.operators.lineage import scratch
 from ripplegraph.plans.adapters import Relations
 from ripplegraph.plans.registry import query
 
@@ -261,7 +262,8 @@ def all_contracts(t: Relations) -> DataFrame:
 
 def contract_entries(t: Relations) -> DataFrame:
     """Of routes only what contracts are made of, which is read once."""
-    own = t("v_routes").select("id", "group_id", "method", "local_path", "handler_symbol", "route_func").where("handler_symbol is not null")
+    unnamed = F.when(F.col("local_path").isNull(), F.col("id")).alias("id")
+    own = t("v_routes").where("handler_symbol is not null").select(unnamed, "group_id", "method", "local_path", "handler_symbol", "route_func")
     return contracts.contract_entries(*contract_parts(t, routes.resolved_paths(own, routes.group_prefixes(t("v_groups")))))
 
 
@@ -280,8 +282,9 @@ def contract_impact(t: Relations) -> DataFrame:
 
 @query("protocol_groups", CONTRACT_IMPACT + " SELECT root_id, " + ", ".join(f"coalesce(string_agg(DISTINCT identity, ';' ORDER BY identity) FILTER (WHERE kind = '{k}'), '') AS {k}" for k in contracts.PROTOCOLS) + " FROM ci GROUP BY root_id")
 def protocol_groups(t: Relations) -> DataFrame:
-    found = contracts.by_protocol(contracts.impact(t("v_refs"), roots(t), all_contracts(t)))
-    return found.select("root_id", *[F.array_join(k, ";").alias(k) for k in contracts.PROTOCOLS])
+    with scratch(t.spark) as keep:
+        t.once("v_lines", lambda: t("v_lines").drop("quantity"))  # read for routes and for live registrations
+        return contracts.protocol_lists(t.repeated("v_refs"), roots(t), contract_entries(t), keep)
 
 
 PAIRS = f"{CATALOG}, cr(root_id, node) AS (SELECT DISTINCT handler_symbol, handler_symbol FROM res WHERE handler_symbol IS NOT NULL UNION SELECT cr.root_id, c.callee FROM cr JOIN {{v_calls}} c ON c.caller = cr.node), pairs AS (SELECT DISTINCT r.method, r.path, m.operation_id FROM res r JOIN cr ON cr.root_id = r.handler_symbol JOIN {{v_remote}} m ON m.caller_symbol = cr.node)"

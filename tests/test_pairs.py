@@ -70,3 +70,32 @@ def test_summary_of_keys_is_global_summary(spark, graph):
 def test_join_path_at_line_ends(spark):
     parts = spark.createDataFrame([("a//", "//b/"), ("", ""), (None, None), ("//a", "/"), ("/a", "b/\n"), ("a/\n", "b")], "p string, q string")
     assert [r[0] for r in parts.select(S.join_path(F.col("p"), F.col("q"))).collect()] == ["/a/b", "/", "/", "//a", "/a/b/\n", "/a/\n/b"]
+
+
+def test_protocol_lists_are_by_protocol(spark, graph, entries):
+    more = spark.createDataFrame([("http", None, "exact", "s3"), ("http", "", "exact", "s3"), ("other", "o", "exact", "s3"), ("job", "j", "exact", "s4"), ("dubbo", "d;é/" + "m" * 5000, "exact", "s5"), ("dubbo", "d", "exact", "s5")], entries.schema)
+    every = entries.unionByName(more)
+    want = contracts.by_protocol(contracts.impact(*graph, whole(every)))
+    assert want.count() > 4
+    own = contracts.protocol_lists(*graph, every)
+    assert rows(own) == rows(want.select("root_id", *[F.array_join(k, ";").alias(k) for k in contracts.PROTOCOLS]))
+
+
+@pytest.mark.parametrize("held", [1, 60, 1 << 20])
+def test_pieces_make_whole_lists(monkeypatch, held):
+    """Contracts that repeat over batches and tables, in groups of their own, shared and large ones; long and empty names."""
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(contracts, "HELD", held)
+    monkeypatch.setattr(contracts, "LONG", 30)
+    pick = random.Random(7)
+    given = sorted((pick.choice((1, 3)), pick.choice(("", "é;", "x" * 40, *"abcdefgh")), sorted(pick.sample(range(6), pick.randrange(1, 5)))) for _ in range(80))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part]), pa.array([r[2] for r in part], pa.list_(pa.int64()))], ["part", "identity", "groups"])
+    given.sort(key=lambda r: (r[0], r[1].encode()))
+    made = [r for b in contracts._pieces(batch(given[i : i + 7]) for i in range(0, len(given), 7)) for r in b.to_pylist()]
+    assert any(r["size"] for r in made) and (held > 1 or len(made) > 60)
+    made += [{"group": g, "part": 0, "first": f"root{g}{n}", "size": 0, "text": None} for g in range(7) for n in "ab"]
+    made.sort(key=lambda r: (r["group"], r["part"], r["first"].encode()))
+    fields = pa.schema([("group", pa.int64()), ("part", pa.int32()), ("first", pa.string()), ("size", pa.int64()), ("text", pa.binary())])
+    out = [r for b in contracts._lists(pa.RecordBatch.from_pylist(made[i : i + 9], fields) for i in range(0, len(made), 9)) for r in b.to_pylist()]
+    names = lambda g, part: ";".join(sorted({r[1] for r in given if r[0] == part and g in r[2]}, key=str.encode))
+    assert out == [{"root_id": f"root{g}{n}", **{k: names(g, i) for i, k in enumerate(contracts.PROTOCOLS, 1)}} for g in range(7) for n in "ab"]
